@@ -1,5 +1,21 @@
 """Column expressions shared by the operators."""
 
-from plantfuse.functions.measures import exact, flag, pass_rate, zero_if_null
+from plantfuse.functions.measures import (
+    exact_sum,
+    flag,
+    from_ticks,
+    pass_rate,
+    ticks,
+    unbounded,
+    zero_if_null,
+)
 
-__all__ = ["exact", "flag", "pass_rate", "zero_if_null"]
+__all__ = [
+    "exact_sum",
+    "flag",
+    "from_ticks",
+    "pass_rate",
+    "ticks",
+    "unbounded",
+    "zero_if_null",
+]

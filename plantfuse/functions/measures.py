@@ -17,9 +17,31 @@ def flag(condition: Column) -> Column:
     return F.when(condition, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def exact(amount: Column) -> Column:
-    """A floating amount as a decimal, so that its sum does not depend on task order."""
-    return amount.cast("decimal(22,4)")
+TICK_PLACES = 4
+
+
+def ticks(amount: Column, places: int = TICK_PLACES) -> Column:
+    """A floating amount as a whole number of its last decimal place.
+
+    Sums of these are exact, so they do not depend on the order of tasks.
+    Casting a double to a decimal with places gives the same but goes through
+    text for every row.
+    """
+    return F.rint(amount * 10**places).cast("long")
+
+
+def unbounded(whole: Column) -> Column:
+    """A whole number whose sums may exceed a BIGINT."""
+    return whole.cast("decimal(18,0)")
+
+
+def from_ticks(total: Column, places: int = TICK_PLACES) -> Column:
+    return total.cast("decimal(28,0)") * F.lit(Decimal(1).scaleb(-places))
+
+
+def exact_sum(amount: Column, places: int = TICK_PLACES) -> Column:
+    """The sum of a floating amount, exact to the given places."""
+    return F.sum(unbounded(ticks(amount, places))) * F.lit(Decimal(1).scaleb(-places))
 
 
 def zero_if_null(value: Column) -> Column:

@@ -1,10 +1,9 @@
-"""Totals per entity from any number of fact tables, in one shuffle.
+"""Totals per entity from any number of fact tables.
 
-Every measure here is a sum of what each row adds: 1 for a count, 0 or 1 for a
-conditional count, the amount for a sum. So the facts can be stacked and
-aggregated together. Map-side partial aggregation leaves at most one row per
-key and task, whatever share of the rows one key holds, and the join to the
-dimension then meets one row per key.
+Each fact is aggregated before anything is joined. Map-side partial aggregation
+leaves at most one row per key and task, whatever share of the rows one key
+holds, and the joins then meet one row per key. All sides are partitioned by
+the same key, so joining them shuffles no fact a second time.
 """
 
 from __future__ import annotations
@@ -23,59 +22,57 @@ from plantfuse.functions import zero_if_null
 class Fact:
     """What each row of a table adds to the measures of its entity.
 
-    ``remote`` groups the table on its own first, so that the sums run inside
-    the database it comes from and only one row per entity is transferred.
+    A count adds 1, a conditional count 0 or 1, a sum its amount.
     """
 
     frame: DataFrame
     key: str
     adds: Mapping[str, Column]
-    remote: bool = False
 
 
 def one() -> Column:
     return F.lit(1).cast("long")
 
 
-def _stackable(fact: Fact, key: str) -> DataFrame:
-    rows = fact.frame.where(F.col(fact.key).isNotNull()).select(
-        F.col(fact.key).cast("long").alias(key),
-        *[added.alias(measure) for measure, added in fact.adds.items()],
-    )
-    return _sum_measures(rows, key) if fact.remote else rows
-
-
-def _sum_measures(rows: DataFrame, key: str) -> DataFrame:
-    measures = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(*[F.sum(m).alias(m) for m in measures])
-
+def totals_by_key(key: str, *facts: Fact) -> DataFrame:
+    """One row per key. Several facts with the same measures count as their ``UNION ALL``.
 
-def totals_by_key(key: str, facts: Sequence[Fact]) -> DataFrame:
-    """One row per key that occurs in any fact; NULL for measures it has no rows for.
-
-    Facts that name the same measure add to the same total, which is what
-    ``UNION ALL`` followed by an aggregate means.
+    The key is widened before grouping: a cast at the join instead would need
+    the totals shuffled again.
     """
-    stacked = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [_stackable(f, key) for f in facts],
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            f.frame.where(F.col(f.key).isNotNull()).select(
+                F.col(f.key).cast("long").alias(key),
+                *[added.alias(measure) for measure, added in f.adds.items()],
+            )
+            for f in facts
+        ],
     )
-    return _sum_measures(stacked, key)
+    return rows.groupBy(key).agg(*[F.sum(m).alias(m) for m in facts[0].adds])
 
 
 def with_totals(
-    dimension: DataFrame, key: str, totals: DataFrame, zero: Sequence[str] = ()
+    dimension: DataFrame, key: str, totals: Sequence[DataFrame], zero: Sequence[str] | None = None
 ) -> DataFrame:
-    """Every dimension row with its totals; the named measures read 0 where absent.
+    """Every dimension row with its totals; measures in ``zero`` (or all) read 0 where absent.
 
-    No broadcast hint: both sides grow with the data, so the choice is left to
+    No broadcast hint: all sides grow with the data, so the choice is left to
     Spark, which knows their sizes.
     """
-    joined = dimension.join(totals, dimension[key].cast("long") == totals[key], "left")
-    measures = [c for c in totals.columns if c != key]
-    return joined.select(
-        *[dimension[c] for c in dimension.columns],
-        *[(zero_if_null(totals[m]) if m in zero else totals[m]).alias(m) for m in measures],
+    wide = dimension.withColumn("_key", F.col(key).cast("long"))
+    measures = []
+    for t in totals:
+        wide = wide.join(t.withColumnRenamed(key, "_total_key"), F.col("_key") == F.col("_total_key"), "left")
+        wide = wide.drop("_total_key")
+        measures += [m for m in t.columns if m != key]
+    return wide.select(
+        *dimension.columns,
+        *[
+            (zero_if_null(F.col(m)) if zero is None or m in zero else F.col(m)).alias(m)
+            for m in measures
+        ],
     )
 
 
@@ -102,7 +99,6 @@ def joined_totals(
     counts: Sequence[str],
     per_entity: Sequence[str] = (),
     left_rows: Column | None = None,
-    right_rows: Column | None = None,
 ) -> DataFrame:
     """Aggregates over ``dimension LEFT JOIN left LEFT JOIN right``, without the pairs.
 
@@ -111,29 +107,19 @@ def joined_totals(
     therefore its plain total times max(n, 1), so both are totalled first and
     multiplied. Measures in ``counts`` read 0 where there are no rows, others
     NULL, as COUNT and SUM do; those in ``per_entity`` (distinct counts) are
-    not repeated by the join. ``left_rows`` and ``right_rows`` say how many
-    rows of the fact one row of the frame stands for.
+    not repeated by the join. ``left_rows`` says how many rows of the left fact
+    one row of its frame stands for.
     """
-    totals = totals_by_key(
-        key,
-        [
-            Fact(left.frame, left.key, {**left.adds, LEFT_ROWS: _or_one(left_rows)}, left.remote),
-            Fact(
-                right.frame, right.key, {**right.adds, RIGHT_ROWS: _or_one(right_rows)}, right.remote
-            ),
-        ],
-    )
+    rows = one() if left_rows is None else left_rows
+    left_totals = totals_by_key(key, Fact(left.frame, left.key, {**left.adds, LEFT_ROWS: rows}))
+    right_totals = totals_by_key(key, Fact(right.frame, right.key, {**right.adds, RIGHT_ROWS: one()}))
+    joined = with_totals(dimension, key, [left_totals, right_totals], zero=(LEFT_ROWS, RIGHT_ROWS))
     repeats = {m: RIGHT_ROWS for m in left.adds} | {m: LEFT_ROWS for m in right.adds}
-    joined = with_totals(dimension, key, totals)
 
     def measure(name: str) -> Column:
         value = F.col(name)
         if name not in per_entity:
-            value = value * F.greatest(zero_if_null(F.col(repeats[name])), one())
+            value = value * F.greatest(F.col(repeats[name]), one())
         return (zero_if_null(value) if name in counts else value).alias(name)
 
     return joined.select(*dimension.columns, *[measure(m) for m in repeats])
-
-
-def _or_one(rows: Column | None) -> Column:
-    return one() if rows is None else rows

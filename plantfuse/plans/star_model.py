@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantfuse.functions import from_ticks, ticks
 from plantfuse.sources import Sources, TableSource
 from plantfuse.sources.star import STAR_DDL
 
@@ -154,16 +155,16 @@ def energy_consumption(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     order has.
     """
     per_order = lineitem.groupBy("l_orderkey").agg(
-        F.sum(F.col("l_quantity").cast("decimal(8,2)")).alias("kwh_consumed"),
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("cost_usd"),
+        F.sum(ticks(F.col("l_quantity"), 2)).alias("kwh"),
+        F.sum(ticks(F.col("l_extendedprice"), 2)).alias("cost"),
     )
     return per_order.join(
         orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(
         F.col("o_orderkey").alias("record_id"),
         F.col("o_custkey").alias("machine_id"),
-        "kwh_consumed",
-        "cost_usd",
+        from_ticks(F.col("kwh"), 2).cast("decimal(18,2)").alias("kwh_consumed"),
+        from_ticks(F.col("cost"), 2).cast("decimal(18,2)").alias("cost_usd"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantfuse.functions import flag, pass_rate
+from plantfuse.functions import exact_sum, flag, from_ticks, pass_rate, ticks, unbounded
 from plantfuse.operators import checks, combine, generate, keys, load, rules, totals
 from plantfuse.plans import questions, steps, summaries
 from plantfuse.plans.star_model import nation_sources, star_sources, star_table
@@ -90,10 +90,6 @@ def plain(frame: DataFrame) -> DataFrame:
     return frame.select(*map(column, frame.schema))
 
 
-def amount(name: str):
-    return F.col(name).cast("decimal(18,2)")
-
-
 # Scans and sources
 
 
@@ -110,14 +106,16 @@ def cross_source_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = TableSource.orc(path, STAR_DDL["events"]).load(spark)
     per_user = totals.totals_by_key(
         "c_custkey",
-        [
-            totals.Fact(
-                events, "user_id", {"event_count": totals.one(), "total_value": amount("value")}
-            )
-        ],
+        totals.Fact(
+            events,
+            "user_id",
+            {"event_count": totals.one(), "total_value": unbounded(ticks(F.col("value")))},
+        ),
     )
     customers = star_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return totals.with_totals(customers, "c_custkey", per_user, zero=("event_count",))
+    return totals.with_totals(
+        customers, "c_custkey", [per_user], zero=("event_count",)
+    ).withColumn("total_value", from_ticks(F.col("total_value")))
 
 
 def inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +124,7 @@ def inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_type = (
         star_table(spark, sf_dir, "events")
         .groupBy("event_type")
-        .agg(F.count("*").alias("n"), F.sum(amount("value")).alias("v"))
+        .agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("v"))
     )
     return (
         per_type.join(groups, "event_type")
@@ -318,7 +316,7 @@ def group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         star_table(spark, sf_dir, "events")
         .groupBy("user_id")
-        .agg(F.count("*").alias("event_count"), F.sum(amount("value")).alias("total_value"))
+        .agg(F.count("*").alias("event_count"), exact_sum(F.col("value")).alias("total_value"))
     )
 
 
@@ -330,7 +328,9 @@ def conditional_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.sum(flag(kind == "click")).alias("warnings"),
             F.sum(flag(kind == "error")).alias("criticals"),
-            F.sum(F.when(kind == "purchase", amount("value")).otherwise(0)).alias("purchase_value"),
+            exact_sum(F.when(kind == "purchase", F.col("value")).otherwise(0)).alias(
+                "purchase_value"
+            ),
         )
     )
 
@@ -348,7 +348,7 @@ def pass_rate_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_all_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = summaries.inspection_facts(star_sources(spark, sf_dir))
-    return totals.totals_by_key("machine_id", facts)
+    return totals.totals_by_key("machine_id", *facts)
 
 
 def union_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantfuse.functions import exact, flag, pass_rate
+from plantfuse.functions import flag, from_ticks, pass_rate, ticks, unbounded
 from plantfuse.operators.totals import (
     Fact,
     distinct_ids,
@@ -42,40 +42,43 @@ def inspection_facts(sources: Sources) -> list[Fact]:
 def machine_health_summary(sources: Sources) -> DataFrame:
     """Sensor alarms, errors, maintenance time and inspection results of each machine."""
     status, event = F.col("status"), F.col("event_type")
-    facts = [
-        Fact(
-            sources.first("redshift.sensor_readings"),
-            KEY,
-            {
-                "sensor_warning_count": flag(status == "warning"),
-                "sensor_critical_count": flag(status == "critical"),
-            },
-        ),
-        Fact(
-            sources.first("redshift.production_events"),
-            KEY,
-            {
-                "error_event_count": flag(event == "error"),
-                "total_maintenance_minutes": F.when(
-                    event == "maintenance", F.col("duration_minutes")
-                ).otherwise(0),
-            },
-        ),
-        *inspection_facts(sources),
-    ]
-    totals = totals_by_key(KEY, facts)
-    measures = [c for c in totals.columns if c != KEY]
-    summary = with_totals(_machines(sources), KEY, totals, zero=measures)
+    sensors = Fact(
+        sources.first("redshift.sensor_readings"),
+        KEY,
+        {
+            "sensor_warning_count": flag(status == "warning"),
+            "sensor_critical_count": flag(status == "critical"),
+        },
+    )
+    events = Fact(
+        sources.first("redshift.production_events"),
+        KEY,
+        {
+            "error_event_count": flag(event == "error"),
+            "total_maintenance_minutes": F.when(
+                event == "maintenance", F.col("duration_minutes")
+            ).otherwise(0),
+        },
+    )
+    summary = with_totals(
+        _machines(sources),
+        KEY,
+        [
+            totals_by_key(KEY, sensors),
+            totals_by_key(KEY, events),
+            totals_by_key(KEY, *inspection_facts(sources)),
+        ],
+    )
     return summary.withColumn(
         "quality_pass_rate_pct",
         pass_rate(F.col("passed_inspection_count"), F.col("total_inspection_count")),
     )
 
 
-def factory_operations_union(sources: Sources) -> DataFrame:
-    """Volumes, alarms, work, energy and cost of each machine from all five sources."""
+def operations_facts(sources: Sources) -> list[Fact]:
+    """The nine tables of the operations summary, with the measures each one gives."""
     status = F.col("status")
-    facts = [
+    return [
         Fact(
             sources.first(*INSPECTIONS),
             KEY,
@@ -118,19 +121,22 @@ def factory_operations_union(sources: Sources) -> DataFrame:
         Fact(
             sources.first("bigquery.cost_allocation"),
             KEY,
-            {"allocated_cost_usd": exact(F.col("amount_usd"))},
+            {"allocated_cost_usd": unbounded(ticks(F.col("amount_usd")))},
         ),
     ]
-    totals = totals_by_key(KEY, facts)
-    measures = [c for c in totals.columns if c != KEY]
-    summary = with_totals(_machines(sources), KEY, totals, zero=measures)
-    places = {
-        "total_hours_worked": 1,
-        "total_energy_kwh": 2,
-        "energy_cost_usd": 2,
-        "allocated_cost_usd": 2,
-    }
-    return summary.withColumns({m: F.round(m, p) for m, p in places.items()})
+
+
+def factory_operations_union(sources: Sources) -> DataFrame:
+    """Volumes, alarms, work, energy and cost of each machine from all five sources."""
+    totals = [totals_by_key(KEY, fact) for fact in operations_facts(sources)]
+    return with_totals(_machines(sources), KEY, totals).withColumns(
+        {
+            "total_hours_worked": F.round("total_hours_worked", 1),
+            "total_energy_kwh": F.round("total_energy_kwh", 2),
+            "energy_cost_usd": F.round("energy_cost_usd", 2),
+            "allocated_cost_usd": F.round(from_ticks(F.col("allocated_cost_usd")), 2),
+        }
+    )
 
 
 def maintenance_summary(sources: Sources) -> DataFrame:
@@ -191,11 +197,13 @@ def downtime_summary(sources: Sources) -> DataFrame:
             Fact(
                 sources.first("bigquery.cost_allocation"),
                 KEY,
-                {"total_allocated_cost_usd": exact(F.col("amount_usd"))},
+                {"total_allocated_cost_usd": unbounded(ticks(F.col("amount_usd")))},
             ),
             counts=("downtime_incidents",),
         )
-        .withColumn("total_allocated_cost_usd", F.round("total_allocated_cost_usd", 2))
+        .withColumn(
+            "total_allocated_cost_usd", F.round(from_ticks(F.col("total_allocated_cost_usd")), 2)
+        )
         .orderBy(F.desc("downtime_incidents"), KEY)
     )
 
