@@ -133,14 +133,7 @@ def rows_to_insert(
 
     A NULL in the key stops the job, as a primary key would.
     """
-    checked = incoming.withColumns(
-        {
-            k: F.when(F.col(k).isNotNull(), F.col(k)).otherwise(
-                F.raise_error(F.lit(f"NULL in key column {k}"))
-            )
-            for k in key
-        }
-    )
+    checked = incoming.withColumns({k: _required(k) for k in key})
     return first_per_key(checked, key, order).join(target.select(*key), list(key), "left_anti")
 
 
@@ -162,6 +155,23 @@ def apply_defaults(frame: DataFrame, defaults: Mapping[str, object]) -> DataFram
     )
 
 
+def not_null_checked(frame: DataFrame, ddl: str) -> DataFrame:
+    """Stops the job at a NULL in a column declared NOT NULL, as a database would."""
+    required = [f.name for f in T.StructType.fromDDL(ddl) if not f.nullable]
+    return frame.withColumns({c: _required(c) for c in required if c in frame.columns})
+
+
+def _required(column: str) -> Column:
+    missing = F.raise_error(F.lit(f"NULL in column {column}"))
+    return F.when(F.col(column).isNotNull(), F.col(column)).otherwise(missing)
+
+
+def column_comments(spark: SparkSession, table: str) -> dict[str, str]:
+    return {
+        f.name: f.metadata["comment"] for f in spark.table(table).schema if "comment" in f.metadata
+    }
+
+
 def comment_table(spark: SparkSession, table: str, comment: str) -> None:
     spark.sql(f"COMMENT ON TABLE {table} IS {_literal(comment)}")
 

@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from plantfuse.functions import exact_sum, flag, from_ticks, pass_rate, ticks, unbounded
 from plantfuse.operators import checks, combine, generate, keys, load, rules, totals
-from plantfuse.plans import questions, steps, summaries
+from plantfuse.plans import load_job, questions, steps, summaries
 from plantfuse.plans.star_model import nation_sources, star_sources, star_table
 from plantfuse.session import shared_path
-from plantfuse.sources import TableSource, values_frame
+from plantfuse.sources import TableDef, TableSource, values_frame
 from plantfuse.sources.star import STAR_DDL
 
 STAR_TABLES = (
@@ -25,24 +25,24 @@ STAR_TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
-# Rows expected of each table: (at least, per 150,000 customers). The last is
-# declared but not delivered.
+# Rows expected of each table from those of another: (table, other table, at
+# least, rows per rows of the other). The last is declared but not delivered.
 EXPECTED_ROWS = """
-    ('region', 5, 0),
-    ('nation', 25, 0),
-    ('customer', 0, 150000),
-    ('supplier', 0, 10000),
-    ('part', 0, 200000),
-    ('orders', 0, 1500000),
-    ('lineitem', 0, 6000000),
-    ('events', 0, 1000000),
-    ('documents', 200, 100000),
-    ('embeddings', 500, 20000),
-    ('pages', 50, 25000),
-    ('benchmark', 40, 2000),
-    ('labels', 0, 40000),
-    ('conversations', 0, 50000),
-    ('shipments', 0, 1000000)
+    ('region', 'customer', 5, 0, 1),
+    ('nation', 'customer', 25, 0, 1),
+    ('customer', 'orders', 0, 1, 10),
+    ('supplier', 'customer', 0, 1, 15),
+    ('part', 'supplier', 0, 20, 1),
+    ('orders', 'customer', 0, 10, 1),
+    ('lineitem', 'orders', 0, 4, 1),
+    ('events', 'supplier', 0, 100, 1),
+    ('documents', 'pages', 0, 4, 1),
+    ('embeddings', 'supplier', 500, 2, 1),
+    ('pages', 'documents', 0, 1, 4),
+    ('benchmark', 'supplier', 40, 1, 5),
+    ('labels', 'documents', 0, 2, 5),
+    ('conversations', 'documents', 0, 1, 2),
+    ('shipments', 'orders', 0, 1, 1)
 """
 
 # Declared constraints, tighter than the data in places.
@@ -216,6 +216,37 @@ def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.save_summary(machine_health_summary(spark, sf_dir), table)
 
 
+def load_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tables created, loaded and counted; log numbers are given on the way in."""
+    orders, events = (star_table(spark, sf_dir, t) for t in ("orders", "events"))
+    logs = TableDef(
+        "logs",
+        "log_id BIGINT NOT NULL, machine_id BIGINT NOT NULL, order_id BIGINT NOT NULL",
+        generated_key="log_id",
+    )
+    readings = TableDef(
+        "readings",
+        "reading_id BIGINT NOT NULL, machine_id BIGINT NOT NULL, status VARCHAR(20)",
+        defaults={"status": "normal"},
+    )
+    tables = [
+        (
+            logs,
+            orders.select(
+                F.col("o_custkey").alias("machine_id"), F.col("o_orderkey").alias("order_id")
+            ),
+        ),
+        (
+            readings,
+            events.select(
+                F.col("event_id").alias("reading_id"), F.col("user_id").alias("machine_id")
+            ),
+        ),
+        *[(TableDef(t, STAR_DDL[t]), star_table(spark, sf_dir, t)) for t in ("part", "supplier")],
+    ]
+    return load_job.load_tables(spark, "plantfuse_load", tables).drop("message")
+
+
 def fresh_table(spark: SparkSession, name: str) -> str:
     """A table name whose table does not exist, in a schema under the shared folder."""
     load.create_schema(spark, "plantfuse")
@@ -248,27 +279,19 @@ def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_count_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tables against what the number of customers leads to expect."""
+    """All tables against the number of rows that another table leads to expect."""
     counts = checks.table_counts(
-        spark,
-        {
-            t: lambda t=t: star_table(spark, sf_dir, t)
-            for t in [*STAR_TABLES, "shipments"]
-        },
-    )
-    base = counts.where("table_name = 'customer'").select(
-        F.lit("customer").alias("base"), F.col("actual_rows").alias("customers")
+        spark, {t: lambda t=t: star_table(spark, sf_dir, t) for t in [*STAR_TABLES, "shipments"]}
     )
+    other = counts.select(F.col("table_name").alias("other"), "actual_rows")
     expected = (
-        values_frame(spark, EXPECTED_ROWS, "table_name, at_least, per_base")
-        .withColumn("base", F.lit("customer"))
-        .join(base, "base")
+        values_frame(spark, EXPECTED_ROWS, "table_name, other, at_least, rows, per")
+        .join(other, "other")
         .select(
             "table_name",
-            F.greatest(
-                F.col("at_least").cast("long"),
-                F.expr("CAST(per_base AS BIGINT) * customers DIV 150000"),
-            ).alias("expected_rows"),
+            F.expr("greatest(CAST(at_least AS BIGINT), actual_rows * rows DIV per)").alias(
+                "expected_rows"
+            ),
         )
     )
     return checks.reconcile(counts, expected).drop("message")
@@ -504,6 +527,7 @@ QUERIES = {
     "surrogate_key": surrogate_key,
     "apply_defaults": apply_defaults,
     "summary_table": summary_table,
+    "load_and_check": load_and_check,
     "constraint_check": constraint_check,
     "data_dictionary": data_dictionary,
     "row_count_reconcile": row_count_reconcile,

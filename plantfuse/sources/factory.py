@@ -7,7 +7,14 @@ them to BIGINT. Dates held as text stay text here and are cast where used.
 
 from __future__ import annotations
 
-from plantfuse.sources.registry import SourceDef, TableDef
+from collections.abc import Collection
+from dataclasses import dataclass
+
+from pyspark.sql import SparkSession
+
+from plantfuse.sources.catalogs import qualified
+from plantfuse.sources.readers import TableSource
+from plantfuse.sources.registry import SourceDef, Sources, TableDef
 
 MACHINES_DDL = """
     machine_id INT NOT NULL COMMENT 'identifies the machine in every source',
@@ -330,3 +337,41 @@ FACTORY_SOURCES = (
 
 def factory_source(key: str) -> SourceDef:
     return next(s for s in FACTORY_SOURCES if s.key == key)
+
+
+@dataclass(frozen=True)
+class Names:
+    """Prefixes that make up the three-level name of every factory table."""
+
+    query_prefix: str = "query"
+    catalog_prefix: str = "files"
+    db_prefix: str = "plant"
+
+    def catalog(self, source: SourceDef) -> str:
+        prefix = self.catalog_prefix if source.access == "files" else self.query_prefix
+        return f"{prefix}_{source.key}"
+
+    def schema(self, source: SourceDef) -> str:
+        # Sources whose schema is not the plain prefix.
+        special = {
+            "glue": f"{self.db_prefix}_factory_master",
+            "bigquery": f"{self.db_prefix}_factory",
+            "onelake": "default",
+        }
+        return special.get(source.key, self.db_prefix)
+
+    def table(self, source: SourceDef, table: str) -> str:
+        return qualified(self.catalog(source), self.schema(source), table)
+
+
+def catalog_sources(
+    spark: SparkSession, names: Names | None = None, off: Collection[str] = ()
+) -> Sources:
+    """All factory tables through the catalogs registered in the session."""
+    names = names or Names()
+    loaders = {}
+    for source in FACTORY_SOURCES:
+        for table in source.tables:
+            reader = TableSource.table(names.table(source, table.name))
+            loaders[f"{source.key}.{table.name}"] = lambda reader=reader: reader.load(spark)
+    return Sources(loaders, off)

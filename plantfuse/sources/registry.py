@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
@@ -38,9 +39,9 @@ class SourceDef:
 class Sources:
     """Tables by ``source.table`` name, some of whose sources may be off.
 
-    A loader that cannot resolve its table (no file, no such table, no such
-    format on the cluster) makes that table unavailable rather than failing the
-    job that asks for it.
+    A loader that cannot resolve its table (no file or table, no such format or
+    driver on the cluster, no connection) makes that table unavailable rather
+    than failing the job that asks for it; ``unavailable`` then says why.
     """
 
     def __init__(
@@ -48,6 +49,7 @@ class Sources:
     ) -> None:
         self._loaders = {n: f for n, f in loaders.items() if n.split(".")[0] not in off}
         self._loaded: dict[str, DataFrame | None] = {}
+        self.unavailable: dict[str, str] = {}
 
     def without(self, *off: str) -> Sources:
         return Sources(self._loaders, off)
@@ -61,8 +63,9 @@ class Sources:
         if name not in self._loaded:
             try:
                 self._loaded[name] = self._loaders[name]()
-            except AnalysisException:
+            except (AnalysisException, Py4JJavaError) as error:
                 self._loaded[name] = None
+                self.unavailable[name] = str(error)
         return self._loaded[name]
 
     def has(self, *alternatives: str) -> bool:
