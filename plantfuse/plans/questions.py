@@ -52,5 +52,5 @@ def highest_energy_cost(operations: DataFrame) -> DataFrame:
     )
 
 
-def machines_of(operations: DataFrame, factory: str) -> DataFrame:
+def machines_of(operations: DataFrame, factory: str | int) -> DataFrame:
     return operations.where(F.col("factory") == factory)

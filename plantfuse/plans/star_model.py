@@ -72,7 +72,7 @@ def machines(customer: DataFrame) -> DataFrame:
         F.col("c_custkey").alias("machine_id"),
         F.col("c_name").alias("machine_name"),
         F.col("c_mktsegment").alias("production_line"),
-        F.concat(F.lit("factory "), F.col("c_nationkey").cast("string")).alias("factory"),
+        F.col("c_nationkey").alias("factory"),
         F.when(F.col("c_acctbal") < 0, "stopped").otherwise("running").alias("status"),
     )
 
