@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def day_after(start: str, days: Column) -> Column:
     return F.date_add(F.lit(start).cast("date"), days.cast("int")).cast("string")
 
 
-def production_plans(index: DataFrame, i: str = "i") -> DataFrame:
+def production_plans(index: DataFrame, i: str = "id") -> DataFrame:
     """A plan per index 1, 2, ...: machine and product in turn, every other day."""
     n = F.col(i).cast("long")
     target = 100 + n * 15
@@ -72,7 +74,7 @@ def production_plans(index: DataFrame, i: str = "i") -> DataFrame:
     )
 
 
-def inventory_levels(index: DataFrame, i: str = "i") -> DataFrame:
+def inventory_levels(index: DataFrame, i: str = "id") -> DataFrame:
     """A stock record per index 1, 2, ...: falling stock, never below a minimum."""
     n = F.col(i).cast("long")
     material = cycle(n, MATERIALS)
@@ -89,7 +91,7 @@ def inventory_levels(index: DataFrame, i: str = "i") -> DataFrame:
     )
 
 
-def quality_inspections(index: DataFrame, seed: int = 42, i: str = "i") -> DataFrame:
+def quality_inspections(index: DataFrame, seed: int = 42, i: str = "id") -> DataFrame:
     """A random-looking inspection per index.
 
     The draws come from a hash of seed and index, so a row is the same however
@@ -97,26 +99,33 @@ def quality_inspections(index: DataFrame, seed: int = 42, i: str = "i") -> DataF
     times as likely as fails or warnings; only the latter have defects.
     """
     n = F.col(i).cast("long")
-    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), n.cast("string")))
-
-    def draw(place: int, below: int) -> Column:
-        """A whole number from 0, from the place-th run of five hex digits."""
-        digits = F.substring("digest", 1 + place * 5, 5)
-        return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(below))
-
-    def pick(place: int, values: list[str]) -> Column:
-        return cycle(draw(place, len(values)) + 1, values)
-
-    drawn = index.select(n.alias("inspection_id"), digest.alias("digest")).select(
+    text = F.concat_ws(":", F.lit(seed).cast("string"), n.cast("string"))
+    # Fifteen hex digits make a whole number below 2**60; its digits in a mixed
+    # base are the draws.
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    bases = {
+        "machine": MACHINE_COUNT,
+        "inspector": len(INSPECTORS),
+        "hours": INSPECTION_HOURS + 1,
+        "result": len(RESULTS),
+        "defects": MAX_DEFECTS,
+        "note": lcm(*map(len, NOTES.values())),
+    }
+    taken, draw = 1, {}
+    for name, base in bases.items():
+        draw[name] = F.expr(f"number DIV {taken} % {base}")
+        taken *= base
+
+    drawn = index.select(n.alias("inspection_id"), number.alias("number")).select(
         "inspection_id",
-        (draw(0, MACHINE_COUNT) + 1).alias("machine_id"),
-        pick(1, INSPECTORS).alias("inspector_name"),
+        (draw["machine"] + 1).alias("machine_id"),
+        cycle(draw["inspector"] + 1, INSPECTORS).alias("inspector_name"),
         F.timestamp_add(
-            "HOUR", draw(2, INSPECTION_HOURS + 1), F.lit(INSPECTION_START).cast("timestamp_ntz")
+            "HOUR", draw["hours"], F.lit(INSPECTION_START).cast("timestamp_ntz")
         ).alias("inspection_time"),
-        pick(3, RESULTS).alias("result"),
-        (draw(4, MAX_DEFECTS) + 1).alias("defects"),
-        *[pick(5, notes).alias(f"{result}_note") for result, notes in NOTES.items()],
+        cycle(draw["result"] + 1, RESULTS).alias("result"),
+        (draw["defects"] + 1).alias("defects"),
+        (draw["note"] + 1).alias("note"),
     )
     result = F.col("result")
     return drawn.select(
@@ -126,5 +135,7 @@ def quality_inspections(index: DataFrame, seed: int = 42, i: str = "i") -> DataF
         "inspection_time",
         "result",
         F.when(result == "pass", 0).otherwise(F.col("defects")).alias("defect_count"),
-        F.coalesce(*[F.when(result == r, F.col(f"{r}_note")) for r in NOTES]).alias("notes"),
+        F.coalesce(
+            *[F.when(result == r, cycle(F.col("note"), notes)) for r, notes in NOTES.items()]
+        ).alias("notes"),
     )

@@ -3,49 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantfuse.sources import values_frame
+# For each kind of sensor where warning begins, beyond what a
+# value is critical, and whether low values are the bad ones.
+SENSOR_BANDS = {
+    "temperature": (85.0, 95.0, False),
+    "pressure": (4.0, 4.5, False),
+    "vibration": (7.0, 9.0, False),
+    "humidity": (70.0, 75.0, False),
+    "flow_rate": (10.0, 5.0, True),
+    "rotation": (4000.0, 4500.0, False),
+}
 
-# Where warning and critical begin for each kind of sensor. For
-# flow rate low values are the bad ones.
-SENSOR_BANDS = """
-    ('temperature', 85.0,   95.0,   false),
-    ('pressure',    4.0,    4.5,    false),
-    ('vibration',   7.0,    9.0,    false),
-    ('humidity',    70.0,   75.0,   false),
-    ('flow_rate',   10.0,   5.0,    true),
-    ('rotation',    4000.0, 4500.0, false)
-"""
+Bands = Mapping[str, tuple[float, float, bool]]
 
 
-def bands_frame(spark: SparkSession, rows: str = SENSOR_BANDS) -> DataFrame:
-    """(kind, warning_at, critical_beyond, low_is_bad), one row per kind."""
-    return values_frame(spark, rows, "kind, warning_at, critical_beyond, low_is_bad")
+def band(kind: Column, value: Column, bands: Bands) -> Column:
+    """critical beyond its limit, warning at or beyond its own, else normal.
 
+    NULL where the kind has no bands or there is no value. Readings have few
+    kinds, so a join on the kind would pile them up in a few tasks; the bands
+    become one expression instead and nothing is shuffled or broadcast.
+    """
 
-def classify(readings: DataFrame, kind: str, value: str, bands: DataFrame) -> DataFrame:
-    """Adds ``band``: critical beyond its limit, warning at or beyond its own, else normal.
+    def level(warning_at: float, critical_beyond: float, low_is_bad: bool) -> Column:
+        critical = value < critical_beyond if low_is_bad else value > critical_beyond
+        warning = value <= warning_at if low_is_bad else value >= warning_at
+        graded = F.when(critical, "critical").when(warning, "warning")
+        return graded.when(value.isNotNull(), "normal")
 
-    NULL where the kind has no bands or there is no value. The bands hold one
-    row per kind and are written out in the query, which bounds the broadcast.
-    """
-    b = F.broadcast(bands).alias("b")
-    # With low values bad, negating value and limits gives the same comparison.
-    sign = F.when(F.col("b.low_is_bad"), -1).otherwise(1)
-    level = F.col(value).cast("double") * sign
-    limit = {name: F.col(f"b.{name}").cast("double") * sign for name in ("warning_at", "critical_beyond")}
-    band = (
-        F.when(level.isNull() | F.col("b.kind").isNull(), F.lit(None).cast("string"))
-        .when(level > limit["critical_beyond"], "critical")
-        .when(level >= limit["warning_at"], "warning")
-        .otherwise("normal")
-    )
-    return readings.join(b, F.col(kind) == F.col("b.kind"), "left").select(
-        *[readings[c] for c in readings.columns], band.alias("band")
-    )
+    by_kind = [(kind == name, level(*limits)) for name, limits in bands.items()]
+    return reduce(lambda c, branch: c.when(*branch), by_kind[1:], F.when(*by_kind[0]))
 
 
 def at_or_below_reorder_point(stock: DataFrame, on_hand: str, reorder_point: str) -> DataFrame:

@@ -66,12 +66,12 @@ EVENT_GROUPS = """
     ('purchase', 'account', CAST(5.0 AS DECIMAL(4,1)))
 """
 
-EVENT_BANDS = """
-    ('click',    20.0,  100.0, false),
-    ('view',     50.0,  200.0, false),
-    ('purchase', 100.0, 300.0, false),
-    ('error',    10.0,  5.0,   true)
-"""
+EVENT_BANDS = {
+    "click": (20.0, 100.0, False),
+    "view": (50.0, 200.0, False),
+    "purchase": (100.0, 300.0, False),
+    "error": (10.0, 5.0, True),
+}
 
 
 def plain(frame: DataFrame) -> DataFrame:
@@ -487,9 +487,8 @@ def q_filter_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = star_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    bands = rules.bands_frame(spark, EVENT_BANDS)
-    return rules.classify(events, "event_type", "value", bands).select("event_id", "band")
+    graded = rules.band(F.col("event_type"), F.col("value"), EVENT_BANDS)
+    return star_table(spark, sf_dir, "events").select("event_id", graded.alias("band"))
 
 
 def reorder_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,7 +527,7 @@ def generate_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
-    return star_table(spark, sf_dir, table).select((F.col(key) + 1).alias("i"))
+    return star_table(spark, sf_dir, table).select((F.col(key) + 1).alias("id"))
 
 
 QUERIES = {

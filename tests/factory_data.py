@@ -9,6 +9,7 @@ from decimal import Decimal
 from plantfuse.sources import Sources, rows_frame
 from plantfuse.sources.factory import factory_source
 
+# Fixed values of the machine master and of what its facts add up to.
 MACHINES = [
     (1, "CNCミル 01", "ライン1", "A棟", "稼働中"),
     (2, "CNCミル 02", "ライン1", "A棟", "稼働中"),

@@ -41,6 +41,25 @@ def test_reconcile_reports_each_outcome(spark):
     assert checks.all_passed(report.where("status = 'PASS'")).first()[0] is True
 
 
+def test_counting_one_by_one_isolates_an_unreadable_table(spark, tmp_path):
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    spark.range(4).write.parquet(str(good))
+    bad.mkdir()
+    (bad / "part.parquet").write_bytes(b"not a parquet file")
+    counts = checks.table_counts_one_by_one(
+        spark,
+        {
+            t.name: lambda t=t: TableSource.parquet(str(t), "id BIGINT").load(spark)
+            for t in (good, bad, tmp_path / "absent")
+        },
+    )
+    assert {(r.table_name, r.actual_rows, r.failure) for r in counts.collect()} == {
+        ("good", 4, None),
+        ("bad", None, "ERROR"),
+        ("absent", None, "FAIL"),
+    }
+
+
 def test_constraint_violations(spark):
     frame = spark.createDataFrame(
         [(1, "abc"), (1, "abcd"), (1, None), (2, "a"), (None, "a"), (None, "b")], "k INT, s STRING"
