@@ -74,9 +74,16 @@ def create_table(
     spark.sql(" ".join(clauses))
 
 
-def save_summary(frame: DataFrame, table: str) -> DataFrame:
-    """Creates or replaces a table from a query and reads it back."""
-    frame.write.mode("overwrite").saveAsTable(table)
+def save_summary(frame: DataFrame, table: str, format: str = "parquet") -> DataFrame:
+    """Creates or replaces a table from a query and reads it back.
+
+    Table formats replace it in one commit. Plain files cannot: readers may find
+    the table missing until the write ends.
+    """
+    if format in ("delta", "iceberg"):
+        frame.writeTo(table).using(format).createOrReplace()
+    else:
+        frame.write.format(format).mode("overwrite").saveAsTable(table)
     return frame.sparkSession.table(table)
 
 

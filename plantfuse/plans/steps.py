@@ -5,19 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from plantfuse.operators import load
 from plantfuse.plans import summaries
 from plantfuse.sources import Sources
+from plantfuse.sources.catalogs import qualified
 
 
 @dataclass(frozen=True)
 class Step:
-    """A summary, and the tables it needs; of a tuple of tables any one will do."""
+    """A summary, and the tables it needs; of a tuple of tables any one will do.
+
+    A stored one is kept as a table, the others are asked for as needed.
+    """
 
     name: str
     build: Callable[[Sources], DataFrame]
     needs: tuple[tuple[str, ...], ...]
+    stored: bool = False
 
     def can_run(self, sources: Sources) -> bool:
         return all(sources.has(*alternatives) for alternatives in self.needs)
@@ -33,6 +39,7 @@ STEPS = (
             ("redshift.production_events",),
             ("redshift.quality_inspections",),
         ),
+        stored=True,
     ),
     Step(
         "maintenance_summary",
@@ -64,6 +71,7 @@ STEPS = (
             ("bigquery.downtime_records",),
             ("bigquery.cost_allocation",),
         ),
+        stored=True,
     ),
 )
 
@@ -71,3 +79,16 @@ STEPS = (
 def runnable_steps(sources: Sources) -> dict[str, DataFrame]:
     """The summaries all of whose inputs resolve; the others are left out."""
     return {step.name: step.build(sources) for step in STEPS if step.can_run(sources)}
+
+
+def store_summaries(
+    spark: SparkSession, sources: Sources, schema: str, catalog: str | None = None
+) -> dict[str, DataFrame]:
+    """Creates or replaces the stored summaries that can be built, and reads them back."""
+    if catalog is None:
+        load.create_schema(spark, schema)
+    return {
+        step.name: load.save_summary(step.build(sources), qualified(catalog, schema, step.name))
+        for step in STEPS
+        if step.stored and step.can_run(sources)
+    }

@@ -181,6 +181,18 @@ def test_machines_without_facts(spark):
     )
 
 
+def test_stored_summaries_are_replaced(spark):
+    sources = factory_sources(spark)
+    for _ in range(2):
+        stored = steps.store_summaries(spark, sources, "analysis")
+        assert {n: f.count() for n, f in stored.items()} == {
+            "machine_health_summary": 10,
+            "factory_operations_union": 10,
+        }
+    assert spark.table("analysis.machine_health_summary").columns[0] == "machine_id"
+    assert steps.store_summaries(spark, sources.without("redshift"), "analysis") == {}
+
+
 ALL_STEPS = {s.name for s in steps.STEPS}
 
 
