@@ -64,8 +64,8 @@ def with_totals(
     wide = dimension.withColumn("_key", F.col(key).cast("long"))
     measures = []
     for t in totals:
-        wide = wide.join(t.withColumnRenamed(key, "_total_key"), F.col("_key") == F.col("_total_key"), "left")
-        wide = wide.drop("_total_key")
+        keyed = t.withColumnRenamed(key, "_total_key")
+        wide = wide.join(keyed, F.col("_key") == F.col("_total_key"), "left").drop("_total_key")
         measures += [m for m in t.columns if m != key]
     return wide.select(
         *dimension.columns,
@@ -111,9 +111,12 @@ def joined_totals(
     one row of its frame stands for.
     """
     rows = one() if left_rows is None else left_rows
-    left_totals = totals_by_key(key, Fact(left.frame, left.key, {**left.adds, LEFT_ROWS: rows}))
-    right_totals = totals_by_key(key, Fact(right.frame, right.key, {**right.adds, RIGHT_ROWS: one()}))
-    joined = with_totals(dimension, key, [left_totals, right_totals], zero=(LEFT_ROWS, RIGHT_ROWS))
+    sides = [
+        Fact(left.frame, left.key, {**left.adds, LEFT_ROWS: rows}),
+        Fact(right.frame, right.key, {**right.adds, RIGHT_ROWS: one()}),
+    ]
+    totals = [totals_by_key(key, side) for side in sides]
+    joined = with_totals(dimension, key, totals, zero=(LEFT_ROWS, RIGHT_ROWS))
     repeats = {m: RIGHT_ROWS for m in left.adds} | {m: LEFT_ROWS for m in right.adds}
 
     def measure(name: str) -> Column:

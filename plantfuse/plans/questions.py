@@ -9,7 +9,9 @@ from plantfuse.functions import pass_rate
 
 
 def health_ranked(health: DataFrame) -> DataFrame:
-    return health.orderBy(F.desc("sensor_critical_count"), F.desc("error_event_count"), "machine_id")
+    return health.orderBy(
+        F.desc("sensor_critical_count"), F.desc("error_event_count"), "machine_id"
+    )
 
 
 def most_anomalies(operations: DataFrame, top: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ and BOOLEAN columns over the whole of the tables it names.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,10 @@ CONSTRAINTS = {
         "o_orderkey BIGINT NOT NULL, o_custkey BIGINT NOT NULL, o_orderpriority VARCHAR(10)",
         ("o_orderkey",),
     ),
-    "lineitem": ("l_orderkey BIGINT NOT NULL, l_linenumber INT NOT NULL", ("l_orderkey", "l_linenumber")),
+    "lineitem": (
+        "l_orderkey BIGINT NOT NULL, l_linenumber INT NOT NULL",
+        ("l_orderkey", "l_linenumber"),
+    ),
     "events": ("event_id BIGINT NOT NULL, event_type VARCHAR(5) NOT NULL", ("event_id",)),
 }
 
@@ -164,7 +168,8 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         defaults={"channel": "normal"},
     )
     orders = star_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    load.append_rows(orders.where("o_orderstatus = 'P'").withColumn("channel", F.lit("held")), table)
+    held = orders.where("o_orderstatus = 'P'").withColumn("channel", F.lit("held"))
+    load.append_rows(held, table)
     return load.append_rows(orders.where("o_orderstatus <> 'P'"), table)
 
 
@@ -248,11 +253,9 @@ def load_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fresh_table(spark: SparkSession, name: str) -> str:
-    """A table name whose table does not exist, in a schema under the shared folder."""
+    """A table name not used before, in a schema under the shared folder."""
     load.create_schema(spark, "plantfuse")
-    table = f"plantfuse.{name}"
-    load.drop_table(spark, table)
-    return table
+    return f"plantfuse.{name}_{uuid.uuid4().hex}"
 
 
 # Checks and metadata

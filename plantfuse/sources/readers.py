@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -120,6 +121,8 @@ def values_frame(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
 
-def rows_frame(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
-    """A short list of Python rows under a declared schema."""
-    return spark.createDataFrame(list(rows), schema)
+def rows_frame(
+    spark: SparkSession, rows: Sequence[tuple] | pd.DataFrame, schema: T.StructType | str
+) -> DataFrame:
+    """A short list of rows, or a small pandas frame, under a declared schema."""
+    return spark.createDataFrame(rows, schema)

@@ -1,6 +1,8 @@
 """Writing tables."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plantfuse.operators import checks, keys, load
@@ -99,6 +101,37 @@ def test_insert_if_absent(spark, schema):
     assert spark.table(name).count() == 3
 
 
+row = st.tuples(st.integers(0, 6), st.sampled_from("abc"), st.integers(0, 3))
+
+
+@settings(
+    max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(target=st.sets(st.integers(0, 6)), incoming=st.lists(row, max_size=20))
+def test_rows_to_insert_by_brute_force(spark, target, incoming):
+    columns = "k INT, v STRING, at INT"
+    stored = spark.createDataFrame([(k, "old", 0) for k in target], columns)
+    frame = spark.createDataFrame(incoming, columns)
+    new = load.rows_to_insert(frame, stored, ["k"], [F.col("at")])
+    expected = {}
+    for k, v, at in incoming:
+        if k not in target:
+            expected[k] = min(expected.get(k, (at, v)), (at, v))
+    assert {r.k: (r.at, r.v) for r in new.collect()} == expected
+
+
+def test_a_hot_key_is_combined_before_the_shuffle(spark):
+    frame = spark.range(0, 3000, 1, 6).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(0).alias("k"), F.col("id").alias("at")
+    )
+    first = load.first_per_key(frame, ["k"], [F.col("at")])
+    assert first.count() == 2001
+    assert first.where("k = 0").first().at == 0
+    text = first._jdf.queryExecution().executedPlan().toString()
+    assert text.index("partial_min") > text.index("Exchange hashpartitioning")
+    assert "Window" not in text
+
+
 def test_external_table_outlives_its_drop(spark, schema):
     path = shared_path(spark, "ext")
     load.overwrite_files(spark.range(4), path)

@@ -41,7 +41,7 @@ def test_reorder_point_itself_alerts(spark):
 
 
 def test_secured_view(spark):
-    frame = spark.createDataFrame([(1, "secret", 5), (2, "other", -5)], "id INT, name STRING, n INT")
+    frame = spark.createDataFrame([(1, "secret", 5), (2, "x", -5)], "id INT, name STRING, n INT")
     view = rules.secured_view(
         frame, "shown", F.col("n") > 0, {"name": F.lit("***")}, hidden=("n",)
     )

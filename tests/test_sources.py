@@ -1,11 +1,12 @@
 """Readers, names, catalogs and the registry, as far as they go without a database."""
 
+import pandas as pd
 import pytest
 
 from plantfuse.operators import load
 from plantfuse.plans import steps
 from plantfuse.session import shared_path
-from plantfuse.sources import Sources, TableSource, catalogs, values_frame
+from plantfuse.sources import Sources, TableSource, catalogs, rows_frame, values_frame
 from plantfuse.sources.factory import FACTORY_SOURCES, Names, catalog_sources, factory_source
 from plantfuse.sources.readers import JDBC_PRODUCTS, jdbc_url
 
@@ -51,7 +52,7 @@ def test_sources_the_cluster_cannot_read_are_unavailable(spark):
     sources = Sources(
         {
             "a.delta": lambda: TableSource.delta("/x").load(spark),
-            "b.jdbc": lambda: TableSource.jdbc("jdbc:none:x", "t", "u", "p", "no.Driver").load(spark),
+            "b.jdbc": lambda: TableSource.jdbc("jdbc:x", "t", "u", "p", "no.Driver").load(spark),
             "c.file": lambda: TableSource.parquet("/nowhere").load(spark),
             "d.live": lambda: spark.range(3),
         }
@@ -124,3 +125,14 @@ def test_inline_values_keep_their_types(spark):
         spark, "(1, DATE '2025-01-01', CAST(8 AS DECIMAL(4,1)))", "shift_id, shift_date, hours"
     )
     assert dict(frame.dtypes) == {"shift_id": "int", "shift_date": "date", "hours": "decimal(4,1)"}
+
+
+def test_rows_and_pandas_frames_take_the_declared_schema(spark):
+    schema = "id BIGINT, name STRING, done BOOLEAN"
+    pandas = pd.DataFrame({"id": [1, 2], "name": ["a", None], "done": [True, False]})
+    rows = [(1, "a", True), (2, None, False)]
+    made = [rows_frame(spark, source, schema) for source in (rows, pandas)]
+    assert made[0].collect() == made[1].collect()
+    assert made[0].schema == made[1].schema
+    path = shared_path(spark, "from-pandas")
+    assert load.overwrite_files(made[1], path).orderBy("id").first().name == "a"

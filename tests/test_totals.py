@@ -5,10 +5,17 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plantfuse.functions import exact_sum, flag, ticks
-from plantfuse.operators.totals import Fact, distinct_ids, joined_totals, one, totals_by_key, with_totals
-from pyspark.sql import functions as F
+from plantfuse.operators.totals import (
+    Fact,
+    distinct_ids,
+    joined_totals,
+    one,
+    totals_by_key,
+    with_totals,
+)
 
 LEFT = "k INT, id INT, state STRING"
 RIGHT = "k BIGINT, amount DECIMAL(8,2)"
