@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantfuse.functions import zero_if_null
 
@@ -34,6 +35,12 @@ def one() -> Column:
     return F.lit(1).cast("long")
 
 
+def wide_key(frame: DataFrame, key: str) -> Column:
+    """The key, whole numbers as BIGINT: sources declare the same key INT or BIGINT."""
+    whole = isinstance(frame.schema[key].dataType, T.IntegralType)
+    return F.col(key).cast("long") if whole else F.col(key)
+
+
 def totals_by_key(key: str, *facts: Fact) -> DataFrame:
     """One row per key. Several facts with the same measures count as their ``UNION ALL``.
 
@@ -44,7 +51,7 @@ def totals_by_key(key: str, *facts: Fact) -> DataFrame:
         DataFrame.unionByName,
         [
             f.frame.where(F.col(f.key).isNotNull()).select(
-                F.col(f.key).cast("long").alias(key),
+                wide_key(f.frame, f.key).alias(key),
                 *[added.alias(measure) for measure, added in f.adds.items()],
             )
             for f in facts
@@ -61,7 +68,7 @@ def with_totals(
     No broadcast hint: all sides grow with the data, so the choice is left to
     Spark, which knows their sizes.
     """
-    wide = dimension.withColumn("_key", F.col(key).cast("long"))
+    wide = dimension.withColumn("_key", wide_key(dimension, key))
     measures = []
     for t in totals:
         keyed = t.withColumnRenamed(key, "_total_key")

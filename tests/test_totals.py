@@ -94,6 +94,13 @@ def test_facts_with_the_same_measures_add_up(spark):
     assert {tuple(r) for r in some.collect()} == {(1, 3, 10), (2, 1, None), (3, 0, None)}
 
 
+def test_keys_may_be_text(spark):
+    d = spark.createDataFrame([("a",), ("b",)], "k STRING")
+    fact = Fact(spark.createDataFrame([("a",), ("a",)], "k STRING"), "k", {"n": one()})
+    joined = with_totals(d, "k", [totals_by_key("k", fact)])
+    assert {tuple(r) for r in joined.collect()} == {("a", 2), ("b", 0)}
+
+
 def test_exact_sum_does_not_depend_on_order(spark):
     values = [0.1, 0.2, 0.3, 1e12, -1e12, 1234.5678] * 7
     frames = [
