@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantfuse.functions import flag
+
 
 def union_with_source(
     tables: Mapping[str, DataFrame], columns: Sequence[str], source: str = "source"
@@ -22,21 +24,30 @@ def copy_differences(
 ) -> DataFrame:
     """Keys on which two copies of a table disagree, and how.
 
-    ``difference`` is only_left, only_right or values; ``changed`` lists the
-    columns whose values differ, NULL counting as a value.
+    ``difference`` is only_left, only_right, repeated (a copy holds the key more
+    than once) or values; ``changed`` then lists the columns whose values
+    differ, NULL counting as a value. Both copies are stacked and grouped in one
+    shuffle: joined, a key that is repeated in both would give all its pairs.
     """
-    l = left.select(key, *columns).withColumn("_left", F.lit(True)).alias("l")
-    r = right.select(key, *columns).withColumn("_right", F.lit(True)).alias("r")
-    differs = {c: ~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns}
-    joined = l.join(r, F.col(f"l.{key}") == F.col(f"r.{key}"), "full")
+    stacked = union_with_source({"left": left, "right": right}, [key, *columns], "_copy")
+    copies = {c: F.col("_copy") == c for c in ("left", "right")}
+    values = [
+        F.max(F.when(here, F.col(c))).alias(f"_{copy}_{c}")
+        for copy, here in copies.items()
+        for c in columns
+    ]
+    rows = [F.sum(flag(here)).alias(f"_{copy}") for copy, here in copies.items()]
+    per_key = stacked.groupBy(key).agg(*rows, *values)
+    differs = {c: ~F.col(f"_left_{c}").eqNullSafe(F.col(f"_right_{c}")) for c in columns}
     difference = (
-        F.when(F.col("_right").isNull(), "only_left")
-        .when(F.col("_left").isNull(), "only_right")
+        F.when(F.col("_right") == 0, "only_left")
+        .when(F.col("_left") == 0, "only_right")
+        .when(F.greatest("_left", "_right") > 1, "repeated")
         .when(reduce(lambda a, b: a | b, differs.values()), "values")
     )
     changed = F.concat_ws(",", *[F.when(d, F.lit(c)) for c, d in differs.items()])
-    return joined.select(
-        F.coalesce(F.col(f"l.{key}"), F.col(f"r.{key}")).alias(key),
+    return per_key.select(
+        key,
         difference.alias("difference"),
         F.when(difference == "values", changed).alias("changed"),
     ).where(F.col("difference").isNotNull())

@@ -138,10 +138,12 @@ def rows_to_insert(
 ) -> DataFrame:
     """The incoming rows whose key the target lacks, the first of each key.
 
-    A NULL in the key stops the job, as a primary key would.
+    A NULL in the key stops the job, as a primary key would. Both sides are
+    reduced to one row per key before the join that leaves out the known ones.
     """
     checked = incoming.withColumns({k: _required(k) for k in key})
-    return first_per_key(checked, key, order).join(target.select(*key), list(key), "left_anti")
+    known = target.select(*key).distinct()
+    return first_per_key(checked, key, order).join(known, list(key), "left_anti")
 
 
 def insert_if_absent(

@@ -65,6 +65,7 @@ def with_totals(
 ) -> DataFrame:
     """Every dimension row with its totals; measures in ``zero`` (or all) read 0 where absent.
 
+    The dimension holds one row per entity, which ``constraint_violations`` can check.
     No broadcast hint: all sides grow with the data, so the choice is left to
     Spark, which knows their sizes.
     """

@@ -107,6 +107,9 @@ def test_copy_differences(spark):
         (11, "only_right", None),
     }
     assert combine.copy_differences(machines, machines, "machine_id", columns).count() == 0
+    twice = machines.unionByName(machines.where("machine_id IN (2, 3)"))
+    again = combine.copy_differences(twice, machines, "machine_id", columns)
+    assert {tuple(r) for r in again.collect()} == {(2, "repeated", None), (3, "repeated", None)}
 
 
 def test_union_keeps_provenance(spark):

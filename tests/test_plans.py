@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from plantfuse.operators import load
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -60,7 +62,7 @@ def exchanges(text):
         ("fanout_maintenance", 4),
         ("group_count", 1),
         ("union_all_quality", 1),
-        ("master_diff", 2),
+        ("master_diff", 1),
         ("scan_parquet", 0),
         ("classify_bands", 0),
         ("apply_defaults", 0),
@@ -82,6 +84,13 @@ def test_key_offsets_are_broadcast(shuffled):
     assert "BroadcastHashJoin" in shuffled("surrogate_key")
 
 
+def test_inserting_shuffles_each_side_once(spark, shuffled):
+    rows = spark.range(10).select((F.col("id") % 3).alias("k"), "id")
+    new = load.rows_to_insert(rows, spark.range(2).toDF("k"), ["k"], [F.col("id")])
+    assert exchanges(new._jdf.queryExecution().executedPlan().toString()) == 2
+    assert [tuple(r) for r in new.collect()] == [(2, 2)]
+
+
 def test_filters_and_columns_reach_the_files(spark):
     text = plan(spark, "secured_view")
     assert "GreaterThanOrEqual(c_acctbal,0.0)" in text
