@@ -81,21 +81,6 @@ def all_passed(reconciled: DataFrame) -> DataFrame:
     return reconciled.agg(F.every(F.col("status") == "PASS").alias("all_passed"))
 
 
-def storable_schema(ddl: str) -> T.StructType:
-    """The declared columns with VARCHAR(n) read as text, comments kept."""
-    return T.StructType(
-        [
-            T.StructField(
-                f.name,
-                T.StringType() if isinstance(f.dataType, T.VarcharType) else f.dataType,
-                f.nullable,
-                f.metadata,
-            )
-            for f in T.StructType.fromDDL(ddl)
-        ]
-    )
-
-
 def constraint_violations(
     frame: DataFrame, table: str, ddl: str, key: Sequence[str] = ()
 ) -> DataFrame:

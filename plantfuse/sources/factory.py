@@ -7,7 +7,7 @@ them to BIGINT. Dates held as text stay text here and are cast where used.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -369,9 +369,26 @@ def catalog_sources(
 ) -> Sources:
     """All factory tables through the catalogs registered in the session."""
     names = names or Names()
-    loaders = {}
-    for source in FACTORY_SOURCES:
-        for table in source.tables:
-            reader = TableSource.table(names.table(source, table.name))
-            loaders[f"{source.key}.{table.name}"] = lambda reader=reader: reader.load(spark)
-    return Sources(loaders, off)
+    return _sources(spark, lambda s, t: TableSource.table(names.table(s, t.name)), off)
+
+
+def file_sources(spark: SparkSession, folder: str, off: Collection[str] = ()) -> Sources:
+    """All factory tables as Parquet under ``folder/source/table``, in their declared types."""
+    return _sources(
+        spark, lambda s, t: TableSource.parquet(f"{folder}/{s.key}/{t.name}", t.ddl), off
+    )
+
+
+def _sources(
+    spark: SparkSession,
+    reader: Callable[[SourceDef, TableDef], TableSource],
+    off: Collection[str],
+) -> Sources:
+    return Sources(
+        {
+            f"{s.key}.{t.name}": lambda s=s, t=t: reader(s, t).load(spark)
+            for s in FACTORY_SOURCES
+            for t in s.tables
+        },
+        off,
+    )

@@ -32,7 +32,7 @@ class TableSource:
             return spark.table(self.path)
         reader = spark.read.format(self.format).options(**self.options)
         if self.schema is not None:
-            reader = reader.schema(self.schema)
+            reader = reader.schema(storable_schema(self.schema))
         return reader.load(self.path) if self.path else reader.load()
 
     @staticmethod
@@ -109,6 +109,22 @@ class TableSource:
         return TableSource("snowflake", options, remote=True)
 
 
+def storable_schema(declared: str | T.StructType) -> T.StructType:
+    """The declared columns as files hold them: VARCHAR(n) as text, comments kept."""
+    columns = T.StructType.fromDDL(declared) if isinstance(declared, str) else declared
+    return T.StructType(
+        [
+            T.StructField(
+                f.name,
+                T.StringType() if isinstance(f.dataType, T.VarcharType) else f.dataType,
+                f.nullable,
+                f.metadata,
+            )
+            for f in columns
+        ]
+    )
+
+
 def jdbc_url(product: str, host: str, database: str, port: int | None = None) -> str:
     port = port or JDBC_PRODUCTS[product][0]
     if product == "sqlserver":

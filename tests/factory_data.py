@@ -7,7 +7,6 @@ in the tests follow from the counts by hand.
 from decimal import Decimal
 
 from plantfuse.sources import Sources, rows_frame
-from plantfuse.sources.factory import factory_source
 
 # Fixed values of the machine master and of what its facts add up to.
 MACHINES = [
@@ -168,7 +167,3 @@ def factory_frames(spark):
 def factory_sources(spark, off=()):
     frames = factory_frames(spark)
     return Sources({name: lambda f=f: f for name, f in frames.items()}, off)
-
-
-def machine_table():
-    return factory_source("postgres").table("machines")

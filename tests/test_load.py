@@ -1,5 +1,7 @@
 """Writing tables."""
 
+from types import SimpleNamespace
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -27,6 +29,16 @@ def test_shared_path_lies_in_the_configured_folder(spark):
     assert shared_path(spark, "a") != shared_path(spark, "a")
 
 
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host"])
+def test_a_cluster_without_a_shared_folder_is_refused(master):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default),
+        sparkContext=SimpleNamespace(master=master),
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(session, "a")
+
+
 def test_overwrite_replaces_and_keeps_partitions(spark):
     path = shared_path(spark, "t")
     load.overwrite_files(spark.range(5), path)
@@ -189,8 +201,9 @@ def test_load_job_numbers_counts_and_repeats(spark, schema):
     ).withColumns({c: F.col(c).cast("date") for c in ("created_date", "due_date")})
     machines = factory_source("postgres").table("machines")
     master = spark.createDataFrame(
-        MACHINES, [f.name for f in checks.storable_schema(machines.ddl)]
-    ).withColumn("machine_id", F.col("machine_id").cast("int"))
+        MACHINES, "machine_id INT, machine_name STRING, production_line STRING, factory STRING,"
+        " status STRING"
+    )
     for _ in range(2):
         report = load_job.load_tables(spark, schema, [(orders, frame), (machines, master)])
         assert {tuple(r)[:4] for r in report.collect()} == {

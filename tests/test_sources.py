@@ -4,11 +4,18 @@ import pandas as pd
 import pytest
 
 from plantfuse.operators import load
-from plantfuse.plans import steps
+from plantfuse.plans import steps, summaries
 from plantfuse.session import shared_path
 from plantfuse.sources import Sources, TableSource, catalogs, rows_frame, values_frame
-from plantfuse.sources.factory import FACTORY_SOURCES, Names, catalog_sources, factory_source
+from plantfuse.sources.factory import (
+    FACTORY_SOURCES,
+    Names,
+    catalog_sources,
+    factory_source,
+    file_sources,
+)
 from plantfuse.sources.readers import JDBC_PRODUCTS, jdbc_url
+from tests.factory_data import factory_frames
 
 # Rows the factory tables are declared to hold.
 DECLARED_ROWS = {
@@ -62,6 +69,20 @@ def test_sources_the_cluster_cannot_read_are_unavailable(spark):
     assert "PATH_NOT_FOUND" in sources.unavailable["c.file"]
 
 
+def test_factory_files_are_read_in_their_declared_types(spark):
+    folder = shared_path(spark, "factory")
+    for name, frame in factory_frames(spark).items():
+        load.overwrite_files(frame, f"{folder}/{name.replace('.', '/')}")
+    sources = file_sources(spark, folder, off=("glue",))
+    machines = sources.first("glue.machines", "postgres.machines")
+    assert dict(machines.dtypes)["machine_name"] == "string"
+    assert machines.schema["machine_id"].metadata["comment"]
+    assert set(steps.runnable_steps(sources)) == {s.name for s in steps.STEPS}
+    health = summaries.machine_health_summary(sources).where("machine_id = 8").first()
+    assert (health.sensor_critical_count, health.total_defect_count) == (2, 12)
+    assert not sources.has("onelake.production_plans")
+
+
 def test_turned_off_sources_are_not_loaded(spark):
     def never():
         raise AssertionError("loaded a source that is off")
