@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantfuse.llm import bpe
+from plantfuse.llm import bpe, html_main, line_dedup
 from plantfuse.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,49 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_pages(table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_shared_lines(docs, result="lines").select(
+        "doc_id",
+        "lines.n_lines",
+        "lines.n_dropped",
+        F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_main_text": op8_main_text,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
+  FROM documents
+), keyed AS (
+  SELECT *, translate(
+      trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), shared AS (
+  SELECT key, max(doc_id) AS kept_in FROM keyed
+  WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT keyed.*, shared.key IS NOT NULL AND doc_id <> kept_in AS gone
+  FROM keyed LEFT JOIN shared USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), ''))
+    AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
