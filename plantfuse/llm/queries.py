@@ -8,12 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantfuse.llm import bpe, html_main, line_dedup
+from plantfuse.llm import bpe, html_main, line_dedup, simhash_cover
 from plantfuse.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(
         table(spark, sf_dir, "documents"),
@@ -45,6 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_simhash_cover": op2_simhash_cover,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_main_text": op8_main_text,
     "op10_line_dedup": op10_line_dedup,
