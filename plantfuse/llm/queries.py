@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantfuse.llm import bpe, html_main, line_dedup, prefix_hash, simhash_cover
+from plantfuse.llm import bpe, decontaminate, html_main, line_dedup, prefix_hash, simhash_cover
 from plantfuse.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op3_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(
         table(spark, sf_dir, "documents"),
@@ -62,6 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_simhash_cover": op2_simhash_cover,
     "op3_prefix_hash": op3_prefix_hash,
+    "op6_decontaminate": op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_main_text": op8_main_text,
     "op10_line_dedup": op10_line_dedup,
