@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantfuse.llm import bpe, decontaminate, html_main, line_dedup, prefix_hash, simhash_cover
+from plantfuse.llm import (
+    bpe,
+    decontaminate,
+    html_main,
+    language,
+    line_dedup,
+    prefix_hash,
+    simhash_cover,
+)
 from plantfuse.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +37,16 @@ def op3_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    held_out = F.crc32(text_id.cast("binary")) % 3 == 1
+    model = language.fit(docs, ~held_out)
+    return language.predicted(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score"
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -68,6 +86,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_simhash_cover": op2_simhash_cover,
     "op3_prefix_hash": op3_prefix_hash,
+    "op4_language": op4_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_main_text": op8_main_text,

@@ -1,0 +1,86 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plantfuse.llm import language
+from plantfuse.llm.queries import op4_language
+
+SENTENCES = {
+    "en": "the weather was fine and we walked with the others through the old town",
+    "de": "das Wetter war schön und wir gingen mit den anderen durch die alte Stadt",
+    "nl": "het weer was mooi en wij liepen met de anderen door de oude stad",
+    "fr": "le temps était beau et nous marchions avec les autres dans la vieille ville",
+    "es": "el tiempo era bueno y caminamos con los otros por la ciudad vieja",
+}
+
+
+def test_features_are_counts_of_hashed_trigrams():
+    vector = language.features("aXa axA")
+    assert vector.shape == (language.FEATURES,) and np.isclose(np.linalg.norm(vector), 1)
+    assert np.allclose(vector, language.features("axa axa"))
+    assert np.isclose((language.features("x" * 200_000) ** 2).max(), 1, atol=1e-4)
+
+
+def test_a_machine_separates_and_ignores_class_sizes():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(400, 8)).astype(np.float32)
+    positive = rows[:, 0] + 0.5 * rows[:, 1] > 0.8
+    weights = language.fit_machine(rows, positive, rounds=200)
+    right = (rows @ weights[:-1] + weights[-1] > 0) == positive
+    assert right[positive].mean() > 0.95 and right[~positive].mean() > 0.95
+
+
+def test_families_come_first():
+    texts = [" ".join(np.roll(s.split(), n)) for s in SENTENCES.values() for n in range(8)]
+    labels = [lang for lang in SENTENCES for _ in range(8)]
+    model = language.Model.fit(np.array([language.features(text) for text in texts]), labels)
+    assert model.families.classes == ["germanic", "romance"]
+    assert {name: vote.classes for name, vote in model.languages.items()} == {
+        "germanic": ["de", "en", "nl"],
+        "romance": ["es", "fr"],
+    }
+    names, scores = model.predict(["we went with the others", "nous sommes dans la ville", "12 !", None, ""])
+    assert names == ["en", "fr", "und", "und", "und"]
+    assert scores[2:] == [0, 0, 0] and 0.5 <= min(scores[:2]) <= max(scores) <= 1
+
+
+def test_one_language_or_none(spark):
+    docs = spark.createDataFrame(
+        [(1, "some words", "xx", 1.0), (2, "..", "xx", 1.0), (None, None, None, None)],
+        "doc_id long, text string, lang string, score double",
+    )
+    model = language.fit(docs, F.lit(True))
+    rows = language.predicted(docs, model).orderBy("doc_id").collect()
+    assert [tuple(row.language) for row in rows] == [("und", 0), ("xx", 1), ("und", 0)]
+    assert language.fit(docs.limit(0), F.lit(True)) is None
+    rows = language.predicted(docs, None).collect()
+    assert {row.language.lang_pred for row in rows} == {"und"}
+    assert language.predicted(docs.limit(0), model).count() == 0
+
+
+def test_the_sample_is_bounded_and_leaves_out_rare_labels(spark):
+    rows = [
+        (n, SENTENCES.get(lang, "other words"), lang)
+        for n, lang in enumerate(["en"] * 400 + ["fr"] * 300 + ["xq"])
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True), per_language=20, languages=2)
+    assert sorted(model.languages) == ["germanic", "romance"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_held_out_accuracy(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = op4_language(spark, folder).collect()
+    assert len(rows) == len(docs)
+    right = Counter()
+    for row in rows:
+        assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 3 == 1)
+        assert 0 <= row.score <= 1
+        if row.held_out:
+            right[row.lang_pred == docs[row.doc_id].lang] += 1
+    assert right[True] > 0.98 * right.total()
