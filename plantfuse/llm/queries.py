@@ -15,6 +15,7 @@ from plantfuse.llm import (
     language,
     line_dedup,
     prefix_hash,
+    quotes,
     simhash_cover,
 )
 from plantfuse.llm.shared import table
@@ -22,6 +23,10 @@ from plantfuse.llm.shared import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -84,6 +89,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quote_linking": op1_quote_linking,
     "op2_simhash_cover": op2_simhash_cover,
     "op3_prefix_hash": op3_prefix_hash,
     "op4_language": op4_language,
@@ -94,6 +100,78 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quote_linking": r"""
+WITH RECURSIVE messages AS (
+  SELECT conv_id, turn, role,
+    string_split(replace(translate(coalesce(text, ''), chr(1) || chr(2), '  '), chr(13), ''), chr(10)) AS lines
+  FROM conversations
+), lines AS (
+  SELECT conv_id, turn, role, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM messages
+), levels AS (
+  SELECT *, regexp_extract(line, '^([> 	]*)', 1) AS marks,
+    length(replace(replace(regexp_extract(line, '^([> 	]*)', 1), ' ', ''), chr(9), '')) AS level
+  FROM lines
+), bodies AS (
+  SELECT *, CASE WHEN level > 0 THEN substr(line, length(marks) + 1) ELSE line END AS body,
+    level = 0 AND coalesce(lead(level) OVER message, 0) > 0 AND regexp_matches(line,
+      '(?i)(^|[\s>\]])(wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escribe|ha scritto|escreveu)\s*:\s*$'
+    ) AS introduces
+  FROM levels WINDOW message AS (PARTITION BY conv_id, turn, role ORDER BY pos)
+), runs AS (
+  SELECT *, sum(CASE WHEN level = before AND NOT introduces AND trim(body, ' ') <> ''
+      AND trim(body_before, ' ') <> '' AND NOT after_introduction THEN 0 ELSE 1 END)
+    OVER (PARTITION BY conv_id, turn, role ORDER BY pos) AS run
+  FROM (SELECT *, lag(level) OVER message AS before, lag(body) OVER message AS body_before,
+      coalesce(lag(introduces) OVER message, false) AS after_introduction
+    FROM bodies WINDOW message AS (PARTITION BY conv_id, turn, role ORDER BY pos))
+), passages AS (
+  SELECT conv_id, turn, role, min(pos) AS pos, any_value(level) AS level,
+    list(lower(trim(regexp_replace(body, '[\s\p{Z}]+', ' ', 'g'), ' ')) ORDER BY pos) AS said,
+    lower(trim(regexp_replace(string_agg(body, chr(10) ORDER BY pos), '[\s\p{Z}]+', ' ', 'g'), ' ')) AS passage
+  FROM runs WHERE NOT introduces AND trim(body, ' ') <> '' GROUP BY conv_id, turn, role, run
+), quoted AS (
+  SELECT *, list_filter(said, lambda x: length(x) = list_max(list_transform(said, lambda y: length(y))))[1] AS line
+  FROM passages WHERE level > 0
+), own AS (
+  SELECT conv_id, turn, passage AS said FROM passages WHERE level = 0
+  UNION SELECT conv_id, turn, unnest(said) FROM passages WHERE level = 0
+), here AS (SELECT said, conv_id, min(turn) AS turn FROM own GROUP BY ALL),
+anywhere AS (SELECT said, min((conv_id, turn)) AS first, min(conv_id) AS conv_id FROM own GROUP BY said),
+linked AS (
+  SELECT q.conv_id, q.turn, q.level, q.pos,
+    CASE WHEN a.turn < q.turn THEN a.turn WHEN b.turn < q.turn THEN b.turn END AS original,
+    coalesce(c.conv_id <> q.conv_id, false) OR coalesce(d.conv_id <> q.conv_id, false) AS elsewhere
+  FROM quoted q
+  LEFT JOIN here a ON a.said = q.passage AND a.conv_id = q.conv_id
+  LEFT JOIN here b ON b.said = q.line AND b.conv_id = q.conv_id
+  LEFT JOIN anywhere c ON c.said = q.passage
+  LEFT JOIN anywhere d ON d.said = q.line
+), replies AS (
+  SELECT conv_id, turn, count(*) FILTER (WHERE original IS NOT NULL OR elsewhere) AS n_linked,
+    arg_min(original, (level, pos)) FILTER (WHERE original IS NOT NULL) AS reply_to
+  FROM linked GROUP BY ALL
+), threads AS (
+  SELECT conv_id, turn, reply_to AS root, CAST(1 AS BIGINT) AS depth FROM replies WHERE reply_to IS NOT NULL
+  UNION ALL
+  SELECT t.conv_id, t.turn, r.reply_to, t.depth + 1 FROM threads t
+  JOIN replies r ON r.conv_id = t.conv_id AND r.turn = t.root AND r.reply_to IS NOT NULL
+), tops AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM threads GROUP BY ALL),
+counts AS (
+  SELECT conv_id, turn, role, count(*) FILTER (WHERE level > 0) AS n_quotes, max(level) AS deepest
+  FROM passages GROUP BY ALL
+), texts AS (
+  SELECT conv_id, turn, role,
+    trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT introduces), ''),
+      ' ' || chr(9) || chr(10) || chr(11) || chr(12)) AS text
+  FROM bodies GROUP BY ALL
+)
+SELECT conv_id, turn, role, text, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+  CAST(coalesce(deepest, 0) AS BIGINT) AS deepest, reply_to, coalesce(root, turn) AS thread,
+  coalesce(depth, 0) AS depth,
+  row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(root, turn), turn, role, text) AS reply_order
+FROM texts LEFT JOIN counts USING (conv_id, turn, role) LEFT JOIN replies USING (conv_id, turn)
+LEFT JOIN tops USING (conv_id, turn)
+""",
     "op10_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
