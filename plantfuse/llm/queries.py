@@ -14,6 +14,7 @@ from plantfuse.llm import (
     html_main,
     language,
     line_dedup,
+    pii,
     prefix_hash,
     quotes,
     simhash_cover,
@@ -78,6 +79,16 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.personal_data(table(spark, sf_dir, "documents"))
+    return spans.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"),
+        pii.joined([*pii.BASE, *pii.VOTES]).alias("spans"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_shared_lines(docs, result="lines").select(
@@ -96,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_main_text": op8_main_text,
+    "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
 }
 
