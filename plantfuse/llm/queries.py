@@ -18,6 +18,7 @@ from plantfuse.llm import (
     prefix_hash,
     quotes,
     simhash_cover,
+    sparse_suffix,
 )
 from plantfuse.llm.shared import table
 
@@ -53,6 +54,16 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"))
+    return spans.select(
+        F.col("id").alias("doc_id"),
+        F.col("first").alias("first_word"),
+        F.col("end").alias("end_word"),
+        "n_later",
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -104,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash_cover": op2_simhash_cover,
     "op3_prefix_hash": op3_prefix_hash,
     "op4_language": op4_language,
+    "op5_sparse_suffix": op5_sparse_suffix,
     "op6_decontaminate": op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_main_text": op8_main_text,
