@@ -1,0 +1,98 @@
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline
+from plantfuse.llm import bpe, language, stages
+from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_simhash_cover import brute_components, brute_fingerprint
+
+RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+EXACT = tiktoken.Encoding(
+    "exact", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={}
+)
+
+
+def kept_by_least_id(rows):
+    """(doc_id, text) rows in order of ids: the first of each component."""
+    least = brute_components([brute_fingerprint(text) for _, text in rows])
+    return [row for at, row in enumerate(rows) if least[at] == at]
+
+
+def test_each_stage_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, dropped = docs.columns, []
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = sorted((r.doc_id, r.text) for r in docs.collect())
+        after = stage(spark, docs, sf_dir)
+        if name == "tokenization":
+            break
+        assert after.columns == columns
+        rows = sorted(after.collect())
+        texts = [(r.doc_id, r.text) for r in rows]
+        assert all(r.n_chars == len(r.text) for r in rows)
+        if name == "language_id":
+            assert set(texts) <= set(before) and len(texts) > 0.98 * len(before)
+        elif name == "line_dedup":
+            assert texts == sorted(row[:2] for row in brute_lines(before))
+            dropped.append(texts != before)
+        elif name == "near_dedup":
+            assert texts == kept_by_least_id(before)
+            dropped.append(len(texts) < len(before))
+        else:
+            assert texts == [row for row in before if not any(item in row[1] for _, item in items)]
+            dropped.append(len(texts) < len(before))
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert dropped == [True, True, True]
+    rows = after.collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids, r.decodes) for r in rows) == [
+        (doc_id, len(ids), ids, True)
+        for doc_id, text in before
+        for ids in [EXACT.encode_ordinary(text)]
+    ]
+    whole = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted(whole) == sorted(rows)
+
+
+def odd_documents(spark):
+    line = "a line of more than forty characters that several documents hold"
+    rows = [(n, f"own words {n} of this text\n{line}", "en", "s", 1, "x") for n in range(6)]
+    rows += [(None, None, None, None, None, None), (7, "", "en", "s", 0, "x"), (8, "123 !!", "en", "s", 6, "x")]
+    rows += [(0, rows[0][1], "en", "s", 1, "x"), (None, "no id but words of its own here", "en", "s", 3, None)]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long, `stage_id` string"
+    )
+
+
+def test_odd_rows_in_every_stage(spark, sf_dir):
+    docs = odd_documents(spark)
+    known = stages.known_language(docs, min_score=0.0)
+    assert known.columns == docs.columns
+    assert sorted(r.doc_id for r in known.collect() if r.doc_id is not None) == [0, 0, 1, 2, 3, 4, 5]
+    lines = stages.without_shared_lines(docs).collect()
+    assert [r.n_chars for r in lines if r.doc_id == 5] == [1]
+    assert {r.text for r in lines if r.doc_id == 2} == {"own words 2 of this text"}
+    near = stages.without_near_duplicates(docs).collect()
+    assert sorted(r.doc_id for r in near if r.doc_id in (0, 7, 8)) == [0, 0, 7, 8]
+    items = spark.createDataFrame([(1, "No ID, but words of its OWN")], "item_id long, text string")
+    clean = stages.without_benchmarks(docs, items).collect()
+    assert sorted((r.doc_id for r in clean), key=str) == [0, 0, 1, 2, 3, 4, 5, 7, 8]
+    coded = stages.tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert all(r.decodes for r in coded.collect()) and coded.count() == docs.count()
+
+
+def test_no_rows_in_any_stage(spark, sf_dir):
+    docs = odd_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_texts_of_no_learned_language_go(spark):
+    english = "the weather was fine and we walked with the others through the town"
+    french = "le temps était beau et nous marchions avec les autres dans la ville"
+    rows = [(n, text, lang) for n in range(20) for text, lang in ((english, "en"), (french, "fr"))]
+    rows.append((99, "Привет мир как дела сегодня", "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs.where("doc_id < 99"), docs["doc_id"] < 99)
+    found = {r.doc_id: r.language for r in language.predicted(docs, model).collect()}
+    assert found[99].score < stages.MIN_SCORE <= min(found[n].score for n in range(20))
