@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from plantfuse.functions import flag
 
+VIOLATIONS = "table_name STRING, rule STRING, violations BIGINT"
 COUNTED = "table_name STRING, actual_rows BIGINT, failure STRING, message STRING"
 
 
@@ -59,8 +60,11 @@ def table_counts_one_by_one(
 
 
 def _failed_count(name: str, error: Exception) -> tuple:
-    outcome = "FAIL" if isinstance(error, AnalysisException) else "ERROR"
-    return name, None, outcome, str(error)[:200]
+    unresolved = isinstance(error, AnalysisException) or isinstance(
+        error.__cause__, AnalysisException
+    )
+    outcome = "FAIL" if unresolved else "ERROR"
+    return name, None, outcome, str(error)
 
 
 def reconcile(counts: DataFrame, expected: DataFrame) -> DataFrame:
@@ -81,14 +85,18 @@ def all_passed(reconciled: DataFrame) -> DataFrame:
     return reconciled.agg(F.every(F.col("status") == "PASS").alias("all_passed"))
 
 
+def declared_columns(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
+
+
 def constraint_violations(
     frame: DataFrame, table: str, ddl: str, key: Sequence[str] = ()
 ) -> DataFrame:
     """Violations of the declared key, NOT NULL and VARCHAR(n), one row for each.
 
-    The NULL and length counts need no shuffle beyond one row per task. Only
-    the key columns are shuffled, to count rows beyond the first of each key;
-    repeated keys are combined before that, so a hot one costs a row per task.
+    One scan: the NULL and length counts go along with the groups that count
+    rows beyond the first of each key. Repeated keys are combined before the
+    shuffle, so a hot one costs a row per task.
     """
     declared = T.StructType.fromDDL(ddl)
     per_row = [
@@ -98,23 +106,25 @@ def constraint_violations(
         for f in declared
         if isinstance(f.dataType, T.VarcharType)
     ]
-    parts = []
-    if per_row:
-        names = [f"c{i}" for i in range(len(per_row))]
-        counted = frame.agg(*[F.sum(flag(p)).alias(n) for n, (_, p) in zip(names, per_row)])
-        pairs = [
-            F.struct(F.lit(label).alias("rule"), F.coalesce(n, F.lit(0)).alias("violations"))
-            for n, (label, _) in zip(names, per_row)
-        ]
-        parts.append(counted.select(F.inline(F.array(*pairs))))
+    names = [f"c{i}" for i in range(len(per_row))]
+    rules = [label for label, _ in per_row]
+    if not rules and not key:
+        return frame.sparkSession.createDataFrame([], VIOLATIONS)
+    grouped = frame.groupBy(*key) if key else frame.groupBy()
+    counted = grouped.agg(
+        F.count("*").alias("n"), *[F.sum(flag(p)).alias(n) for n, (_, p) in zip(names, per_row)]
+    )
     if key:
-        repeated = frame.groupBy(*key).agg(F.count("*").alias("n"))
-        parts.append(
-            repeated.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
-                F.lit("PRIMARY KEY " + ",".join(key)).alias("rule"), "violations"
-            )
+        rules.append("PRIMARY KEY " + ",".join(key))
+        names.append("repeated")
+        counted = counted.withColumn("repeated", F.col("n") - 1).agg(
+            *[F.sum(n).alias(n) for n in names]
         )
-    return reduce(DataFrame.unionByName, parts).select(
+    found = [
+        F.struct(F.lit(rule).alias("rule"), F.coalesce(n, F.lit(0)).alias("violations"))
+        for n, rule in zip(names, rules)
+    ]
+    return counted.select(F.inline(F.array(*found))).select(
         F.lit(table).alias("table_name"), "rule", "violations"
     )
 

@@ -49,6 +49,10 @@ NOTES = {
 }
 
 
+# The Gregorian calendar's cycle.
+CYCLE_YEARS, CYCLE_DAYS = 400, 146_097
+
+
 def cycle(index: Column, values: list[str]) -> Column:
     """The value at a 1-based index, starting over after the last."""
     place = F.pmod(index - 1, F.lit(len(values))).cast("int") + 1
@@ -56,7 +60,16 @@ def cycle(index: Column, values: list[str]) -> Column:
 
 
 def day_after(start: str, days: Column) -> Column:
-    return F.date_add(F.lit(start).cast("date"), days.cast("int")).cast("string")
+    """The day as text, for a BIGINT number of days not before 1970; years past
+    9999 have more digits.
+
+    The calendar repeats every 400 years, so the day is that of the first such
+    cycle, which any DATE can hold, with the cycles' years added.
+    """
+    since = F.unix_date(F.lit(start).cast("date")).cast("long") + days
+    first = F.date_from_unix_date(F.pmod(since, F.lit(CYCLE_DAYS)).cast("int"))
+    year = F.year(first) + F.floor(since / CYCLE_DAYS) * CYCLE_YEARS
+    return F.concat(year.cast("string"), F.date_format(first, "-MM-dd"))
 
 
 def production_plans(index: DataFrame, i: str = "id") -> DataFrame:

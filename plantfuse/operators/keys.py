@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # Fixed value: monotonically_increasing_id() keeps the row number in its low 33
@@ -13,7 +13,12 @@ ROW_BITS = 33
 
 
 def with_generated_key(
-    frame: DataFrame, name: str, order: Sequence[str], path: str, start: int = 1
+    frame: DataFrame,
+    name: str,
+    order: Sequence[str],
+    path: str,
+    start: int = 1,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Numbers the rows from ``start`` without gaps, in the order of the given columns.
 
@@ -23,15 +28,17 @@ def with_generated_key(
     sample, so only a written table gives the same partitions to both steps,
     and a lost executor cannot change them. Each partition's offset is then a
     running sum over one row per partition, which is also what is broadcast.
+
+    ``seen`` counts the rows as ``n`` where they are written: before, the
+    sample for the bounds would count some of them twice.
     """
     spark = frame.sparkSession
-    (
-        frame.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_position", F.monotonically_increasing_id())
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+    ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    if seen is not None:
+        ranged = ranged.observe(seen, F.count("*").alias("n"))
+    ranged.withColumn("_position", F.monotonically_increasing_id()).write.mode(
+        "overwrite"
+    ).parquet(path)
     numbered = (
         spark.read.parquet(path)
         .withColumn("_part", F.shiftright("_position", ROW_BITS))

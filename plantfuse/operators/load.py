@@ -30,7 +30,8 @@ def overwrite_files(
 def create_schema(spark: SparkSession, schema: str, path: str | None = None) -> None:
     """A schema if there is none, its tables kept under the shared folder."""
     path = path or shared_path(spark, schema)
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {qualified(None, '', schema)} LOCATION '{path}'")
+    name = qualified(None, "", schema)
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name} LOCATION {literal(path)}")
 
 
 def drop_table(spark: SparkSession, table: str) -> None:
@@ -59,17 +60,17 @@ def create_table(
     columns = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}"
         + ("" if f.nullable else " NOT NULL")
-        + (f" DEFAULT {_literal(defaults[f.name])}" if f.name in defaults else "")
-        + (f" COMMENT {_literal(f.metadata['comment'])}" if "comment" in f.metadata else "")
+        + (f" DEFAULT {literal(defaults[f.name])}" if f.name in defaults else "")
+        + (f" COMMENT {literal(f.metadata['comment'])}" if "comment" in f.metadata else "")
         for f in T.StructType.fromDDL(ddl)
     )
     clauses = [f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING {format}"]
     if location:
-        clauses.append(f"LOCATION {_literal(location)}")
+        clauses.append(f"LOCATION {literal(location)}")
     if comment:
-        clauses.append(f"COMMENT {_literal(comment)}")
+        clauses.append(f"COMMENT {literal(comment)}")
     if properties:
-        pairs = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in properties.items())
+        pairs = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in properties.items())
         clauses.append(f"TBLPROPERTIES ({pairs})")
     spark.sql(" ".join(clauses))
 
@@ -182,20 +183,20 @@ def column_comments(spark: SparkSession, table: str) -> dict[str, str]:
 
 
 def comment_table(spark: SparkSession, table: str, comment: str) -> None:
-    spark.sql(f"COMMENT ON TABLE {table} IS {_literal(comment)}")
+    spark.sql(f"COMMENT ON TABLE {table} IS {literal(comment)}")
 
 
 def comment_columns(spark: SparkSession, table: str, comments: Mapping[str, str]) -> None:
     for column, comment in comments.items():
-        spark.sql(f"ALTER TABLE {table} ALTER COLUMN `{column}` COMMENT {_literal(comment)}")
+        spark.sql(f"ALTER TABLE {table} ALTER COLUMN `{column}` COMMENT {literal(comment)}")
 
 
 def set_properties(spark: SparkSession, table: str, properties: Mapping[str, str]) -> None:
-    pairs = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in properties.items())
+    pairs = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in properties.items())
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({pairs})")
 
 
-def _literal(value: object) -> str:
+def literal(value: object) -> str:
     if isinstance(value, str):
         escaped = value.replace("\\", "\\\\").replace("'", "\\'")
         return f"'{escaped}'"

@@ -42,7 +42,8 @@ def wide_key(frame: DataFrame, key: str) -> Column:
 
 
 def totals_by_key(key: str, *facts: Fact) -> DataFrame:
-    """One row per key. Several facts with the same measures count as their ``UNION ALL``.
+    """One row per key, NULL one of them. Several facts with the same measures count as
+    their ``UNION ALL``.
 
     The key is widened before grouping: a cast at the join instead would need
     the totals shuffled again.
@@ -50,7 +51,7 @@ def totals_by_key(key: str, *facts: Fact) -> DataFrame:
     rows = reduce(
         DataFrame.unionByName,
         [
-            f.frame.where(F.col(f.key).isNotNull()).select(
+            f.frame.select(
                 wide_key(f.frame, f.key).alias(key),
                 *[added.alias(measure) for measure, added in f.adds.items()],
             )
@@ -66,6 +67,7 @@ def with_totals(
     """Every dimension row with its totals; measures in ``zero`` (or all) read 0 where absent.
 
     The dimension holds one row per entity, which ``constraint_violations`` can check.
+    Rows without a key are nobody's; Spark leaves them out below the totals.
     No broadcast hint: all sides grow with the data, so the choice is left to
     Spark, which knows their sizes.
     """
@@ -89,11 +91,7 @@ def distinct_ids(frame: DataFrame, key: str, id_column: str, rows: str = "id_row
 
     Grouping by both columns spreads the ids of a hot key over all tasks.
     """
-    return (
-        frame.where(F.col(key).isNotNull())
-        .groupBy(key, id_column)
-        .agg(F.count("*").alias(rows))
-    )
+    return frame.groupBy(key, id_column).agg(F.count("*").alias(rows))
 
 
 LEFT_ROWS, RIGHT_ROWS = "_left_rows", "_right_rows"

@@ -1,55 +1,98 @@
-"""Loading a source: create, replace all rows, count what arrived."""
+"""Loading a source: create, replace all rows, check and count what arrived."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Collection, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plantfuse.operators import checks, keys, load
 from plantfuse.session import shared_path
-from plantfuse.sources import TableDef
+from plantfuse.sources import SourceDef, Sources, TableDef
 from plantfuse.sources.catalogs import qualified
 
 
+class LoadError(RuntimeError):
+    """Rows that break a table's declaration."""
+
+
 def load_table(
-    spark: SparkSession, schema: str, table: TableDef, frame: DataFrame, catalog: str | None = None
+    spark: SparkSession,
+    schema: str,
+    table: TableDef,
+    frame: DataFrame,
+    catalog: str | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Creates the declared table if need be and replaces its rows.
 
     Columns the frame lacks take their declared defaults. A key the source
-    generates is numbered in the order of the other columns.
+    generates is numbered in the order of the other columns. A table of the
+    name with other columns, and stored rows that repeat a declared key or
+    break a NOT NULL or a length, stop the job. ``seen`` counts the rows sent
+    as ``n``, without reading them again.
     """
     name = qualified(catalog, schema, table.name)
     load.create_table(spark, name, table.ddl, comment=table.comment, defaults=table.defaults)
+    _same_columns(spark, name, table)
     rows = load.not_null_checked(frame, table.ddl)
     generated = table.generated_key
     if generated and generated not in frame.columns:
         path = shared_path(spark, f"{table.name}-numbered")
-        rows = keys.with_generated_key(rows, generated, frame.columns, path)
+        rows = keys.with_generated_key(rows, generated, frame.columns, path, seen=seen)
         key_type = spark.table(name).schema[generated].dataType
         rows = rows.withColumn(generated, F.col(generated).cast(key_type))
-    return load.reload_table(rows, name)
+    elif seen is not None:
+        rows = rows.observe(seen, F.count("*").alias("n"))
+    loaded = load.reload_table(rows, name)
+    broken = checks.constraint_violations(loaded, table.name, table.ddl, table.key)
+    found = [f"{row.rule}: {row.violations}" for row in broken.where("violations > 0").collect()]
+    if found:
+        raise LoadError(f"{table.name} breaks {'; '.join(found)}")
+    return loaded
+
+
+def _same_columns(spark: SparkSession, name: str, table: TableDef) -> None:
+    declared = {f.name for f in checks.declared_columns(table.ddl)}
+    found = set(spark.table(name).columns)
+    if declared != found:
+        raise LoadError(f"{name} has other columns than declared: {sorted(declared ^ found)}")
 
 
 def load_tables(
     spark: SparkSession, schema: str, tables: Sequence[tuple[TableDef, DataFrame]]
 ) -> DataFrame:
-    """Loads the tables into a schema and compares rows sent with rows stored."""
+    """Loads the tables into a schema and compares rows sent with rows stored.
+
+    Rows are counted as they are written: no input is read again for it.
+    """
     load.create_schema(spark, schema)
-    stored = {}
+    stored, sent = {}, []
     for table, frame in tables:
-        loaded = load_table(spark, schema, table, frame)
+        seen = Observation(f"sent-{table.name}")
+        loaded = load_table(spark, schema, table, frame, seen=seen)
         stored[table.name] = lambda loaded=loaded: loaded
-    sent = reduce(
-        DataFrame.unionByName,
-        [
-            frame.agg(F.count("*").alias("expected_rows")).select(
-                F.lit(table.name).alias("table_name"), "expected_rows"
-            )
-            for table, frame in tables
-        ],
+        sent.append((table.name, seen.get["n"]))
+    expected = spark.createDataFrame(sent, "table_name STRING, expected_rows BIGINT")
+    return checks.reconcile(checks.table_counts(spark, stored), expected)
+
+
+def reconcile_sources(
+    spark: SparkSession, declared: Sequence[SourceDef], sources: Sources, off: Collection[str] = ()
+) -> DataFrame:
+    """Every table whose rows are declared against the live one, counted in one job.
+
+    Tables are named ``source.table``; those of sources that are off are left out.
+    """
+    wanted = [
+        (f"{source.key}.{table.name}", table.expected_rows)
+        for source in declared
+        for table in source.tables
+        if table.expected_rows is not None and source.key not in off
+    ]
+    counts = checks.table_counts(
+        spark, {name: lambda name=name: sources.first(name) for name, _ in wanted}
     )
-    return checks.reconcile(checks.table_counts(spark, stored), sent)
+    expected = spark.createDataFrame(wanted, "table_name STRING, expected_rows BIGINT")
+    return checks.reconcile(counts, expected)

@@ -52,7 +52,3 @@ def highest_energy_cost(operations: DataFrame) -> DataFrame:
     return operations.select("machine_id", "machine_name", "energy_cost_usd").orderBy(
         F.desc("energy_cost_usd"), "machine_id"
     )
-
-
-def machines_of(operations: DataFrame, factory: str | int) -> DataFrame:
-    return operations.where(F.col("factory") == factory)

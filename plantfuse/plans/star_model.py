@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantfuse.functions import from_ticks, ticks
+from plantfuse.functions import rounded_sum
 from plantfuse.sources import Sources, TableSource
 from plantfuse.sources.star import STAR_DDL
 
@@ -78,9 +78,11 @@ def machines(customer: DataFrame) -> DataFrame:
 
 
 def inspections(orders: DataFrame, early: bool) -> DataFrame:
-    day = F.lit(SPLIT_DAY).cast("timestamp_ntz")
-    in_source = F.col("o_orderdate") < day if early else F.col("o_orderdate") >= day
-    return orders.where(in_source).select(
+    """The orders of one source as inspections; those without a day are the line's."""
+    is_early = F.coalesce(
+        F.col("o_orderdate") < F.lit(SPLIT_DAY).cast("timestamp_ntz"), F.lit(False)
+    )
+    return orders.where(is_early if early else ~is_early).select(
         F.col("o_orderkey").alias("inspection_id"),
         F.col("o_custkey").alias("machine_id"),
         inspection_result().alias("result"),
@@ -155,16 +157,16 @@ def energy_consumption(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     order has.
     """
     per_order = lineitem.groupBy("l_orderkey").agg(
-        F.sum(ticks(F.col("l_quantity"), 2)).alias("kwh"),
-        F.sum(ticks(F.col("l_extendedprice"), 2)).alias("cost"),
+        rounded_sum(F.col("l_quantity"), 2).alias("kwh"),
+        rounded_sum(F.col("l_extendedprice"), 2).alias("cost"),
     )
     return per_order.join(
         orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(
         F.col("o_orderkey").alias("record_id"),
         F.col("o_custkey").alias("machine_id"),
-        from_ticks(F.col("kwh"), 2).cast("decimal(18,2)").alias("kwh_consumed"),
-        from_ticks(F.col("cost"), 2).cast("decimal(18,2)").alias("cost_usd"),
+        F.col("kwh").cast("decimal(18,2)").alias("kwh_consumed"),
+        F.col("cost").cast("decimal(18,2)").alias("cost_usd"),
     )
 
 

@@ -77,18 +77,25 @@ STEPS = (
 
 
 def runnable_steps(sources: Sources) -> dict[str, DataFrame]:
-    """The summaries all of whose inputs resolve; the others are left out."""
+    """The summaries none of whose inputs is off; the others are left out."""
     return {step.name: step.build(sources) for step in STEPS if step.can_run(sources)}
 
 
 def store_summaries(
     spark: SparkSession, sources: Sources, schema: str, catalog: str | None = None
 ) -> dict[str, DataFrame]:
-    """Creates or replaces the stored summaries that can be built, and reads them back."""
+    """Creates or replaces the stored summaries that can be built, and reads them back.
+
+    All of them are planned, and so all their inputs found, before any is replaced.
+    """
+    planned = {
+        step.name: step.build(sources)
+        for step in STEPS
+        if step.stored and step.can_run(sources)
+    }
     if catalog is None:
         load.create_schema(spark, schema)
     return {
-        step.name: load.save_summary(step.build(sources), qualified(catalog, schema, step.name))
-        for step in STEPS
-        if step.stored and step.can_run(sources)
+        name: load.save_summary(frame, qualified(catalog, schema, name))
+        for name, frame in planned.items()
     }

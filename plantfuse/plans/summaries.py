@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantfuse.functions import flag, from_ticks, pass_rate, ticks, unbounded
+from plantfuse.functions import flag, pass_rate
 from plantfuse.operators.totals import (
     Fact,
     distinct_ids,
@@ -121,20 +123,32 @@ def operations_facts(sources: Sources) -> list[Fact]:
         Fact(
             sources.first("bigquery.cost_allocation"),
             KEY,
-            {"allocated_cost_usd": unbounded(ticks(F.col("amount_usd")))},
+            {"allocated_cost_usd": F.col("amount_usd")},
         ),
     ]
 
 
-def factory_operations_union(sources: Sources) -> DataFrame:
-    """Volumes, alarms, work, energy and cost of each machine from all five sources."""
-    totals = [totals_by_key(KEY, fact) for fact in operations_facts(sources)]
-    return with_totals(_machines(sources), KEY, totals).withColumns(
+def factory_operations_union(sources: Sources, chosen: Column | None = None) -> DataFrame:
+    """Volumes, alarms, work, energy and cost of each machine from all five sources.
+
+    With ``chosen``, a condition on the machines' columns, only those: other
+    machines' rows leave each fact before it is totalled.
+    """
+    machines, facts = _machines(sources), operations_facts(sources)
+    if chosen is not None:
+        machines = machines.where(chosen)
+        ids = machines.select(F.col(KEY).alias("chosen_id"))
+        facts = [
+            replace(f, frame=f.frame.join(ids, F.col(f.key) == F.col("chosen_id"), "left_semi"))
+            for f in facts
+        ]
+    totals = [totals_by_key(KEY, fact) for fact in facts]
+    return with_totals(machines, KEY, totals).withColumns(
         {
             "total_hours_worked": F.round("total_hours_worked", 1),
             "total_energy_kwh": F.round("total_energy_kwh", 2),
             "energy_cost_usd": F.round("energy_cost_usd", 2),
-            "allocated_cost_usd": F.round(from_ticks(F.col("allocated_cost_usd")), 2),
+            "allocated_cost_usd": F.round("allocated_cost_usd", 2),
         }
     )
 
@@ -197,13 +211,11 @@ def downtime_summary(sources: Sources) -> DataFrame:
             Fact(
                 sources.first("bigquery.cost_allocation"),
                 KEY,
-                {"total_allocated_cost_usd": unbounded(ticks(F.col("amount_usd")))},
+                {"total_allocated_cost_usd": F.col("amount_usd")},
             ),
             counts=("downtime_incidents",),
         )
-        .withColumn(
-            "total_allocated_cost_usd", F.round(from_ticks(F.col("total_allocated_cost_usd")), 2)
-        )
+        .withColumn("total_allocated_cost_usd", F.round("total_allocated_cost_usd", 2))
         .orderBy(F.desc("downtime_incidents"), KEY)
     )
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
 
 def local_session(app: str, cores: int | str = "*", **conf: str) -> SparkSession:
-    """A session for tests and local measurement; a cluster brings its own."""
+    """A session for tests and local measurement; a cluster brings its own.
+
+    The caller names the shared folder, ``spark.checkpoint.dir``, as a cluster does.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .master(f"local[{cores}]")
@@ -24,20 +25,13 @@ def local_session(app: str, cores: int | str = "*", **conf: str) -> SparkSession
     return builder.getOrCreate()
 
 
-@cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="plantfuse-")
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path that every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
-    local master, where all tasks run on this machine, may go without it.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; a session
+    that was started without it may have set a checkpoint folder since.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = _local_base()
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     return f"{base.rstrip('/')}/plantfuse/{label}-{uuid.uuid4().hex}"

@@ -369,7 +369,7 @@ def catalog_sources(
 ) -> Sources:
     """All factory tables through the catalogs registered in the session."""
     names = names or Names()
-    return _sources(spark, lambda s, t: TableSource.table(names.table(s, t.name)), off)
+    return _sources(spark, lambda s, t: TableSource.table(names.table(s, t.name), t.split), off)
 
 
 def file_sources(spark: SparkSession, folder: str, off: Collection[str] = ()) -> Sources:

@@ -29,11 +29,15 @@ class TableSource:
 
     def load(self, spark: SparkSession) -> DataFrame:
         if self.format == "table":
-            return spark.table(self.path)
+            return spark.read.options(**self.options).table(self.path)
         reader = spark.read.format(self.format).options(**self.options)
-        if self.schema is not None:
-            reader = reader.schema(storable_schema(self.schema))
-        return reader.load(self.path) if self.path else reader.load()
+        if self.schema is None:
+            return reader.load(self.path) if self.path else reader.load()
+        declared = storable_schema(self.schema)
+        missing = [f.name for f in declared if f.name not in reader.load(self.path).columns]
+        if missing:
+            raise ValueError(f"{self.path} lacks the declared columns {', '.join(missing)}")
+        return reader.schema(declared).load(self.path)
 
     @staticmethod
     def parquet(path: str, schema: str | T.StructType | None = None) -> TableSource:
@@ -49,9 +53,13 @@ class TableSource:
         return TableSource("delta", path=path)
 
     @staticmethod
-    def table(name: str) -> TableSource:
-        """A catalog table by its three-level name, such as an Iceberg or JDBC catalog's."""
-        return TableSource("table", path=name)
+    def table(name: str, split: tuple[str, str, str, int] | None = None) -> TableSource:
+        """A catalog table by its three-level name, such as an Iceberg or JDBC catalog's.
+
+        ``split`` goes to the catalog as options of the read, as a JDBC
+        catalog takes them; without it one task reads what is not pushed down.
+        """
+        return TableSource("table", _split_options(split), path=name)
 
     @staticmethod
     def jdbc(
@@ -76,15 +84,7 @@ class TableSource:
             "driver": driver,
             "fetchsize": str(fetch_rows),
         }
-        if split:
-            column, lower, upper, partitions = split
-            options |= {
-                "partitionColumn": column,
-                "lowerBound": lower,
-                "upperBound": upper,
-                "numPartitions": str(partitions),
-            }
-        return TableSource("jdbc", options, remote=True)
+        return TableSource("jdbc", options | _split_options(split), remote=True)
 
     @staticmethod
     def bigquery(project: str, table: str, credentials: str) -> TableSource:
@@ -109,6 +109,18 @@ class TableSource:
         return TableSource("snowflake", options, remote=True)
 
 
+def _split_options(split: tuple[str, str, str, int] | None) -> dict[str, str]:
+    if not split:
+        return {}
+    column, lower, upper, partitions = split
+    return {
+        "partitionColumn": column,
+        "lowerBound": lower,
+        "upperBound": upper,
+        "numPartitions": str(partitions),
+    }
+
+
 def storable_schema(declared: str | T.StructType) -> T.StructType:
     """The declared columns as files hold them: VARCHAR(n) as text, comments kept."""
     columns = T.StructType.fromDDL(declared) if isinstance(declared, str) else declared

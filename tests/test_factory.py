@@ -137,7 +137,7 @@ def test_questions(health, operations):
     }
     assert questions.longest_maintenance(health).first().machine_id == 10
     assert questions.highest_energy_cost(operations).first().machine_id == 5
-    building = questions.machines_of(operations, "A棟").select("machine_id").collect()
+    building = operations.where(F.col("factory") == "A棟").select("machine_id").collect()
     assert sorted(r[0] for r in building) == [1, 2, 3]
     ranked = [
         (r.sensor_critical_count, r.error_event_count)
@@ -208,3 +208,40 @@ ALL_STEPS = {s.name for s in steps.STEPS}
 )
 def test_steps_follow_the_sources(spark, off, left_out):
     assert set(steps.runnable_steps(factory_sources(spark, off))) == ALL_STEPS - left_out
+
+
+def test_one_building_is_the_same_from_its_own_rows_and_from_all(sources, operations):
+    chosen = summaries.factory_operations_union(sources, F.col("factory") == "A棟")
+    whole = operations.where(F.col("factory") == "A棟")
+    assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, whole.collect()))
+    assert chosen.count() > 0
+
+
+@pytest.mark.parametrize(
+    "summary, keys",
+    [
+        (summaries.maintenance_summary, ["-open_work_orders", "machine_id"]),
+        (summaries.energy_summary, ["-total_energy_cost_usd", "machine_id"]),
+        (summaries.downtime_summary, ["-downtime_incidents", "machine_id"]),
+        (
+            lambda s: questions.health_ranked(summaries.machine_health_summary(s)),
+            ["-sensor_critical_count", "-error_event_count", "machine_id"],
+        ),
+        (
+            lambda s: questions.longest_maintenance(summaries.machine_health_summary(s)),
+            ["-total_maintenance_minutes", "machine_id"],
+        ),
+        (
+            lambda s: questions.highest_energy_cost(summaries.factory_operations_union(s)),
+            ["-energy_cost_usd", "machine_id"],
+        ),
+    ],
+)
+def test_every_row_is_in_its_order(sources, summary, keys):
+    rows = summary(sources).collect()
+
+    def place(row):
+        return [-row[k[1:]] if k.startswith("-") else row[k] for k in keys]
+
+    assert [place(row) for row in rows] == sorted(place(row) for row in rows)
+    assert len(rows) == 10

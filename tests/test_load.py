@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plantfuse.operators import checks, keys, load
-from plantfuse.plans import load_job
+from plantfuse.plans import load_job, star_model
+from plantfuse.plans.star_queries import star_queries
 from plantfuse.session import shared_path
 from plantfuse.sources import TableDef, catalogs
 from plantfuse.sources.factory import FACTORY_SOURCES, factory_source
@@ -29,11 +30,11 @@ def test_shared_path_lies_in_the_configured_folder(spark):
     assert shared_path(spark, "a") != shared_path(spark, "a")
 
 
-@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host"])
-def test_a_cluster_without_a_shared_folder_is_refused(master):
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local[4]"])
+def test_a_session_without_a_shared_folder_is_refused(master):
     session = SimpleNamespace(
         conf=SimpleNamespace(get=lambda name, default: default),
-        sparkContext=SimpleNamespace(master=master),
+        sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None),
     )
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_path(session, "a")
@@ -220,3 +221,44 @@ def test_load_job_stops_at_a_null(spark, schema):
     frame = spark.sql("SELECT CAST(NULL AS BIGINT) AS id")
     with pytest.raises(Exception, match="NULL in column id"):
         load_job.load_tables(spark, schema, [(table, frame)])
+
+
+def test_a_repeated_key_or_other_columns_stop_the_load(spark):
+    table = TableDef("machines", "machine_id INT NOT NULL, name VARCHAR(3)", key=("machine_id",))
+    schema = "keys_checked"
+    load.create_schema(spark, schema)
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "machine_id INT, name STRING")
+    assert load_job.load_table(spark, schema, table, good).count() == 2
+    with pytest.raises(load_job.LoadError, match="PRIMARY KEY machine_id: 1"):
+        load_job.load_table(spark, schema, table, good.union(good.limit(1)))
+    other = TableDef("machines", "machine_id INT, place STRING")
+    with pytest.raises(load_job.LoadError, match="place"):
+        load_job.load_table(spark, schema, other, good)
+
+
+def test_rows_sent_are_counted_as_they_are_written(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(50).mapInArrow(counted, "id BIGINT")
+    report = load_job.load_tables(spark, "observed", [(TableDef("t", "id BIGINT"), frame)])
+    assert [tuple(r)[:4] for r in report.collect()] == [("t", 50, 50, "PASS")]
+    assert reads.value == 50
+
+
+def test_null_status_is_loaded_like_any_other(spark, tmp_path):
+    orders = star_model.star_table(spark, "/root/testdata/sf0.001", "orders").limit(20)
+    status = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus"))
+    folder = str(tmp_path)
+    orders.withColumn("o_orderstatus", status).write.parquet(f"{folder}/orders.parquet")
+    assert star_queries()["sink_append"](spark, folder).count() == 20
+    orders.withColumn("o_orderdate", F.lit(None).cast("timestamp_ntz")).write.parquet(
+        f"{folder}/undated.parquet"
+    )
+    undated = star_model.star_table(spark, folder, "undated")
+    sides = [star_model.inspections(undated, early=e).count() for e in (True, False)]
+    assert sides == [0, 20]

@@ -84,3 +84,11 @@ def test_inspections_are_repeatable_and_spread(spark):
     assert all(m.notes in generate.NOTES[m.result] for m in made)
     first, last = dt.datetime(2025, 1, 15, 6), dt.datetime(2025, 2, 14, 6)
     assert all(first <= m.inspection_time <= last for m in made)
+
+
+@pytest.mark.parametrize("days", [0, 364, 365 * 400, 2_000_000, 2_932_896, 4_000_000_000, 2 * 10**12])
+def test_days_far_ahead(spark, days):
+    shown = spark.range(1).select(generate.day_after("2024-01-08", F.lit(days).cast("long"))).first()[0]
+    cycles, rest = divmod(days, 146_097)
+    near = dt.date(2024, 1, 8) + dt.timedelta(rest)
+    assert shown == f"{near.year + 400 * cycles}-{near:%m-%d}"

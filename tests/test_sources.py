@@ -2,11 +2,19 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from plantfuse.operators import load
-from plantfuse.plans import steps, summaries
+from plantfuse.plans import load_job, steps, summaries
 from plantfuse.session import shared_path
-from plantfuse.sources import Sources, TableSource, catalogs, rows_frame, values_frame
+from plantfuse.sources import (
+    SourceError,
+    Sources,
+    TableSource,
+    catalogs,
+    rows_frame,
+    values_frame,
+)
 from plantfuse.sources.factory import (
     FACTORY_SOURCES,
     Names,
@@ -14,7 +22,7 @@ from plantfuse.sources.factory import (
     factory_source,
     file_sources,
 )
-from plantfuse.sources.readers import JDBC_PRODUCTS, jdbc_url
+from plantfuse.sources.readers import JDBC_PRODUCTS, jdbc_url, storable_schema
 from tests.factory_data import factory_frames
 
 # Rows the factory tables are declared to hold.
@@ -46,33 +54,100 @@ def test_three_level_names():
     assert catalogs.qualified(None, "a`b", "c") == "`a``b`.`c`"
 
 
-def test_missing_catalogs_leave_no_step(spark):
+def test_missing_catalogs_fail_and_sources_that_are_off_leave_no_step(spark):
     sources = catalog_sources(spark)
     assert len(sources.names()) == 19
-    assert not sources.has("glue.machines", "postgres.machines")
-    assert steps.runnable_steps(sources) == {}
+    with pytest.raises(SourceError, match="redshift.sensor_readings: "):
+        steps.runnable_steps(sources)
+    off = catalog_sources(spark, off=[s.key for s in FACTORY_SOURCES])
+    assert steps.runnable_steps(off) == {} and len(off.absent) == 19
     with pytest.raises(LookupError, match="glue.machines"):
-        sources.first("glue.machines", "postgres.machines")
+        off.first("glue.machines", "postgres.machines")
 
 
-def test_sources_the_cluster_cannot_read_are_unavailable(spark):
-    sources = Sources(
-        {
-            "a.delta": lambda: TableSource.delta("/x").load(spark),
-            "b.jdbc": lambda: TableSource.jdbc("jdbc:x", "t", "u", "p", "no.Driver").load(spark),
-            "c.file": lambda: TableSource.parquet("/nowhere").load(spark),
-            "d.live": lambda: spark.range(3),
-        }
-    )
-    assert sources.first("a.delta", "b.jdbc", "c.file", "d.live").count() == 3
-    assert set(sources.unavailable) == {"a.delta", "b.jdbc", "c.file"}
-    assert "PATH_NOT_FOUND" in sources.unavailable["c.file"]
+@pytest.mark.parametrize(
+    "load_table",
+    [
+        lambda spark: TableSource.delta("/x").load(spark),
+        lambda spark: TableSource.jdbc("jdbc:x", "t", "u", "p", "no.Driver").load(spark),
+        lambda spark: TableSource.parquet("/nowhere").load(spark),
+        lambda spark: TableSource.table("no_catalog.no_schema.t").load(spark),
+    ],
+)
+def test_a_source_that_is_on_and_fails_is_never_passed_over(spark, load_table):
+    sources = Sources({"a.t": lambda: load_table(spark), "b.t": lambda: spark.range(3)})
+    for ask in (lambda: sources.first("a.t", "b.t"), lambda: sources.live("a.t", "b.t")):
+        with pytest.raises(SourceError, match="^a.t: "):
+            ask()
+    assert sources.without("a").first("a.t", "b.t").count() == 3
+
+
+def test_a_mistyped_path_leaves_the_stored_tables_as_they_were(spark):
+    frames = factory_frames(spark)
+    loaders = {name: lambda frame=frame: frame for name, frame in frames.items()}
+    stored = steps.store_summaries(spark, Sources(loaders), "kept_summaries")
+    before = {name: sorted(map(str, frame.collect())) for name, frame in stored.items()}
+    wrong = loaders | {
+        "glue.quality_inspections": lambda: TableSource.parquet("/mistyped").load(spark)
+    }
+    with pytest.raises(SourceError, match="glue.quality_inspections"):
+        steps.store_summaries(spark, Sources(wrong), "kept_summaries")
+    for name, rows in before.items():
+        table = spark.table(f"kept_summaries.{name}")
+        assert sorted(map(str, table.collect())) == rows
+    assert set(before) == {"machine_health_summary", "factory_operations_union"}
+
+
+def test_declared_counts_are_reconciled_with_the_live_tables(spark):
+    frames = factory_frames(spark)
+    loaders = {name: lambda frame=frame: frame for name, frame in frames.items()}
+
+    def broken():
+        raise RuntimeError("no connection " + "x" * 500)
+
+    loaders["redshift.sensor_readings"] = lambda: frames["redshift.sensor_readings"].limit(99)
+    loaders["synapse.shift_schedules"] = lambda: TableSource.parquet("/nowhere").load(spark)
+    loaders["postgres.work_orders"] = broken
+    off = [s.key for s in FACTORY_SOURCES if s.key in ("onelake", "snowflake", "snowflake_iceberg")]
+    report = load_job.reconcile_sources(spark, FACTORY_SOURCES, Sources(loaders, off), off)
+    found = {row.table_name: row for row in report.collect()}
+    assert found["redshift.sensor_readings"].status == "MISMATCH"
+    assert (found["redshift.sensor_readings"].expected_rows, found["redshift.sensor_readings"].actual_rows) == (100, 99)
+    assert found["synapse.shift_schedules"].status == "FAIL"
+    assert found["postgres.work_orders"].status == "ERROR"
+    assert len(found["postgres.work_orders"].message) > 500
+    assert found["postgres.maintenance_logs"].status == "PASS"
+    assert not any(name.split(".")[0] in off for name in found)
+
+
+def test_a_file_that_lacks_a_declared_column_is_refused(spark):
+    path = shared_path(spark, "lacking")
+    load.overwrite_files(spark.range(3).toDF("machine_id"), path)
+    with pytest.raises(ValueError, match="status"):
+        TableSource.parquet(path, "machine_id BIGINT, status STRING").load(spark)
+
+
+def test_splits_reach_the_reader_of_a_catalog_table(spark):
+    source = TableSource.table("c.s.t", ("id", "0", "1000", 16))
+    assert source.options == {
+        "partitionColumn": "id", "lowerBound": "0", "upperBound": "1000", "numPartitions": "16",
+    }
+    load.create_schema(spark, "split_schema")
+    load.create_table(spark, "split_schema.t", "id INT")
+    source = TableSource.table("split_schema.t", ("id", "0", "9", 2))
+    analyzed = source.load(spark)._jdf.queryExecution().logical().toString()
+    assert "numPartitions=2" in analyzed.replace(" ", "")
 
 
 def test_factory_files_are_read_in_their_declared_types(spark):
     folder = shared_path(spark, "factory")
     for name, frame in factory_frames(spark).items():
-        load.overwrite_files(frame, f"{folder}/{name.replace('.', '/')}")
+        source, table = name.split(".")
+        declared = storable_schema(factory_source(source).table(table).ddl)
+        lacking = {
+            f.name: F.lit(None).cast(f.dataType) for f in declared if f.name not in frame.columns
+        }
+        load.overwrite_files(frame.withColumns(lacking), f"{folder}/{source}/{table}")
     sources = file_sources(spark, folder, off=("glue",))
     machines = sources.first("glue.machines", "postgres.machines")
     assert dict(machines.dtypes)["machine_name"] == "string"
@@ -80,7 +155,8 @@ def test_factory_files_are_read_in_their_declared_types(spark):
     assert set(steps.runnable_steps(sources)) == {s.name for s in steps.STEPS}
     health = summaries.machine_health_summary(sources).where("machine_id = 8").first()
     assert (health.sensor_critical_count, health.total_defect_count) == (2, 12)
-    assert not sources.has("onelake.production_plans")
+    with pytest.raises(SourceError, match="onelake.production_plans: "):
+        sources.first("onelake.production_plans")
 
 
 def test_turned_off_sources_are_not_loaded(spark):

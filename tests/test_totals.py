@@ -2,12 +2,14 @@
 
 import random
 
+import math
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plantfuse.functions import exact_sum, flag, ticks
+from plantfuse.functions import flag, rounded_sum
 from plantfuse.operators.totals import (
     Fact,
     distinct_ids,
@@ -88,7 +90,7 @@ def test_facts_with_the_same_measures_add_up(spark):
     b = spark.createDataFrame([(1, 5), (2, None)], "k BIGINT, n INT")
     facts = [Fact(f, "k", {"rows": one(), "n": F.col("n")}) for f in (a, b)]
     totals = totals_by_key("k", *facts)
-    assert {tuple(r) for r in totals.collect()} == {(1, 3, 10), (2, 1, None)}
+    assert {tuple(r) for r in totals.collect()} == {(1, 3, 10), (2, 1, None), (None, 1, 9)}
     d = spark.createDataFrame([(1,), (2,), (3,)], "k INT")
     some = with_totals(d, "k", [totals], zero=("rows",))
     assert {tuple(r) for r in some.collect()} == {(1, 3, 10), (2, 1, None), (3, 0, None)}
@@ -101,13 +103,25 @@ def test_keys_may_be_text(spark):
     assert {tuple(r) for r in joined.collect()} == {("a", 2), ("b", 0)}
 
 
-def test_exact_sum_does_not_depend_on_order(spark):
-    values = [0.1, 0.2, 0.3, 1e12, -1e12, 1234.5678] * 7
-    frames = [
-        spark.createDataFrame([(v,) for v in order], "v DOUBLE")
-        for order in (values, sorted(values))
-    ]
-    sums = [f.repartition(5).agg(exact_sum(F.col("v")).alias("s")).first().s for f in frames]
-    assert sums[0] == sums[1]
-    assert float(sums[0]) == pytest.approx(7 * 1235.1678)
-    assert spark.range(1).select(ticks(F.lit(2.675), 2)).first()[0] in (267, 268)
+@pytest.mark.parametrize("partitions", [1, 5, 8])
+def test_sums_are_rounded_when_complete(spark, partitions):
+    def total(values, places=4):
+        frame = spark.createDataFrame([(v,) for v in values], "v DOUBLE").repartition(partitions)
+        return frame.agg(rounded_sum(F.col("v"), places).alias("s")).first().s
+
+    assert total([0.00004] * 10) == 0.0004
+    assert total([1e15, 1.0, 2e14] * 3) == 3.6e15 + 3
+    assert total([12.34, 5.67, 1234.5678, None] * 700) == round(700 * 1252.5778, 4)
+    assert math.isnan(total([1.0, math.nan])) and total([1.0, math.inf]) == math.inf
+    assert total([None]) is None and total([]) is None
+    assert total([0.125] * 9, 2) == 1.13
+
+
+def test_a_null_key_is_a_group_of_its_own(spark):
+    rows = [(1, 2), (None, 3), (None, 4), (1, None)]
+    fact = Fact(spark.createDataFrame(rows, "k INT, v INT"), "k", {"n": one(), "s": F.col("v")})
+    totals = totals_by_key("k", fact)
+    assert {tuple(r) for r in totals.collect()} == {(1, 2, 2), (None, 2, 7)}
+    machines = spark.createDataFrame([(1,), (2,), (None,)], "k INT")
+    joined = with_totals(machines, "k", [totals])
+    assert sorted(map(tuple, joined.collect()), key=str) == [(1, 2, 2), (2, 0, 0), (None, 0, 0)]
