@@ -312,7 +312,10 @@ def patterns(docs: DataFrame) -> DataFrame:
     counted = None
     for rule in CANDIDATES:
         span = F.col("span")
-        part = spans.select(F.explode(rule.kind).alias("span")).select(
+        # The outer form: for the other one Spark would first evaluate the array's
+        # expressions once more, to drop rows without candidates.
+        exploded = spans.select(F.explode_outer(rule.kind).alias("span"))
+        part = exploded.where("span IS NOT NULL").select(
             F.lit(rule.kind).alias("kind"),
             F.array(*VOTES[rule.kind](span)).alias("votes"),
             F.array(*shape(span)).alias("shape"),
