@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plantfuse.operators import checks, keys, load
-from plantfuse.session import shared_path
+from plantfuse.session import removed_at_exit, shared_path
 from plantfuse.sources import SourceDef, Sources, TableDef
 from plantfuse.sources.catalogs import qualified
 
@@ -41,6 +41,7 @@ def load_table(
     if generated and generated not in frame.columns:
         path = shared_path(spark, f"{table.name}-numbered")
         rows = keys.with_generated_key(rows, generated, frame.columns, path, seen=seen)
+        removed_at_exit(spark, path)
         key_type = spark.table(name).schema[generated].dataType
         rows = rows.withColumn(generated, F.col(generated).cast(key_type))
     elif seen is not None:

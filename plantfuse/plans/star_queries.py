@@ -17,7 +17,7 @@ from plantfuse.functions import flag, pass_rate, rounded_sum
 from plantfuse.operators import checks, combine, generate, keys, load, rules, totals
 from plantfuse.plans import load_job, questions, steps, summaries
 from plantfuse.plans.star_model import nation_sources, star_sources, star_table
-from plantfuse.session import shared_path
+from plantfuse.session import removed_at_exit, shared_path
 from plantfuse.sources import TableDef, TableSource, values_frame
 from plantfuse.sources.star import STAR_DDL
 
@@ -98,6 +98,7 @@ def cross_source_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in Parquet with their events, which a second source keeps as ORC."""
     path = shared_path(spark, "events-orc")
     load.overwrite_files(star_table(spark, sf_dir, "events"), path, "orc")
+    removed_at_exit(spark, path)
     events = TableSource.orc(path, STAR_DDL["events"]).load(spark)
     per_user = totals.totals_by_key(
         "c_custkey",
@@ -135,13 +136,16 @@ def inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_parquet_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = star_table(spark, sf_dir, "orders")
-    return load.overwrite_files(orders, shared_path(spark, "orders"))
+    path = shared_path(spark, "orders")
+    stored = load.overwrite_files(star_table(spark, sf_dir, "orders"), path)
+    removed_at_exit(spark, path)
+    return stored
 
 
 def sink_external_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "customer")
     load.overwrite_files(star_table(spark, sf_dir, "customer"), path)
+    removed_at_exit(spark, path)
     table = fresh_table(spark, "customer_external")
     load.create_table(
         spark, table, STAR_DDL["customer"], location=path, comment="customers kept outside"
@@ -192,9 +196,10 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = star_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return keys.with_generated_key(
-        orders, "log_id", ["o_orderdate", "o_orderkey"], shared_path(spark, "orders-by-day")
-    ).select("log_id", "o_orderkey")
+    path = shared_path(spark, "orders-by-day")
+    numbered = keys.with_generated_key(orders, "log_id", ["o_orderdate", "o_orderkey"], path)
+    removed_at_exit(spark, path)
+    return numbered.select("log_id", "o_orderkey")
 
 
 def apply_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     if not base:
         raise ValueError("spark.checkpoint.dir must name a shared folder")
     return f"{base.rstrip('/')}/plantfuse/{label}-{uuid.uuid4().hex}"
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """Has the driver remove what a job wrote on the way, when the session's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

@@ -1,5 +1,8 @@
 """Writing tables."""
 
+import subprocess
+import sys
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -262,3 +265,23 @@ def test_null_status_is_loaded_like_any_other(spark, tmp_path):
     undated = star_model.star_table(spark, folder, "undated")
     sides = [star_model.inspections(undated, early=e).count() for e in (True, False)]
     assert sides == [0, 20]
+
+
+def test_what_was_written_on_the_way_goes_with_the_session(tmp_path):
+    """In a process of its own: the folder is empty of it once the driver has ended."""
+    script = """
+import sys
+from plantfuse.session import local_session, removed_at_exit, shared_path
+spark = local_session("exit", 1, **{"spark.checkpoint.dir": sys.argv[1]})
+path = removed_at_exit(spark, (spark.range(3).write.parquet(p := shared_path(spark, "t")), p)[1])
+print(spark.read.parquet(path).count())
+spark.stop()
+"""
+    run = subprocess.run(
+        [sys.executable, "-c", script, str(tmp_path)], capture_output=True, text=True, timeout=120
+    )
+    assert run.stdout.split()[-1] == "3"
+    deadline = time.time() + 20
+    while list(tmp_path.rglob("*.parquet")) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not list(tmp_path.rglob("*.parquet"))

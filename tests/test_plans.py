@@ -105,6 +105,26 @@ def test_filters_and_columns_reach_the_files(spark):
     assert "ReadSchema: struct<>" in plan(spark, "row_count_reconcile")
 
 
+def ran(spark, name):
+    """The physical plans of all statements that a query ran to write its tables."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    entry.queries()[name](spark, SF_DIR).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    listed = store.executionsList(int(before), 1000)
+    return [listed.apply(n).physicalPlanDescription() for n in range(listed.size())]
+
+
+@pytest.mark.parametrize("name", sorted(WRITES))
+def test_what_is_written_has_no_cross_join_and_no_python(spark, name):
+    plans = ran(spark, name)
+    assert any("InsertIntoHadoopFsRelation" in text for text in plans)
+    for text in plans:
+        for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "Pandas"):
+            assert unwanted not in text
+
+
 def test_one_factory_moves_only_its_machines(spark, shuffled):
     text = shuffled("q_filter_factory")
     # Each fact loses other machines' rows before its totals.
