@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plantfuse.llm.shared import written
 from plantfuse.operators.keys import with_generated_key
-from plantfuse.session import shared_path
+from plantfuse.session import removed_at_exit, shared_path
 
 # How a quote is introduced, in several languages.
 INTRODUCTIONS = "wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escribe|ha scritto|escreveu"
@@ -292,8 +292,9 @@ def reply_ordered(
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
     order = ["conv", "thread", "turn", "role", "text"]
-    numbered = with_generated_key(found, "at", order, shared_path(spark, "llm-reply-order"))
-    numbered = written(numbered, "reply-order")
+    path = shared_path(spark, "llm-reply-order")
+    numbered = written(with_generated_key(found, "at", order, path), "reply-order")
+    removed_at_exit(spark, path)
     first = numbered.groupBy("conv").agg(F.min("at").alias("first")).checkpoint()
     return (
         numbered.join(

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from plantfuse.session import shared_path
+from plantfuse.session import removed_at_exit, shared_path
 
 #: Rows taken out of an Arrow batch at once, so that a task never holds the
 #: Python objects of more than these.
@@ -37,7 +37,9 @@ def written(frame: DataFrame, label: str) -> DataFrame:
 
     What several later steps read, and what must not change when a lost
     executor's work is repeated, is written once where all executors see it.
+    The driver removes it when it ends.
     """
     path = shared_path(frame.sparkSession, f"llm-{label}")
     frame.write.parquet(path)
+    removed_at_exit(frame.sparkSession, path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
