@@ -51,6 +51,8 @@ SET_BITS = 256
 CHUNK = 1 << 15
 #: Words of documents whose meetings are verified together.
 GROUP = 1 << 18
+#: Words of windows that are verified at once.
+CELLS = 1 << 20
 #: Bytes of items that go to a task at once.
 BLOCK_BYTES = 4 << 20
 
@@ -155,8 +157,8 @@ def distances(
         under = padded[open_rows, i : i + 2 * band + 1]
         new = row + (under != items[open_rows, i][:, None])
         new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
-        for d in range(1, 2 * band + 1):
-            new[:, d] = np.minimum(new[:, d], new[:, d - 1] + 1)
+        # Each cell is at most one more than the cell before it.
+        new = np.minimum.accumulate(new - offsets, axis=1) + offsets
         new[:, offsets < -(i + 1)] = far
         row = new
     return best, end
@@ -195,6 +197,18 @@ class Finder:
             for direction in (1, -1)
         ]
 
+    def _batches(self, pairs: np.ndarray, item: np.ndarray) -> Iterator[np.ndarray]:
+        """The pairs in order of their items' sizes, so many at once as fit ``CELLS``."""
+        width = (self.sizes + 2 * self.bounds)[item]
+        order = np.argsort(width, kind="stable")
+        pairs, width = pairs[order], width[order]
+        at = 0
+        while at < len(pairs):
+            size = max(1, CELLS // int(width[at]))
+            size = max(1, min(size, CELLS // int(width[min(at + size, len(pairs)) - 1])))
+            yield pairs[at : at + size]
+            at += size
+
     def _verified(self, words, item, window, stop, direction):
         """The meetings within their item's bound: (item, first, end, edits) in words."""
         size, bound = self.sizes[item], self.bounds[item]
@@ -259,8 +273,7 @@ class Finder:
             if not met:
                 continue
             pairs = np.unique(np.concatenate(met))
-            for at in range(0, len(pairs), 1 << 14):
-                part = pairs[at : at + (1 << 14)]
+            for part in self._batches(pairs, pairs // total):
                 item, window = part // total, part % total
                 for n, first, end, edits in zip(
                     *(x.tolist() for x in self._verified(line, item, window, stops[window], direction))

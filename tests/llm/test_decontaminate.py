@@ -135,6 +135,19 @@ def test_items_in_blocks_long_texts_and_empty_tables(spark, monkeypatch):
     assert contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_a_very_long_item_beside_short_ones():
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(500)}" for _ in range(6_000)]
+    items = [(1, " ".join(long)), (2, "a short item of just a few words")]
+    changed = edited(rng, long, 200, ["new"])
+    texts = [" ".join(changed) + " a short item of just a few words", "a few words", None]
+    rows = {(row[0], row[1]): row for row in Finder(items, 0.2).find(texts)}
+    assert rows.keys() == {(0, 0), (0, 1)}
+    text, item, first, end, edits = rows[0, 0]
+    assert 150 < edits <= 200 and abs(end - first - len(long)) <= 200
+    assert rows[0, 1][4] == 0
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
