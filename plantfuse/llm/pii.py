@@ -61,7 +61,10 @@ STARTERS = (
     "Und Wir El La Las Los Un Una Y De En Le Les Une Des Et Il Elle Je Nous"
 )
 # What stands before names, and after them.
-TITLES = r"(?i)(mr|mrs|ms|dr|prof|herr|frau|señor|señora|monsieur|madame|name is|named|contact|regards,?|sincerely,?|signed|by)[.:]?\s+$"
+TITLES = (
+    r"(?i)(?<!\p{L})(mr|mrs|ms|dr|prof|herr|frau|señor|señora|monsieur|madame|name is|named|contact"
+    r"|regards,?|sincerely,?|signed|by)[.:]?\s+$"
+)
 DEEDS = r"(?i)^\s*(,\s*(born|aged?|phd)\b|said\b|wrote\b|lives\b|was born\b|works\b|<|\()"
 # How well-known secrets begin, and words that announce one or something else.
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live|pk_live|xox[abps]-|AIza|eyJ|glpat-)"
@@ -328,19 +331,29 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
     """(chances, truth): each labeler's chance of each vote on false and true
     candidates, and each pattern's probability of being true.
 
-    Labelers are assumed independent given the truth. Some imagined votes of
-    labelers that are right more often than wrong keep the two classes apart.
+    Labelers are assumed independent given the truth. No vote for may speak
+    against, nor the other way round: where the estimates say so, the two
+    classes share them. What nobody votes for is false. Without that, and some
+    imagined votes of labelers that are right more often than wrong, any two
+    kinds of false candidates could pass for the two classes.
     """
     imagined = np.array([[4.0, 8.0, 1.0], [1.0, 8.0, 4.0]])  # false, true; votes -1, 0, 1
-    truth = 1 / (1 + np.exp(-2.0 * votes.sum(1)))
+    voted_for = (votes == 1).any(1)
+    truth = voted_for / (1 + np.exp(1 - 2.0 * votes.sum(1)))
     chances = np.zeros((2, votes.shape[1], 3))
     for _ in range(rounds):
         prior = np.array([(counts * (1 - truth)).sum() + 1, (counts * truth).sum() + 1])
+        prior[1] = min(prior[1], prior[0])
         for true, weight in enumerate((counts * (1 - truth), counts * truth)):
             for labeler in range(votes.shape[1]):
                 seen = np.bincount(votes[:, labeler] + 1, weights=weight, minlength=3)
                 seen = seen + imagined[true]
                 chances[true, labeler] = seen / seen.sum()
+        for vote, sign in ((2, 1), (0, -1)):
+            wrong = sign * chances[1, :, vote] < sign * chances[0, :, vote]
+            shared = (prior @ chances[:, :, vote]) / prior.sum()
+            chances[:, wrong, vote] = shared[wrong]
+        chances[:, :, 1] = 1 - chances[:, :, 0] - chances[:, :, 2]
         log = np.log(prior / prior.sum()) + np.stack(
             [
                 sum(np.log(chances[true, labeler, votes[:, labeler] + 1]) for labeler in range(votes.shape[1]))
@@ -348,7 +361,7 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
             ],
             axis=1,
         )
-        truth = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
+        truth = voted_for / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
     return chances, truth
 
 

@@ -99,6 +99,13 @@ def test_names_and_secrets(spark):
         assert found_secrets == wanted, text
 
 
+def test_candidates_that_no_labeler_votes_for_are_dropped(spark):
+    texts = ["Orre Orre Orre Orre", "the GNU General Public License, version 3.", "Stteen Erachtz."]
+    rows = [(n, texts[n % 3] + " and more. Ndsh Orea") for n in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any(row.name for row in pii.personal_data(frame).collect())
+
+
 def test_no_rows(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(frame).count() == 0
