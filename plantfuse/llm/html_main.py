@@ -63,8 +63,8 @@ SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense alert alertdialog banner breadcrumb "
     "breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus "
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification "
-    "pagination paywall popup promo promoted promotion recommended related replies responses search share sharing "
-    "sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget".split()
+    "pagination paywall popup promo promoted promotion recommended related replies responses "
+    "search share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget".split()
 )
 ARTICLE = frozenset(("article", "main"))
 

@@ -223,23 +223,29 @@ def fit(
     return Model.fit(vectors_of.reshape(len(sample), FEATURES), [row.label for row in sample])
 
 
-def predicted(docs: DataFrame, model: Model | None, text_column: str = "text", result: str = "language") -> DataFrame:
+def predicted(
+    docs: DataFrame, model: Model | None, text_column: str = "text", result: str = "language"
+) -> DataFrame:
     """The rows with a struct column: lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(
-        T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        T.StructType(
+            [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        )
     )
     def predict(texts: pa.Array) -> pa.Array:
         names: list[str] = []
         scores: list[float] = []
         for start in range(0, len(texts), 256):
             part = texts[start : start + 256].to_pylist()
-            found = sent.value.predict(part) if sent.value else ([UNKNOWN] * len(part), [0.0] * len(part))
+            none = [UNKNOWN] * len(part), [0.0] * len(part)
+            found = sent.value.predict(part) if sent.value else none
             names += found[0]
             scores += found[1]
         return pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
+            [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+            names=["lang_pred", "score"],
         )
 
     return docs.withColumn(result, predict(text_column))

@@ -306,12 +306,18 @@ def repeated_passages(
     """
     id_type = docs.schema[id_column].dataType
     field = T.StructField
-    kinds = [T.LongType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), T.ArrayType(T.IntegerType())]
+    number = T.IntegerType()
+    kinds = [T.LongType(), number, number, number, T.BooleanType(), T.ArrayType(number)]
     suffixes = T.StructType(
         [field("id", id_type), *(field(name, kind) for (name, _), kind in zip(SUFFIX, kinds))]
     )
     runs = T.StructType(
-        [field("id", id_type), field("first", T.LongType()), field("end", T.LongType()), field("later", T.BooleanType())]
+        [
+            field("id", id_type),
+            field("first", T.LongType()),
+            field("end", T.LongType()),
+            field("later", T.BooleanType()),
+        ]
     )
     spans = T.StructType([*runs.fields[:3], field("n_later", T.LongType())])
     return (
