@@ -17,6 +17,10 @@ JDBC_PRODUCTS = {
 }
 
 
+#: Tables whose files were seen to have all declared columns, by session.
+_columns_found: set[tuple[str, str, str | None, str]] = set()
+
+
 @dataclass(frozen=True)
 class TableSource:
     """A data source format with its options, or the name of a catalog table."""
@@ -34,9 +38,13 @@ class TableSource:
         if self.schema is None:
             return reader.load(self.path) if self.path else reader.load()
         declared = storable_schema(self.schema)
-        missing = [f.name for f in declared if f.name not in reader.load(self.path).columns]
-        if missing:
-            raise ValueError(f"{self.path} lacks the declared columns {', '.join(missing)}")
+        # Reading what columns the files have is a job, so once a session must do.
+        known = (spark.sparkContext.applicationId, self.format, self.path, declared.simpleString())
+        if known not in _columns_found:
+            missing = [f.name for f in declared if f.name not in reader.load(self.path).columns]
+            if missing:
+                raise ValueError(f"{self.path} lacks the declared columns {', '.join(missing)}")
+            _columns_found.add(known)
         return reader.schema(declared).load(self.path)
 
     @staticmethod
