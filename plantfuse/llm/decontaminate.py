@@ -16,9 +16,16 @@ floor(``max_edits`` * n) word insertions, deletions and substitutions of it.
    them has words. Half of the repetitions walk windows from their ends.
 3. Each meeting is verified by the exact edit distance, in a band.
 
+Walks lose each other the further they go. An item of over ``PART`` words is
+therefore searched by parts of about equal size: if it is within its bound, one
+of its parts at least is within its own. From a part that is found the item's
+beginning follows by aligning what stands before the part backwards, and the
+whole item is verified from there.
+
 ``REPEATS`` samples in each direction were chosen so that items with 20 % of
 their words edited are found with a recall over 0.9, those with 10 % over 0.98
-(measured in the tests); an unedited item agrees with itself in every sample.
+(measured in the tests, up to 1,000 words); an unedited item agrees with itself
+in every sample.
 
 Items reach the tasks in blocks of bounded size, and documents are only mapped:
 nothing is shuffled, so no key can be hot. NULL and empty texts contain nothing.
@@ -45,6 +52,8 @@ MIN_WORDS = 5
 #: Sampled steps that must agree, walks in each direction, samples of each walk.
 STEPS, WALKS, REPEATS = 3, 2, 3
 SEED = 20_260_101
+#: Words of an item, or of each of its parts, that is searched as one.
+PART = 31
 #: Bits of an item's set of words, which only spares hopeless verifications.
 SET_BITS = 256
 #: Words of documents that are walked at once.
@@ -175,14 +184,27 @@ class Finder:
         self.ids = {word: number for number, word in enumerate(self.ids, 1)}
         self.items = [np.array([self.ids[word] for word in words], np.intp) for _, words in split]
         self.sizes = np.array([len(words) for words in self.items], np.int64)
-        self.bounds = np.array([edits_allowed(size, max_edits) for size in self.sizes], np.int64)
+        # The parts of long items follow all items, as items of their own.
+        self.whole, self.offset = list(range(len(self.items))), [0] * len(self.items)
+        long = np.flatnonzero(self.sizes > PART).tolist()
+        for number in long:
+            at = 0
+            for words in np.array_split(self.items[number], -(-int(self.sizes[number]) // PART)):
+                self.items.append(words)
+                self.whole.append(number)
+                self.offset.append(at)
+                at += len(words)
+        self.whole, self.offset = np.array(self.whole, np.intp), np.array(self.offset, np.int64)
+        self.sizes = np.array([len(words) for words in self.items], np.int64)
+        self.bounds = np.array([edits_allowed(size, max_edits) for size in self.sizes.tolist()], np.int64)
         # Each item's set of words as bits of a few machine words.
         self.sets = np.zeros((len(self.items), SET_BITS // 64), np.uint64)
         for of, words in zip(self.sets, self.items):
             np.bitwise_or.at(of, words % SET_BITS >> 6, np.uint64(1) << (words % 64).astype(np.uint64))
         by_size: dict[int, list[int]] = {}
         for number, size in enumerate(self.sizes.tolist()):
-            by_size.setdefault(size.bit_length(), []).append(number)
+            if size <= PART:
+                by_size.setdefault(size.bit_length(), []).append(number)
         self.walks = [
             (
                 direction,
@@ -232,7 +254,7 @@ class Finder:
         return item[good], window[good], window[good] + end[good], edits[good]
 
     def find(self, texts: Sequence[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first, end, edits): the best window of every item in every text.
+        """(text, item, first, end, edits): the best window found of every item in every text.
 
         Of equally good windows the first, then the shortest counts.
         """
@@ -260,6 +282,16 @@ class Finder:
         words = np.concatenate([words for _, words in group])
         owner = np.repeat(np.arange(len(group)), np.diff(ends, prepend=0))
         starts = ends - np.diff(ends, prepend=0)
+        parts: set[tuple[int, int, int]] = set()
+
+        def note(n: int, first: int, end: int, edits: int) -> None:
+            at_row = int(owner[min(first, total - 1)])
+            start = int(starts[at_row])
+            key = (group[at_row][0], n)
+            value = (edits, first - start, end - start)
+            if key not in found or value < found[key]:
+                found[key] = value
+
         # Backwards, positions count from the last word of the group.
         for direction in (1, -1):
             line = words[::direction]
@@ -280,12 +312,67 @@ class Finder:
                 ):
                     if direction < 0:
                         first, end = total - end, total - first
-                    at_row = int(owner[min(first, total - 1)])
-                    start = int(starts[at_row])
-                    key = (group[at_row][0], n)
-                    value = (edits, first - start, end - start)
-                    if key not in found or value < found[key]:
-                        found[key] = value
+                    if n < len(self.keys):
+                        note(n, first, end, edits)
+                    elif first < end:
+                        parts.add((n, first, edits))
+        if parts:
+            self._find_whole(words, owner, starts, ends, parts, note)
+
+    def _find_whole(self, words, owner, starts, ends, parts, note) -> None:
+        """Long items around parts that were found.
+
+        Parts on about one diagonal are of one window. They are tried in turn,
+        those with fewest edits first, until the item is found there.
+        """
+        places: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+        for part, first, edits in parts:
+            item = int(self.whole[part])
+            place = (first - int(self.offset[part])) // (int(self.bounds[item]) + 1)
+            at = places.setdefault((int(owner[first]), item, place), [])
+            at.append((edits, int(self.offset[part]), first))
+        for at in places.values():
+            at.sort(reverse=True)
+        while places:
+            tried = [(key, *at.pop()[1:]) for key, at in places.items()]
+            tried.sort(key=lambda row: self.sizes[row[0][1]])
+            at = 0
+            while at < len(tried):
+                item = np.array([key[1] for key, _, _ in tried[at : at + GROUP]])
+                width = (self.sizes + 2 * self.bounds)[item]
+                fits = max(1, int((np.arange(1, len(width) + 1) * width <= CELLS).sum()))
+                some = tried[at : at + fits]
+                at += fits
+                item = item[:fits]
+                offset, place = (np.array([row[n] for row in some], np.int64) for n in (1, 2))
+                row = owner[place]
+                # Backwards from the part to the item's beginning, then the whole item.
+                edits, back = self._aligned(words, item, offset, place - 1, starts[row], -1)
+                good = np.flatnonzero(edits <= self.bounds[item])
+                item, first, row = item[good], (place - back)[good], row[good]
+                edits, size = self._aligned(words, item, self.sizes[item], first, ends[row] - 1, 1)
+                for n, number in enumerate(good.tolist()):
+                    if edits[n] <= self.bounds[item[n]]:
+                        note(int(item[n]), int(first[n]), int(first[n] + size[n]), int(edits[n]))
+                        places[some[number][0]] = []
+            places = {key: at for key, at in places.items() if at}
+
+    def _aligned(self, words, item, sizes, at, last, step):
+        """(edits, words taken) of the items' first words against the text from ``at`` on.
+
+        With a step of -1 both are read backwards: the items from their word
+        before ``sizes``, the text from ``at`` down to ``last``.
+        """
+        if not len(item):
+            return sizes, sizes
+        bound = self.bounds[item]
+        place = at[:, None] + step * np.arange(int((sizes + bound).max()))
+        inside = (last[:, None] - place) * step >= 0
+        texts = np.where(inside, words[np.clip(place, 0, len(words) - 1)], -2)
+        items = np.full((len(item), int(sizes.max())), -1, np.int64)
+        for row, (number, size) in enumerate(zip(item.tolist(), sizes.tolist())):
+            items[row, :size] = self.items[number][:size][::step]
+        return distances(items, sizes, texts, bound)
 
     def _met(self, walk: Walk, line: np.ndarray) -> Iterator[np.ndarray]:
         total = len(line)

@@ -1,4 +1,5 @@
 import random
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -154,3 +155,35 @@ def test_query_against_brute_force(spark, sf_dir):
     found = {(row.doc_id, row.item_id) for row in op6_decontaminate(spark, sf_dir).collect()}
     wanted = {(d, i) for d, text in docs for i, item in items if item in (text or "")}
     assert wanted and found == wanted
+
+
+@pytest.mark.parametrize("size", [40, 64, 250, 500, 1000])
+def test_recall_of_long_items_edited_in_a_fifth_of_their_words(size):
+    rng = random.Random(size)
+    vocabulary = [f"w{n}" for n in range(20_000)]
+    weights = list(accumulate(1 / n for n in range(1, 20_001)))
+    drawn = lambda k: rng.choices(vocabulary, cum_weights=weights, k=k)
+    items = [drawn(size) for _ in range(60)]
+    texts = [drawn(50) + edited(rng, item, size // 5, vocabulary) + drawn(50) for item in items]
+    finder = Finder([(n, " ".join(item)) for n, item in enumerate(items)], 0.2)
+    rows = finder.find([" ".join(text) for text in texts])
+    assert sum(text == item for text, item, *_ in rows) >= 0.95 * len(items)
+    for text, item, first, end, edits in rows[:5]:
+        assert edits == edit_distances(items[item], texts[text][first:end])[-1] <= size // 5
+
+
+def test_a_long_item_found_by_parts_in_its_middle_or_at_its_ends():
+    rng = random.Random(8)
+    item = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    new = lambda k: [f"n{rng.randrange(5000)}" for _ in range(k)]
+    texts = [
+        new(30) + item[30:270] + new(30),
+        item[:120] + item[180:],
+        item[:150] + new(60) + item[150:],
+        item,
+        item[:200],
+    ]
+    texts = [new(40) + text + new(40) for text in texts]
+    rows = Finder([(1, " ".join(item))], 0.2).find([" ".join(text) for text in texts])
+    assert [(row[0], row[4]) for row in rows] == [(0, 60), (1, 60), (2, 60), (3, 0)]
+    assert rows[3][2:4] == (40, 340)
