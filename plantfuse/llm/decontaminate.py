@@ -1,8 +1,11 @@
 """Documents that contain benchmark items, exactly or with some words edited.
 
-Words are runs of letters, digits and underscores in lower case. An item of n
+Words are runs of letters, digits and underscores in lower case; in scripts that
+are written without blanks each letter, mark or digit is a word. An item of n
 words is found in a document if some window of the document's words is within
 floor(``max_edits`` * n) word insertions, deletions and substitutions of it.
+Items of up to ``FEW_WORDS`` words that may not be edited are looked up as they
+are; the others are searched in three steps.
 
 1. CGK embedding: a pointer walks over a sequence, writing the word under it at
    every step and moving on by a random bit that depends on the step and the
@@ -28,15 +31,15 @@ their words edited are found with a recall over 0.9, those with 10 % over 0.98
 in every sample.
 
 Items reach the tasks in blocks of bounded size, and documents are only mapped:
-nothing is shuffled, so no key can be hot. NULL and empty texts contain nothing.
-Items of fewer than ``MIN_WORDS`` words, NULL ones among them, are ordinary
-phrases and are not searched. Each row of either table is one document or item;
-other columns play no part.
+nothing is shuffled, so no key can be hot. NULL and empty texts contain nothing,
+and items without a word, NULL ones among them, are in no document. Each row of
+either table is one document or item; other columns play no part.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from itertools import repeat
 
@@ -48,7 +51,9 @@ from pyspark.sql import types as T
 
 from plantfuse.llm.shared import slices
 
-MIN_WORDS = 5
+MIN_WORDS = 1
+#: Words up to which items without an allowed edit are looked up.
+FEW_WORDS = 4
 #: Sampled steps that must agree, walks in each direction, samples of each walk.
 STEPS, WALKS, REPEATS = 3, 2, 3
 SEED = 20_260_101
@@ -65,8 +70,42 @@ CELLS = 1 << 20
 #: Bytes of items that go to a task at once.
 BLOCK_BYTES = 4 << 20
 
-words_of = re.compile(r"\w+").findall
-places_of = re.compile(r"\w+").finditer
+# Blocks of scripts that are written without blanks between words.
+UNSPACED = (
+    "0e00-0eff 0f00-0fff 1000-109f 1780-17ff 1950-19df 1a20-1aaf 1b00-1b7f 3005-3007 3021-3029 "
+    "3031-3035 303b-303c 3041-3096 3099-309a 309d-309f 30a1-30fa 30fc-312f 31a0-31ff 3400-4dbf "
+    "4e00-a4cf a980-a9ff aa60-aadf f900-faff ff66-ff9f 1aff0-1b16f 20000-323af"
+)
+
+
+def _unspaced() -> str:
+    """The letters, marks and digits of these blocks, as ranges of a character class."""
+    ranges: list[list[int]] = []
+    for block in UNSPACED.split():
+        first, last = (int(end, 16) for end in block.split("-"))
+        for code in range(first, last + 1):
+            if unicodedata.category(chr(code))[0] in "LMN":
+                if ranges and ranges[-1][1] == code - 1:
+                    ranges[-1][1] = code
+                else:
+                    ranges.append([code, code])
+    return "".join(f"{chr(first)}-{chr(last)}" for first, last in ranges)
+
+
+WORD = re.compile(rf"[{_unspaced()}]|[^\W{_unspaced()}]+")
+SPACED_WORD = re.compile(r"\w+")
+
+
+def _word(text: str) -> re.Pattern[str]:
+    return SPACED_WORD if text.isascii() else WORD
+
+
+def words_of(text: str) -> list[str]:
+    return _word(text).findall(text)
+
+
+def places_of(text: str) -> Iterator[re.Match[str]]:
+    return _word(text).finditer(text)
 
 
 def edits_allowed(n_words: int, max_edits: float) -> int:
@@ -173,6 +212,36 @@ def distances(
     return best, end
 
 
+class Phrases:
+    """Items of one size that are looked up as they are."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], alphabet: int):
+        self.alphabet = alphabet
+        self.known = []
+        code = np.zeros(len(items), np.int64)
+        for words in np.array([words for _, words in items]).T:
+            known, code = np.unique(code * alphabet + words, return_inverse=True)
+            self.known.append(known)
+        order = np.argsort(code, kind="stable")
+        self.codes, self.numbers = code[order], np.array([items[row][0] for row in order])
+
+    def places(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, first word), in order of the words for each item."""
+        at = np.arange(max(0, len(words) - len(self.known) + 1))
+        code = np.zeros(len(at), np.int64)
+        for step, known in enumerate(self.known):
+            key = code * self.alphabet + words[at + step]
+            code = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            found = known[code] == key
+            at, code = at[found], code[found]
+        low, high = np.searchsorted(self.codes, code), np.searchsorted(self.codes, code, side="right")
+        while len(at):
+            yield self.numbers[low], at
+            low = low + 1
+            more = low < high
+            low, high, at = low[more], high[more], at[more]
+
+
 class Finder:
     """A block of items, ready to be found in documents."""
 
@@ -202,9 +271,13 @@ class Finder:
         for of, words in zip(self.sets, self.items):
             np.bitwise_or.at(of, words % SET_BITS >> 6, np.uint64(1) << (words % 64).astype(np.uint64))
         by_size: dict[int, list[int]] = {}
+        few: dict[int, list[tuple[int, np.ndarray]]] = {}
         for number, size in enumerate(self.sizes.tolist()):
-            if size <= PART:
+            if size <= FEW_WORDS and not self.bounds[number]:
+                few.setdefault(size, []).append((number, self.items[number]))
+            elif size <= PART:
                 by_size.setdefault(size.bit_length(), []).append(number)
+        self.phrases = [Phrases(items, len(self.ids) + 1) for items in few.values()]
         self.walks = [
             (
                 direction,
@@ -292,6 +365,15 @@ class Finder:
             if key not in found or value < found[key]:
                 found[key] = value
 
+        for phrases in self.phrases:
+            last = len(phrases.known) - 1
+            for item, first in phrases.places(words):
+                inside = owner[first] == owner[first + last]
+                item, first = item[inside], first[inside]
+                # The first place of each item in each document.
+                _, once = np.unique(item * len(group) + owner[first], return_index=True)
+                for n, at in zip(item[once].tolist(), first[once].tolist()):
+                    note(n, at, at + last + 1, 0)
         # Backwards, positions count from the last word of the group.
         for direction in (1, -1):
             line = words[::direction]

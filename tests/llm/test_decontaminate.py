@@ -187,3 +187,44 @@ def test_a_long_item_found_by_parts_in_its_middle_or_at_its_ends():
     rows = Finder([(1, " ".join(item))], 0.2).find([" ".join(text) for text in texts])
     assert [(row[0], row[4]) for row in rows] == [(0, 60), (1, 60), (2, 60), (3, 0)]
     assert rows[3][2:4] == (40, 340)
+
+
+def test_items_of_few_words_and_scripts_without_blanks(spark):
+    items = [
+        (1, "Yes"),
+        (2, "forty-two"),
+        (3, "a b a b"),
+        (4, "今天天气很好"),
+        (5, "東京"),
+        (6, "สวัสดีครับ"),
+        (7, "yes"),
+        (8, "!?"),
+        (9, "今天天气很好,我们一起去公园散步吧"),
+    ]
+    docs = [
+        (1, "no, YES and yes"),
+        (2, "forty two or fortytwo"),
+        (3, "x a b a b a b"),
+        (4, "因为今天天气很好所以"),
+        (5, "在東京都"),
+        (6, "เขาพูดว่าสวัสดีครับแล้วไป"),
+        (7, "a b"),
+        (8, "a b a"),
+        (9, "大家说今天天气真好,我们一起去公园散步吧!"),
+        (10, "eyes of a yesterday"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows = contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.edits for r in rows} == brute(docs, items)
+    places = {(r.doc_id, r.item_id): dict(docs)[r.doc_id][r.first : r.end] for r in rows}
+    assert places == {
+        (1, 1): "YES",
+        (1, 7): "YES",
+        (2, 2): "forty two",
+        (3, 3): "a b a b",
+        (4, 4): "今天天气很好",
+        (5, 5): "東京",
+        (6, 6): "สวัสดีครับ",
+        (9, 4): "今天天气真好",
+        (9, 9): "今天天气真好,我们一起去公园散步吧",
+    }
