@@ -8,8 +8,11 @@ by further code points without visiting the earlier ones.
 
 A text's fingerprint is the hash of the whole text and the ``KEPT`` least mixed
 hashes of its spans of ``span_of(n)`` code points. The likeness of two
-fingerprints is the share of the least hashes of both that both have, which
+texts is the share of the least hashes of both that both have, which
 estimates the Jaccard index of their multisets of spans, and is exact for short texts.
+Both texts' hashes are taken at the span length of the lesser text, which the
+prefix arrays give too, so that texts on two sides of a change of ``span_of``
+are compared like any others.
 
 NULL counts as empty. An empty text has no spans: its likeness to another empty
 text is 1, to any other 0. Equal texts have equal fingerprints.
@@ -128,13 +131,17 @@ class PrefixHash:
                 high = middle - 1
         return low
 
-    def least(self) -> np.ndarray:
-        """The least hashes of the text's spans, in order.
+    def least(self) -> Least:
+        """The least hashes of the text's spans."""
+        return Least(self)
+
+    def least_of(self, length: int) -> np.ndarray:
+        """The least hashes of the text's spans of one length, in order.
 
         A span's further occurrences count as spans of their own, so that a
         repetitive text is as like to its parts as any other.
         """
-        hashes = np.sort(self.spans(span_of(self.size)))
+        hashes = np.sort(self.spans(length))
         place = np.arange(len(hashes))
         new = np.diff(hashes, prepend=hashes[:1] + np.uint32(1)) != 0
         times = place - np.maximum.accumulate(np.where(new, place, 0))
@@ -145,17 +152,35 @@ class PrefixHash:
         return (few if len(few) >= KEPT else np.unique(mixed))[:KEPT]
 
 
-def fingerprint_text(prefix: PrefixHash, least: np.ndarray) -> str:
+class Least:
+    """A text's least hashes, for each length of spans that is asked for."""
+
+    def __init__(self, prefix: PrefixHash):
+        self.prefix = prefix
+        self.size = prefix.size
+        self.known: dict[int, np.ndarray] = {}
+
+    def of(self, size: int) -> np.ndarray:
+        """The hashes of spans as a text of ``size`` code points has them."""
+        length = min(span_of(size), size)
+        if length not in self.known:
+            self.known[length] = self.prefix.least_of(length)
+        return self.known[length]
+
+
+def fingerprint_text(prefix: PrefixHash, least: Least) -> str:
     """The whole text's hash and the least hashes, in hexadecimal digits."""
     whole = "".join(f"{part:08x}" for part in prefix.span(0, prefix.size))
-    return whole + least.astype(">u4").tobytes().hex()
+    return whole + least.of(prefix.size).astype(">u4").tobytes().hex()
 
 
-def likeness(one: np.ndarray, other: np.ndarray) -> float:
-    """The share of the least hashes of both that both have."""
+def likeness(one: Least, other: Least) -> float:
+    """The share of the least hashes of both that both have; 1 for two empty texts."""
+    size = min(one.size, other.size)
+    if not size:
+        return float(one.size == other.size)
+    one, other = one.of(size), other.of(size)
     both = np.union1d(one, other)[:KEPT]
-    if not len(both):
-        return 1.0
     return float(np.isin(both, np.intersect1d(one, other)).mean())
 
 

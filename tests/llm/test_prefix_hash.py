@@ -118,3 +118,23 @@ def test_query_against_brute_force(spark, sf_dir):
     check(found, brute(rows))
     assert np.quantile([row.near_edited for row in found], 0.05) > 0.3
     assert np.quantile([row.near_next for row in found], 0.5) < 0.1
+
+
+@pytest.mark.parametrize("switch", [1, 2, 16, 32, 64])
+def test_likeness_across_a_switch_of_the_span_length(switch):
+    rng = random.Random(switch)
+    for size, more in [(switch - 1, 1), (switch - 1, 3), (switch, 1), (switch - 1, 21)]:
+        one = "".join(rng.choices("abcdefgh ", k=size))
+        other = one + "".join(rng.choices("abcdefgh ", k=more))
+        span = min(prefix_hash.span_of(size), size)
+        a, b = (Counter(t[n : n + span] for n in range(len(t) - span + 1)) for t in (one, other))
+        exact = (a & b).total() / (a | b).total() if size else 0.0
+        found = [prefix_hash.likeness(Hashed(0, x).least, Hashed(0, y).least) for x, y in [(one, other), (other, one)]]
+        assert found[0] == found[1] and abs(found[0] - exact) < 0.3
+
+
+@pytest.mark.parametrize("size", [17, 20, 33, 41, 64, 84])
+def test_three_quarters_of_a_text_stay_like_it_across_a_switch(size):
+    doc = Hashed(1, "".join(random.Random(size).choices("abcdefgh ", k=size)))
+    row = prefix_hash.compared(doc, Hashed(2, None))
+    assert row[5] > 0.4 and row[6] == 0.0
