@@ -92,3 +92,47 @@ def test_other_columns_and_no_rows(spark):
     rows = html_main.extract_pages(pages).collect()
     assert sorted((row.page_id or 0, row.text) for row in rows) == [(0, ""), (1, "a, b"), (1, "a, b")]
     assert html_main.extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "names",
+    ["page has-sidebar", "no-sidebar", "share-enabled", "content-with-ads", "hasSidebar", "widget", "search layout"],
+)
+def test_a_wrapper_with_the_text_stays_whatever_its_class(names):
+    page = f"<div class='{names}'><h1>Head</h1><p>{PROSE}</p><div class='ad'>Buy, now</div></div>"
+    assert main_text(page) == f"Head\n{PROSE}"
+    assert main_text(f"{page}<div class='sidebar'><p>Short, aside.</p></div>") == f"Head\n{PROSE}"
+
+
+@pytest.mark.parametrize(
+    "header",
+    ["<div class='entry-header'><h1>Head</h1></div>", "<header class='entry-header'><h1>Head</h1></header>"],
+)
+def test_the_header_of_an_article_stays(header):
+    assert main_text(f"<article>{header}<p>{PROSE}</article>") == f"Head\n{PROSE}"
+    site = "<header class='header'><h1>Site</h1></header>"
+    assert main_text(f"{site}<div>{header}<div><p>{PROSE}</div></div>") == f"Head\n{PROSE}"
+    page = f"<article><div class='header'><p>No heading</div><div class='nav header'><h2>N</h2></div><p>{PROSE}"
+    assert main_text(page) == PROSE
+
+
+def test_all_blocks_of_a_page_without_article_and_main():
+    links = "<div><a href='a'>One link</a> | <a href='b'>Another link</a></div>"
+    page = (
+        f"<div>{links}<h1>Head</h1><div><div><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>"
+        "<section><p>Short part.</p></section></div><ul><li>one</li><li>two</li></ul>"
+        f"<table><tr><td>a</td></tr></table>Loose <a href='c'>end</a> of the text. {links}"
+        "<aside>Aside</aside></div>"
+    )
+    assert main_text(page).split("\n") == [
+        "Head", PROSE, PROSE, PROSE, "Short part.", "one", "two", "a", "Loose end of the text.",
+    ]
+
+
+def test_all_articles_of_a_page():
+    page = (
+        f"<div><article><h2>A</h2><p>{PROSE}{PROSE}</article></div><article><h2>B</h2><p>{PROSE}</article>"
+        f"<div class='related'><article><p>{PROSE}</article></div><article class='comment'><p>{PROSE}</article>"
+        "<article><h3><a href='x'>Only a teaser</a></h3></article>"
+    )
+    assert main_text(page) == f"A\n{PROSE}{PROSE}\nB\n{PROSE}"
