@@ -8,14 +8,17 @@ the class with the greater sum of margins, then to the first by name. A vote's
 confidence is the least of the winner's, each 1 / (1 + exp(-2 margin)); the
 score is the lesser of the two votes'.
 
-The machines are fitted on the driver on a sample that is bounded by parameters:
-about ``PER_LANGUAGE`` labelled documents of each of at most ``LANGUAGES``
-languages, the most frequent ones, chosen by a hash of the id. Labels, sources
-and ids are no features. Everything else covers all documents.
+Every label is learned. The machines are fitted on the driver on a sample that
+is bounded by parameters: of each language at most ``PER_LANGUAGE`` different
+labelled documents, those of least hash of id and text, or fewer if there are so
+many languages that the sample would have over ``SAMPLE`` documents, but
+``LEAST`` if there are as many. Copies of one id and text are one document of the
+sample. There is a machine for each pair of families, whatever their number.
+Labels, sources and ids are no features. Everything else covers all documents.
 
 A text that is NULL or has no letter is ``und`` with score 0, and so are all if
 no row has a label. A language without relatives is a family of its own.
-NULL ids are the empty text to the hash. Rows are independent.
+NULL ids and texts are the empty text to the hash. Rows are independent.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +38,8 @@ from plantfuse.llm.shared import slices
 
 FEATURES = 2048
 PER_LANGUAGE = 1000
-LANGUAGES = 50
+#: Documents of the sample, and documents of a language that are always learned from.
+SAMPLE, LEAST = 50_000, 50
 UNKNOWN = "und"
 
 # Families of languages by their two-letter codes.
@@ -182,43 +186,59 @@ def fit(
     text_column: str = "text",
     label_column: str = "lang",
     per_language: int = PER_LANGUAGE,
-    languages: int = LANGUAGES,
+    languages: int | None = None,
 ) -> Model | None:
-    """A model of the labelled rows for which ``usable`` holds; None without any."""
+    """A model of the labelled rows for which ``usable`` holds; None without any.
+
+    ``languages``: so many of the most frequent labels only, not all.
+    """
+    text_id = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     rows = docs.where(usable).select(
         F.col(label_column).cast("string").alias("label"),
         F.col(text_column).alias("text"),
-        # Uniform in 0..1 and the same on every run.
-        (F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) / 2.0**64 + 0.5).alias("u"),
+        F.xxhash64(text_id, F.col(text_column)).alias("hash"),
     )
     rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = (
-        rows.groupBy("label")
-        .count()
-        .orderBy(F.desc("count"), "label")
-        .limit(languages)
-        .collect()
+    counts = rows.groupBy("label").agg(
+        F.count("*").alias("count"), F.approx_count_distinct("hash").alias("different")
     )
+    if languages is not None:
+        counts = counts.orderBy(F.desc("count"), "label").limit(languages)
+    counts = counts.collect()
     if not counts:
         return None
-    chosen = F.lit(False)
-    for row in counts:
-        chosen |= (F.col("label") == row.label) & (F.col("u") <= per_language / row["count"])
+    most = min(per_language, max(LEAST, SAMPLE // len(counts)))
+    # The number is known to a few percent: enough are drawn, and those over ``most`` cut off.
+    drawn = 1.3 * most + 100
+    share = docs.sparkSession.createDataFrame(
+        [(row.label, min(1.0, drawn / max(1, row.different))) for row in counts],
+        "label string, share double",
+    )
+    # Uniform in 0..1 and the same on every run.
+    place = F.col("hash") / 2.0**64 + 0.5
+    chosen = (
+        rows.join(F.broadcast(share), "label")
+        .where(place <= F.col("share"))
+        .groupBy("label", "hash")
+        .agg(F.min("text").alias("text"))
+    )
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [features(text).tobytes() for text in batch.column(1).to_pylist()]
+            rows = [features(text).tobytes() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.binary()), batch.column(2)],
-                names=["label", "vector", "u"],
+                [batch.column(0), batch.column(1), pa.array(rows, pa.binary())],
+                names=["label", "hash", "vector"],
             )
 
+    order = Window.partitionBy("label").orderBy("hash")
+    least = chosen.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
     sample = (
-        rows.where(chosen)
-        .mapInArrow(vectors, "label string, vector binary, u double")
+        least.select("label", "hash", "text")
+        .mapInArrow(vectors, "label string, hash long, vector binary")
         .collect()
     )
-    sample.sort(key=lambda row: (row.label, row.u, bytes(row.vector)))
+    sample.sort(key=lambda row: (row.label, row.hash))
     vectors_of = np.array([np.frombuffer(row.vector, np.float32) for row in sample])
     return Model.fit(vectors_of.reshape(len(sample), FEATURES), [row.label for row in sample])
 

@@ -84,3 +84,32 @@ def test_held_out_accuracy(spark, sf):
         if row.held_out:
             right[row.lang_pred == docs[row.doc_id].lang] += 1
     assert right[True] > 0.98 * right.total()
+
+
+def test_every_label_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [
+        (n, " ".join(f"{letters[a]}{letters[b]}{letters[a]}" for _ in range(9)), f"x{a:02}{b}")
+        for n, (a, b) in enumerate((a, b) for a in range(26) for b in (0, 9, 20) for _ in range(2))
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.predicted(docs, language.fit(docs, F.lit(True))).collect()
+    assert len({row.lang for row in found}) == 78
+    assert all(row.language.lang_pred == row.lang for row in found)
+
+
+def test_rows_of_one_id_are_drawn_by_their_texts_and_copies_once(spark, monkeypatch):
+    seen = []
+    fit = language.Model.fit.__func__
+    monkeypatch.setattr(
+        language.Model,
+        "fit",
+        classmethod(lambda cls, rows, labels: seen.append(Counter(labels)) or fit(cls, rows, labels)),
+    )
+    for doc_id in (None, *range(8)):
+        rows = [(doc_id, f"{SENTENCES['en']} {n}", "en") for n in range(1500)]
+        rows += [(doc_id, SENTENCES["fr"], "fr")] * 700 + [(doc_id, SENTENCES["de"], "de")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language.fit(docs, F.lit(True), per_language=20)
+        assert seen.pop() == {"en": 20, "fr": 1, "de": 1}
+        assert model.predict([SENTENCES["fr"]])[0] == ["fr"]
