@@ -14,6 +14,7 @@ from plantfuse.llm import (
     html_main,
     language,
     line_dedup,
+    packing,
     pii,
     prefix_hash,
     quotes,
@@ -24,6 +25,9 @@ from plantfuse.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Tokens of a packed sequence.
+CAPACITY = 2048
+
 
 def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
@@ -110,6 +114,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY
+    )
+    measured = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.packed(measured, CAPACITY).select(
+        F.col("id").alias("doc_id"),
+        "piece",
+        "start",
+        "length",
+        "ids_crc32",
+        F.col("sequence").alias("sequence_id"),
+        "offset",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quote_linking": op1_quote_linking,
     "op2_simhash_cover": op2_simhash_cover,
@@ -121,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_main_text": op8_main_text,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
+    "op13_exact_packing": op13_exact_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
