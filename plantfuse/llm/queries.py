@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantfuse.llm import (
+    alignment,
     bpe,
     decontaminate,
     html_main,
@@ -114,6 +115,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("a").cast("long").alias("n_a"),
+        F.size("b").cast("long").alias("n_b"),
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"),
+    )
+
+
 def op13_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY
@@ -141,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "op8_main_text": op8_main_text,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op13_exact_packing": op13_exact_packing,
 }
 

@@ -1,0 +1,152 @@
+"""Alignment of tokenizers, against a brute force over tokens of the libraries."""
+
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
+
+from plantfuse.llm import alignment
+from plantfuse.llm.queries import op11_token_alignment
+
+A_PATH = public_tokenizers.path("byte_bpe_50k.json")
+B_PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def spans(tokens):
+    """(id, first byte, end) of each token."""
+    found, at = [], 0
+    for number, size in tokens:
+        found.append((number, at, at + size))
+        at += size
+    return found
+
+
+def brute_force(texts):
+    """Per text: n_a, n_b, n_groups, n_links, n_best, count_sum and the groups."""
+    a_all = Tokenizer.from_file(A_PATH)
+    a_all.encode_special_tokens = True
+    b_all = SentencePieceProcessor(model_file=B_PATH)
+    of_char = alignment.byte_level()
+    of_texts = []
+    for text in texts:
+        whole = f" {text}".encode()
+        a = [
+            (number, bytes(of_char[c] for c in a_all.id_to_token(number)))
+            for number in a_all.encode(f" {text}", add_special_tokens=False).ids
+        ]
+        b = [
+            (
+                number,
+                bytes([int(b_all.id_to_piece(number)[3:5], 16)])
+                if b_all.is_byte(number)
+                else b_all.id_to_piece(number).replace("▁", " ").encode(),
+            )
+            for number in b_all.encode(text or "")
+        ]
+        if not text or b"".join(t for _, t in a) != whole or b"".join(t for _, t in b) != whole:
+            a = b = []
+        a, b = (spans([(n, len(t)) for n, t in side]) for side in (a, b))
+        links = [(x[0], y[0]) for x in a for y in b if x[1] < y[2] and y[1] < x[2]]
+        ends = sorted({x[2] for x in a} & {y[2] for y in b})
+        groups, before = [], 0
+        for end in ends:
+            inside = [
+                ",".join(str(t[0]) for t in side if before < t[2] <= end) for side in (a, b)
+            ]
+            groups.append("|".join(inside))
+            before = end
+        of_texts.append((len(a), len(b), links, ";".join(groups), len(groups)))
+    documents = Counter(pair for *_, links, _, _ in of_texts for pair in set(links))
+    best = Counter()
+    for (a, _), count in documents.items():
+        best[a] = max(best[a], count)
+    return [
+        (
+            n_a,
+            n_b,
+            n_groups,
+            len(links),
+            sum(documents[pair] == best[pair[0]] for pair in links),
+            sum(documents[pair] for pair in links),
+            groups,
+        )
+        for n_a, n_b, links, groups, n_groups in of_texts
+    ]
+
+
+ODD = [
+    None,
+    "",
+    " ",
+    "  two  spaces\n\n\ttabs ",
+    "a▁b",
+    "<s> </s> <unk> <0x41> <|endoftext|>",
+    "aaaaaaaaaaaaaa aaaa aaa",
+    "Über die Straße, naïve café — “quotes”",
+    "日本語の文章です。",
+    "emoji 👩‍👩‍👧 and \u0000 nul",
+    "1234567890 3.14159 0x7fff",
+    "same words same words",
+    "same words same words",
+]
+
+
+@pytest.mark.parametrize("heavy", [alignment.HEAVY, 20, 0])
+def test_counts_are_those_of_a_brute_force(spark, heavy):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = ODD + [row.text for row in docs.limit(40).collect()]
+    rows = list(enumerate(texts))
+    found = alignment.aligned(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+        A_PATH,
+        B_PATH,
+        heavy=heavy,
+    )
+    got = {
+        row.id: (
+            len(row.a),
+            len(row.b),
+            row.n_groups,
+            row.n_links,
+            row.n_best,
+            row.count_sum,
+            row.groups,
+        )
+        for row in found.collect()
+    }
+    for number, want in enumerate(brute_force(texts)):
+        assert got[number] == want, texts[number]
+
+
+def test_one_id_of_b_has_the_bytes_of_one_of_a():
+    both = alignment.both(
+        open(A_PATH, encoding="utf-8").read(), open(B_PATH, "rb").read()
+    )
+    for a, b in enumerate(both.same.tolist()):
+        if b >= 0:
+            assert both.a.joined([a]) == both.b.joined([b])
+    assert (both.same >= 0).sum() > 10_000
+
+
+def test_repeated_ids_extra_columns_and_empty_tables(spark):
+    rows = [(None, "word", 1, 2), (None, "word", 1, 2), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, row int, groups long")
+    found = alignment.aligned(docs, A_PATH, B_PATH).collect()
+    assert sorted((row.id or 0, row.n_links, row.count_sum) for row in found) == [
+        (0, 1, 2),
+        (0, 1, 2),
+        (3, 0, 0),
+    ]
+    assert alignment.aligned(docs.where("false"), A_PATH, B_PATH).collect() == []
+
+
+def test_query_returns_the_columns_of_the_contract(spark, sf_dir):
+    found = op11_token_alignment(spark, sf_dir)
+    assert [name for name, kind in found.dtypes if kind == "bigint"] == [
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"
+    ]
+    rows = found.collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert all(len(row.groups_sha256) == (64 if row.n_a else 0) for row in rows)
