@@ -14,6 +14,7 @@ from plantfuse.llm import (
     decontaminate,
     html_main,
     language,
+    lexical,
     line_dedup,
     packing,
     pii,
@@ -133,6 +134,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score"
+    )
+
+
 def op13_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY
@@ -161,10 +169,44 @@ QUERIES: dict[str, Query] = {
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_alignment": op11_token_alignment,
+    "op12_lexical_search": op12_lexical_search,
     "op13_exact_packing": op13_exact_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_lexical_search": r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), lengths AS (
+  SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS documents, sum(n)::BIGINT AS total FROM lengths
+), held AS (
+  SELECT doc_id, term, count(*) AS tf FROM doc_terms
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, totals GROUP BY term, documents
+), scores AS (
+  SELECT item_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // total))))::BIGINT AS score
+  FROM item_terms JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score,
+    (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+  FROM scores WHERE score > 0
+) WHERE rank <= 10
+""",
     "op1_quote_linking": r"""
 WITH RECURSIVE messages AS (
   SELECT conv_id, turn, role,
