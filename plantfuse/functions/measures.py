@@ -17,14 +17,51 @@ def flag(condition: Column) -> Column:
     return F.when(condition, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+#: Bits of a limb, and the power of two that each limb of an amount counts.
+LIMB = 20
+POWERS = (44, 24, 4, -16, -36, -56, -76)
+
+
+def exact_sum(amount: Column) -> Column:
+    """The sum of a floating amount, with the same bits whatever the order of tasks.
+
+    An amount is split into whole multiples of falling powers of two, and each
+    limb is summed as a BIGINT, which no order changes: 2^43 rows fit, and the
+    sums stay in generated code. The limbs are joined once they are complete.
+    What an amount holds below 2^-77 is rounded off. NULLs are passed over; NaN,
+    infinity and amounts of 2^64 or more, which have no limbs, are added beside.
+    """
+    x = amount.cast("double")
+    in_range = F.abs(x) < 2.0 ** (POWERS[0] + LIMB)
+    held = F.when(in_range, x)
+
+    def multiples(power: int) -> Column:
+        return F.rint(held * 2.0**-power)
+
+    limbs = [multiples(POWERS[0])] + [
+        multiples(power) - multiples(power + LIMB) * 2.0**LIMB for power in POWERS[1:]
+    ]
+    sums = [F.sum(limb.cast("long")) for limb in limbs]
+    # From the last limb on, what passes half a limb is carried to the one
+    # before. The first that is left then outweighs all after it.
+    total = carry = None
+    for power, limb in zip(reversed(POWERS), reversed(sums)):
+        limb = limb if carry is None else limb + carry
+        if power != POWERS[0]:
+            carry = F.shiftright(limb + 2 ** (LIMB - 1), LIMB)
+            limb = limb - F.shiftleft(carry, LIMB)
+        part = limb.cast("double") * 2.0**power
+        total = part if total is None else total + part
+    beside = F.sum(F.when(~in_range, x))
+    return F.when(beside.isNull(), total).otherwise(beside + zero_if_null(total))
+
+
 def rounded_sum(amount: Column, places: int = 4) -> Column:
     """The sum of a floating amount, rounded once it is complete.
 
-    Nothing is cut from the amounts, and NULL, NaN and infinity count as in any
-    SUM. The order of tasks shows in digits beyond a double's fifteenth only,
-    which rounding hides as long as the total has fewer before the last place.
+    Nothing is cut from the amounts, and NULL, NaN and infinity count as in any SUM.
     """
-    return F.round(F.sum(amount), places)
+    return F.round(exact_sum(amount), places)
 
 
 def zero_if_null(value: Column) -> Column:

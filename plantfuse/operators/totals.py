@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantfuse.functions import zero_if_null
+from plantfuse.functions import exact_sum, zero_if_null
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,8 @@ def totals_by_key(key: str, *facts: Fact) -> DataFrame:
     their ``UNION ALL``.
 
     The key is widened before grouping: a cast at the join instead would need
-    the totals shuffled again.
+    the totals shuffled again. Sums of floating amounts have the same bits
+    whatever the order of tasks.
     """
     rows = reduce(
         DataFrame.unionByName,
@@ -58,7 +59,12 @@ def totals_by_key(key: str, *facts: Fact) -> DataFrame:
             for f in facts
         ],
     )
-    return rows.groupBy(key).agg(*[F.sum(m).alias(m) for m in facts[0].adds])
+    floating = {f.name for f in rows.schema if isinstance(f.dataType, T.FractionalType)} - {
+        f.name for f in rows.schema if isinstance(f.dataType, T.DecimalType)
+    }
+    return rows.groupBy(key).agg(
+        *[(exact_sum(F.col(m)) if m in floating else F.sum(m)).alias(m) for m in facts[0].adds]
+    )
 
 
 def with_totals(

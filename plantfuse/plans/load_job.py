@@ -1,4 +1,4 @@
-"""Loading a source: create, replace all rows, check and count what arrived."""
+"""Loading a source: create, stage, check, publish and count what arrived."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from plantfuse.operators import checks, keys, load
+from plantfuse.operators import checks, keys, load, publish
 from plantfuse.session import removed_at_exit, shared_path
 from plantfuse.sources import SourceDef, Sources, TableDef
 from plantfuse.sources.catalogs import qualified
@@ -17,21 +17,21 @@ class LoadError(RuntimeError):
     """Rows that break a table's declaration."""
 
 
-def load_table(
+def stage_table(
     spark: SparkSession,
     schema: str,
     table: TableDef,
     frame: DataFrame,
     catalog: str | None = None,
     seen: Observation | None = None,
-) -> DataFrame:
-    """Creates the declared table if need be and replaces its rows.
+) -> publish.Stage:
+    """Creates the declared table if need be and stages rows that keep its declaration.
 
     Columns the frame lacks take their declared defaults. A key the source
     generates is numbered in the order of the other columns. A table of the
-    name with other columns, and stored rows that repeat a declared key or
-    break a NOT NULL or a length, stop the job. ``seen`` counts the rows sent
-    as ``n``, without reading them again.
+    name with other columns or types, and rows that repeat a declared key or
+    break a NOT NULL or a length, stop the job before the table changes.
+    ``seen`` counts the rows sent as ``n``, without reading them again.
     """
     name = qualified(catalog, schema, table.name)
     load.create_table(spark, name, table.ddl, comment=table.comment, defaults=table.defaults)
@@ -46,19 +46,37 @@ def load_table(
         rows = rows.withColumn(generated, F.col(generated).cast(key_type))
     elif seen is not None:
         rows = rows.observe(seen, F.count("*").alias("n"))
-    loaded = load.reload_table(rows, name)
-    broken = checks.constraint_violations(loaded, table.name, table.ddl, table.key)
+    staged = publish.stage(rows, name, table.ddl, table.defaults)
+    broken = checks.constraint_violations(staged.rows(spark), table.name, table.ddl, table.key)
     found = [f"{row.rule}: {row.violations}" for row in broken.where("violations > 0").collect()]
     if found:
+        publish.discard(spark, staged)
         raise LoadError(f"{table.name} breaks {'; '.join(found)}")
-    return loaded
+    return staged
+
+
+def load_table(
+    spark: SparkSession,
+    schema: str,
+    table: TableDef,
+    frame: DataFrame,
+    catalog: str | None = None,
+) -> DataFrame:
+    """Replaces the rows of the declared table, once they are written and checked."""
+    return publish.publish(spark, stage_table(spark, schema, table, frame, catalog))
 
 
 def _same_columns(spark: SparkSession, name: str, table: TableDef) -> None:
-    declared = {f.name for f in checks.declared_columns(table.ddl)}
-    found = set(spark.table(name).columns)
-    if declared != found:
-        raise LoadError(f"{name} has other columns than declared: {sorted(declared ^ found)}")
+    declared = {f.name: f.dataType.simpleString() for f in checks.declared_columns(table.ddl)}
+    stored = spark.table(name).schema
+    # A stored length is kept beside the type, which then reads as a string.
+    lengths = {
+        f.name: f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", f.dataType.simpleString())
+        for f in stored
+    }
+    if declared != lengths:
+        differing = sorted({name for name, _ in declared.items() ^ lengths.items()})
+        raise LoadError(f"{name} has other columns than declared: {differing}")
 
 
 def load_tables(
@@ -66,15 +84,25 @@ def load_tables(
 ) -> DataFrame:
     """Loads the tables into a schema and compares rows sent with rows stored.
 
-    Rows are counted as they are written: no input is read again for it.
+    Rows are counted as they are written: no input is read again for it. All
+    tables are staged and checked before the first is published, so a table
+    that is refused leaves all of them as they were.
     """
     load.create_schema(spark, schema)
-    stored, sent = {}, []
-    for table, frame in tables:
-        seen = Observation(f"sent-{table.name}")
-        loaded = load_table(spark, schema, table, frame, seen=seen)
-        stored[table.name] = lambda loaded=loaded: loaded
-        sent.append((table.name, seen.get["n"]))
+    staged, sent = [], []
+    try:
+        for table, frame in tables:
+            seen = Observation(f"sent-{table.name}")
+            staged.append(stage_table(spark, schema, table, frame, seen=seen))
+            sent.append((table.name, seen.get["n"]))
+    except Exception:
+        for stage in staged:
+            publish.discard(spark, stage)
+        raise
+    stored = {}
+    for (table, _), stage in zip(tables, staged):
+        shown = publish.publish(spark, stage)
+        stored[table.name] = lambda shown=shown: shown
     expected = spark.createDataFrame(sent, "table_name STRING, expected_rows BIGINT")
     return checks.reconcile(checks.table_counts(spark, stored), expected)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantfuse.functions import rounded_sum
+from plantfuse.functions import exact_sum
 from plantfuse.sources import Sources, TableSource
 from plantfuse.sources.star import STAR_DDL
 
@@ -106,7 +106,7 @@ def sensor_readings(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("reading_id"),
         F.col("user_id").alias("machine_id"),
-        F.col("value").cast("decimal(10,2)").alias("value"),
+        "value",
         reading_status().alias("status"),
     )
 
@@ -117,7 +117,7 @@ def production_events(events: DataFrame) -> DataFrame:
         "event_id",
         F.col("user_id").alias("machine_id"),
         F.when(kind == "purchase", "maintenance").otherwise(kind).alias("event_type"),
-        F.col("value").cast("decimal(10,2)").alias("duration_minutes"),
+        F.col("value").alias("duration_minutes"),
     )
 
 
@@ -157,16 +157,16 @@ def energy_consumption(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     order has.
     """
     per_order = lineitem.groupBy("l_orderkey").agg(
-        rounded_sum(F.col("l_quantity"), 2).alias("kwh"),
-        rounded_sum(F.col("l_extendedprice"), 2).alias("cost"),
+        exact_sum(F.col("l_quantity")).alias("kwh_consumed"),
+        exact_sum(F.col("l_extendedprice")).alias("cost_usd"),
     )
     return per_order.join(
         orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     ).select(
         F.col("o_orderkey").alias("record_id"),
         F.col("o_custkey").alias("machine_id"),
-        F.col("kwh").cast("decimal(18,2)").alias("kwh_consumed"),
-        F.col("cost").cast("decimal(18,2)").alias("cost_usd"),
+        "kwh_consumed",
+        "cost_usd",
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantfuse.functions import flag, pass_rate, rounded_sum
+from plantfuse.functions import exact_sum, flag, pass_rate, rounded_sum
 from plantfuse.operators import checks, combine, generate, keys, load, rules, totals
 from plantfuse.plans import load_job, questions, steps, summaries
 from plantfuse.plans.star_model import nation_sources, star_sources, star_table
@@ -120,7 +120,7 @@ def inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_type = (
         star_table(spark, sf_dir, "events")
         .groupBy("event_type")
-        .agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+        .agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("v"))
     )
     return (
         per_type.join(groups, "event_type", "left")
@@ -316,6 +316,49 @@ def load_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.join(found, "table_name")
 
 
+def reload_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads of one table, the middle one refused, and what the table shows after each.
+
+    The second batch holds every customer in debt twice. The rows of the first
+    are still shown after it, and read from the first load's own files after
+    the third.
+    """
+    accounts = TableDef(
+        "accounts",
+        "c_custkey BIGINT NOT NULL, c_name VARCHAR(30) NOT NULL, c_acctbal DOUBLE, origin STRING",
+        key=("c_custkey",),
+        defaults={"origin": "loaded"},
+    )
+    customer = star_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    in_debt = customer.where("c_acctbal < 0")
+    batches = {
+        "first": customer.where("c_acctbal >= 0"),
+        "repeated": in_debt.unionByName(in_debt),
+        "all": customer.withColumn("origin", F.lit("all")),
+    }
+    schema = f"plantfuse_load_{uuid.uuid4().hex}"
+    load.create_schema(spark, schema)
+    shown = []
+    for name, batch in batches.items():
+        try:
+            load_job.load_table(spark, schema, accounts, batch)
+            outcome = "published"
+        except load_job.LoadError as refusal:
+            outcome = str(refusal)
+        shown.append(
+            spark.table(f"{schema}.accounts").agg(
+                F.lit(name).alias("batch"),
+                F.lit(outcome).alias("outcome"),
+                F.count("*").alias("row_count"),
+                F.count_distinct("c_custkey").alias("key_count"),
+                F.sum("c_custkey").alias("key_sum"),
+                rounded_sum(F.col("c_acctbal"), 2).alias("balance"),
+                F.sum(flag(F.col("origin") == "loaded")).alias("by_default"),
+            )
+        )
+    return reduce(DataFrame.unionByName, shown)
+
+
 def fresh_table(spark: SparkSession, name: str) -> str:
     """A table name not used before, in a schema under the shared folder."""
     load.create_schema(spark, "plantfuse")
@@ -532,8 +575,7 @@ def steps_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     for label, off in {"no_master": ("glue",), "no_lines": ("redshift", "bigquery")}.items():
         runnable = steps.runnable_steps(star_sources(spark, sf_dir, off))
         for name, frame in runnable.items():
-            total = F.sum(STEP_MEASURE[name]).cast("double")
-            measure = F.round(total, 2).alias("measure_total")
+            measure = rounded_sum(F.col(STEP_MEASURE[name]), 2).alias("measure_total")
             rows.append(
                 frame.agg(F.count("*").alias("machine_count"), measure).select(
                     F.lit(label).alias("sources"), F.lit(name).alias("step"), "*"
@@ -628,6 +670,7 @@ QUERIES = {
     "operations_table": operations_table,
     "stored_questions": stored_questions,
     "load_and_check": load_and_check,
+    "reload_checked": reload_checked,
     "constraint_check": constraint_check,
     "data_dictionary": data_dictionary,
     "row_count_reconcile": row_count_reconcile,

@@ -71,9 +71,12 @@ def machine_health_summary(sources: Sources) -> DataFrame:
             totals_by_key(KEY, *inspection_facts(sources)),
         ],
     )
-    return summary.withColumn(
-        "quality_pass_rate_pct",
-        pass_rate(F.col("passed_inspection_count"), F.col("total_inspection_count")),
+    rate = pass_rate(F.col("passed_inspection_count"), F.col("total_inspection_count"))
+    return summary.withColumns(
+        {
+            "total_maintenance_minutes": F.round("total_maintenance_minutes", 2),
+            "quality_pass_rate_pct": rate,
+        }
     )
 
 
