@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantfuse.functions import exact_sum, flag, pass_rate, rounded_sum
-from plantfuse.operators import checks, combine, generate, keys, load, rules, totals
+from plantfuse.operators import checks, combine, compare, generate, keys, load, rules, totals
 from plantfuse.plans import load_job, questions, steps, summaries
 from plantfuse.plans.star_model import nation_sources, star_sources, star_table
 from plantfuse.session import removed_at_exit, shared_path
 from plantfuse.sources import TableDef, TableSource, values_frame
 from plantfuse.sources.star import STAR_DDL
 
-# Rows expected of each table: a declared number, or one for each key up to the
-# greatest that its rows or the rows referring to it carry. One event per
-# customer and day is declared and not what there is; shipments are declared
-# and not delivered.
+# Rows expected of each table: a declared number, or what another table leads to
+# expect: one row for each key up to the greatest that rows refer to, or a
+# declared number of rows for each of the other's. None is counted from the table
+# itself. One event per customer and day, a label and half a conversation turn
+# per document are declared and not what there is; shipments are declared and not
+# delivered.
 EXPECTED_ROWS = {
     "region": 5,
     "nation": 25,
@@ -32,10 +34,14 @@ EXPECTED_ROWS = {
     "supplier": ("lineitem", "max(l_suppkey) + 1"),
     "part": ("lineitem", "max(l_partkey) + 1"),
     "orders": ("lineitem", "max(l_orderkey) + 1"),
+    "lineitem": ("orders", "count(*) * 4"),
     "events": ("orders", "count(DISTINCT o_custkey, to_date(o_orderdate))"),
-    "documents": ("documents", "max(doc_id) + 1"),
-    "pages": ("pages", "max(page_id) + 1"),
-    "benchmark": ("benchmark", "max(item_id) + 1"),
+    "documents": ("customer", "greatest(200, count(*) * 2 div 3)"),
+    "embeddings": ("documents", "count(*)"),
+    "pages": ("documents", "count(*) div 4"),
+    "benchmark": ("documents", "greatest(40, count(*) div 50)"),
+    "labels": ("documents", "count(*)"),
+    "conversations": ("documents", "count(*) div 2"),
     "shipments": ("orders", "max(o_orderkey) + 1"),
 }
 
@@ -433,6 +439,29 @@ def master_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.copy_differences(left, right, "id", ["nation", "in_debt"])
 
 
+def copies_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a stored copy that lost, changed and gained a few of them.
+
+    Only rows of key ranges whose hashes differ are brought together.
+    """
+    columns = ["o_custkey", "o_totalprice", "o_orderstatus"]
+    orders = star_table(spark, sf_dir, "orders").select("o_orderkey", *columns)
+    key = F.col("o_orderkey")
+    amended = orders.where(key % 991 != 3).withColumns(
+        {
+            "o_totalprice": F.when(key % 997 == 5, F.col("o_totalprice") + 1).otherwise(
+                F.col("o_totalprice")
+            ),
+            "o_orderstatus": F.when(key % 1013 != 8, F.col("o_orderstatus")),
+        }
+    )
+    gained = orders.where(key % 983 == 11).withColumn("o_orderkey", -key)
+    path = shared_path(spark, "orders-amended")
+    stored = load.overwrite_files(amended.unionByName(gained), path)
+    removed_at_exit(spark, path)
+    return compare.differences_by_range(orders, stored, "o_orderkey", columns)
+
+
 # Names and parameters
 
 
@@ -675,6 +704,7 @@ QUERIES = {
     "data_dictionary": data_dictionary,
     "row_count_reconcile": row_count_reconcile,
     "master_diff": master_diff,
+    "copies_by_range": copies_by_range,
     "param_identifier": param_identifier,
     "execute_immediate": execute_immediate,
     "group_count": group_count,
