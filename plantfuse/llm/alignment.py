@@ -17,7 +17,8 @@ shuffled by its key. Pairs below that, each in few documents, are joined by key.
 
 Texts that are NULL, empty, or whose tokens do not join to their bytes have no
 tokens, no groups and no links. A row is a document, also where ids repeat or
-are NULL. An empty table gives no rows. A task holds the tokens of 256 texts.
+are NULL. An empty table gives no rows. A task holds the
+tokens of ``TOGETHER`` bytes of text, or of one longer text.
 Columns other than the id and the text play no part.
 """
 
@@ -35,14 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantfuse.llm.shared import slices, written
+from plantfuse.llm.shared import sized_slices, text_sizes, written
 from plantfuse.llm.word_ids import ID, word_ids
 
 #: Pairs, besides those of the same bytes, whose counts are sent to all tasks.
 HEAVY = 1 << 19
 
 #: Pairs of a task that are summed there before they move.
-SUMMED = 1 << 19
+SUMMED = 1 << 18
+
+#: Bytes of texts, and tokens, that a task works on at once; more only of one text.
+TOGETHER = 1 << 18
 
 #: A pair is A's id shifted by this, plus B's; a document of a slice stands above.
 B_BITS, PAIR_BITS = 20, 44
@@ -153,10 +157,14 @@ class Links(NamedTuple):
         return self.a[self.left] << B_BITS | self.b[self.right]
 
 
+def _lengths(column: pa.ListArray) -> np.ndarray:
+    return column.value_lengths().to_numpy(zero_copy_only=False)
+
+
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """A column of lists as one array, and the length of each list."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return flat, column.value_lengths().to_numpy(zero_copy_only=False)
+    return flat, _lengths(column)
 
 
 def links(a: pa.ListArray, b: pa.ListArray, vocabularies: Both) -> Links:
@@ -215,7 +223,7 @@ def encoded(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = both(*files.value)
-        for batch in slices(batches):
+        for batch in sized_slices(batches, text_sizes, TOGETHER):
             coded = vocabularies.encode([text or "" for text in batch.column(1).to_pylist()])
             a, b = zip(*coded)
             yield pa.RecordBatch.from_arrays(
@@ -254,7 +262,7 @@ def pair_counts(coded: DataFrame, files) -> DataFrame:
             np.add.at(total, at, weights)
             return new, total
 
-        for batch in slices(batches):
+        for batch in sized_slices(batches, lambda b: _lengths(b.column(0)), TOGETHER):
             found = links(batch.column(0), batch.column(1), vocabularies)
             identity = same[found.a[found.left]] == found.b[found.right]
             regular = np.unique(found.doc[identity] << PAIR_BITS | found.a[found.left[identity]])
@@ -341,12 +349,12 @@ def aligned(
         (best_a, most), (known_pairs, known_documents) = known.value
         highest = np.zeros(len(vocabularies.same), np.int64)
         highest[best_a] = most
-        for batch in slices(batches):
+        for batch in sized_slices(batches, lambda b: _lengths(b.column(2)), TOGETHER):
             rows = batch.num_rows
             a, b = batch.column(2), batch.column(3)
             found = links(a, b, vocabularies)
             common = found.a_ends[np.isin(found.a_ends, found.b_ends, assume_unique=True)]
-            group_doc = np.repeat(np.arange(rows), a.value_lengths())[
+            group_doc = np.repeat(np.arange(rows), _lengths(a))[
                 np.searchsorted(found.a_ends, common)
             ]
             pairs = found.pairs
@@ -372,8 +380,8 @@ def aligned(
                         texts_of_groups(
                             found,
                             common,
-                            a.value_lengths().to_numpy(),
-                            b.value_lengths().to_numpy(),
+                            _lengths(a),
+                            _lengths(b),
                             vocabularies,
                         ),
                         pa.string(),

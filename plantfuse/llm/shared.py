@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from plantfuse.session import removed_at_exit, shared_path
@@ -25,6 +27,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def sized_slices(
+    batches: Iterator[pa.RecordBatch],
+    sizes: Callable[[pa.RecordBatch], np.ndarray],
+    most: int,
+    rows: int = ROWS,
+) -> Iterator[pa.RecordBatch]:
+    """As ``slices``, each of a bounded size too, or of one row that is larger."""
+    for batch in slices(batches, rows):
+        ends = np.cumsum(sizes(batch))
+        start, before = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, int(ends[stop - 1])
+
+
+def text_sizes(batch: pa.RecordBatch, column: int = 1) -> np.ndarray:
+    """Bytes of the texts of a column."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0)
+    return sizes.to_numpy(zero_copy_only=False)
+
+
 def by_slice(
     of: Callable[[pa.RecordBatch], pa.RecordBatch],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
