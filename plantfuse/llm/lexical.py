@@ -5,8 +5,8 @@ any of the items' terms. Owners hold terms, each its share of all the items'
 terms, rarest first. A bundle carries the accumulators of some items over one
 bucket of documents from owner to owner. At each it meets the postings of the
 owner's terms in the same bucket by a cogroup, and every term adds its integer
-contribution. After the last owner each bundle selects its best documents, and
-the best of all bundles are ranked.
+contribution. At the last owner each bundle also meets the ids of its documents
+and selects the best, and the best of all bundles are ranked.
 
 Bundles and buckets are of bounded size, so no group grows with the input, and a
 term that a third of all documents hold is spread over all their buckets. An
@@ -53,7 +53,7 @@ from plantfuse.llm.shared import slices, written
 SCALE, LENGTH_SHARE = 1000, 90
 
 #: Owners that a bundle passes, items of a bundle, documents of a bucket.
-OWNERS, BUNDLE, BUCKET = 4, 128, 4096
+OWNERS, BUNDLE, BUCKET = 3, 128, 4096
 
 #: Terms of items held at once by the driver and by a task.
 BLOCK = 1 << 20
@@ -164,11 +164,17 @@ class Plan(NamedTuple):
     terms: dict[str, int]
     starts: np.ndarray
     item_of: np.ndarray
+    #: The same for the bundles of a term's items.
+    bundle_starts: np.ndarray
+    bundle_of: np.ndarray
     weight: np.ndarray
     owner: np.ndarray
     #: Most that an item can still gain after each owner: (owner, item).
     to_come: np.ndarray
     items: int
+    #: Items of a bundle, documents of a bucket.
+    bundle: int
+    bucket: int
 
 
 def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -202,7 +208,21 @@ def _plan(entries: list, documents: int) -> Plan:
         later = owner[pairs[:, 0]] > at
         np.add.at(to_come[at], pairs[later, 1], (weights * most)[pairs[later, 0]])
     starts = np.searchsorted(pairs[:, 0], np.arange(len(ordered) + 1))
-    return Plan(number, starts, pairs[:, 1], weights, owner, to_come, items)
+    bundled = np.unique(np.stack([pairs[:, 0], pairs[:, 1] // BUNDLE], 1), axis=0)
+    bundle_starts = np.searchsorted(bundled[:, 0], np.arange(len(ordered) + 1))
+    return Plan(
+        number,
+        starts,
+        pairs[:, 1],
+        bundle_starts,
+        bundled[:, 1],
+        weights,
+        owner,
+        to_come,
+        items,
+        BUNDLE,
+        BUCKET,
+    )
 
 
 def _cogrouped(left: DataFrame, right: DataFrame, function, schema) -> DataFrame:
@@ -216,58 +236,123 @@ STATE = "bundle int, bucket long, cells binary, scores binary"
 
 
 def _postings(counts: DataFrame, plan, owner: int, documents: int, length: int) -> DataFrame:
-    """(bundle, bucket, term, places, shares): where an owner's terms are, and how much.
+    """(bundle, bucket, term, places, shares, ids): where an owner's terms are, and how much.
 
     A row is a term in some documents of a bucket, and goes to every bundle
-    with an item of the term.
+    with an item of the term. For the last owner rows of term -1 have the ids
+    of the documents that hold any term of a bundle.
     """
+    ids = T.ArrayType(counts.schema["id"].dataType)
+    schema = T.StructType(
+        [
+            T.StructField("bundle", T.IntegerType()),
+            T.StructField("bucket", T.LongType()),
+            T.StructField("term", T.IntegerType()),
+            T.StructField("places", T.BinaryType()),
+            T.StructField("shares", T.BinaryType()),
+            T.StructField("ids", ids),
+        ]
+    )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = plan.value
-        own = {term: at for term, at in known.terms.items() if known.owner[at] == owner}
-        for batch in slices(batches, BUCKET):
-            sizes = batch.column(2).value_lengths().to_numpy()
-            names = batch.column(2).flatten().to_pylist()
-            term = np.fromiter((own.get(name, -1) for name in names), np.int64, len(names))
+        for batch in slices(batches, known.bucket):
+            sizes = batch.column(3).value_lengths().to_numpy()
+            names = batch.column(3).flatten().to_pylist()
+            term = np.fromiter((known.terms.get(name, -1) for name in names), np.int64, len(names))
+            tf = batch.column(4).flatten().to_numpy()
+            at = np.repeat(np.arange(batch.num_rows), sizes)
+            row, n = batch.column(0).to_numpy()[at], batch.column(2).to_numpy()[at]
             held = term >= 0
-            at = np.repeat(np.arange(batch.num_rows), sizes)[held]
-            term, tf = term[held], batch.column(3).flatten().to_numpy()[held]
-            row, n = batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at]
-            # A length times the documents may pass 64 bits: Python's own numbers.
-            by_n = {
-                one: 100 - LENGTH_SHARE + LENGTH_SHARE * one * documents // length
-                for one in np.unique(n).tolist()
-            }
-            m = np.fromiter(map(by_n.__getitem__, n.tolist()), np.int64, len(n))
-            share = impact(tf, m)
-            order = np.lexsort((row, term, row // BUCKET))
-            term, row, share = term[order], row[order], share[order]
-            bucket = row // BUCKET
-            new = np.diff(term, prepend=-1) != 0
-            new |= np.diff(bucket, prepend=-1) != 0
-            first = np.flatnonzero(new).tolist()
-            rows = []
-            for start, stop in zip(first, [*first[1:], len(term)]):
-                one = int(term[start])
-                places = (row[start:stop] % BUCKET).astype("<i4").tobytes()
-                shares = share[start:stop].astype("<i4").tobytes()
-                of_items = known.item_of[known.starts[one] : known.starts[one + 1]]
-                for bundle in np.unique(of_items // BUNDLE).tolist():
-                    rows.append((bundle, int(bucket[start]), one, places, shares))
-            columns = zip(*rows) if rows else [[]] * 5
+            own = held & (known.owner[term] == owner)
+            rows = _grouped(known, term[own], row[own], tf[own], n[own], documents, length)
+            none = batch.column(1).slice(0, 0)
+            found_ids = [none] * len(rows)
+            if owner == OWNERS - 1:
+                for bundle, bucket, of in _documents(known, term[held], at[held], row[held]):
+                    places = (batch.column(0).to_numpy()[of] % known.bucket).astype("<i4").tobytes()
+                    rows.append((bundle, bucket, -1, places, b""))
+                    found_ids.append(batch.column(1).take(pa.array(of)))
+            offsets = np.cumsum([0, *map(len, found_ids)], dtype=np.int32)
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(column, kind)
-                    for column, kind in zip(
-                        columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                    )
+                    *[pa.array(column, kind) for column, kind in zip(columns, kinds)],
+                    pa.ListArray.from_arrays(offsets, pa.concat_arrays([none, *found_ids])),
                 ],
-                names=["bundle", "bucket", "term", "places", "shares"],
+                names=schema.names,
             )
 
-    return counts.select("row", "n", "terms", "tfs").mapInArrow(
-        gather, "bundle int, bucket long, term int, places binary, shares binary"
+    return counts.select("row", "id", "n", "terms", "tfs").mapInArrow(gather, schema)
+
+
+def _grouped(
+    known: Plan,
+    term: np.ndarray,
+    row: np.ndarray,
+    tf: np.ndarray,
+    n: np.ndarray,
+    documents: int,
+    length: int,
+) -> list[tuple]:
+    """Occurrences as rows of (bundle, bucket, term, places, shares)."""
+    # A length times the documents may pass 64 bits: Python's own numbers.
+    by_n = {
+        one: 100 - LENGTH_SHARE + LENGTH_SHARE * one * documents // length
+        for one in np.unique(n).tolist()
+    }
+    share = impact(tf, np.fromiter(map(by_n.__getitem__, n.tolist()), np.int64, len(n)))
+    order = np.lexsort((row, term, row // known.bucket))
+    term, row, share = term[order], row[order], share[order]
+    bucket = row // known.bucket
+    new = (np.diff(term, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0)
+    first = np.flatnonzero(new).tolist()
+    rows = []
+    for start, stop in zip(first, [*first[1:], len(term)]):
+        one = int(term[start])
+        places = (row[start:stop] % known.bucket).astype("<i4").tobytes()
+        shares = share[start:stop].astype("<i4").tobytes()
+        for bundle in known.bundle_of[known.bundle_starts[one] : known.bundle_starts[one + 1]]:
+            rows.append((int(bundle), int(bucket[start]), one, places, shares))
+    return rows
+
+
+def _documents(
+    known: Plan, term: np.ndarray, at: np.ndarray, row: np.ndarray
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(bundle, bucket, places in the slice): the documents with any term of a bundle."""
+    starts, counts = known.bundle_starts[term], np.diff(known.bundle_starts)[term]
+    ends = np.cumsum(counts)
+    bundle = known.bundle_of[
+        np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+    ]
+    held = np.unique(
+        np.stack([bundle, np.repeat(row // known.bucket, counts), np.repeat(at, counts)], 1), axis=0
     )
+    cuts = np.flatnonzero(np.any(np.diff(held[:, :2], axis=0) != 0, axis=1)) + 1
+    for part in np.split(held, cuts):
+        if len(part):
+            yield int(part[0, 0]), int(part[0, 1]), part[:, 2]
+
+
+def _gathered(known: Plan, bundle: int, state: pa.Table, postings: pa.Table) -> np.ndarray:
+    """A bundle's scores over its bucket, (item, place), with an owner's postings added."""
+    first = bundle * known.bundle
+    items = min(known.bundle, known.items - first)
+    scores = np.zeros((items, known.bucket), np.int64)
+    for cells, held in zip(state.column("cells"), state.column("scores")):
+        cells = np.frombuffer(cells.as_py(), "<i4")
+        scores.ravel()[cells] = np.frombuffer(held.as_py(), "<i8")
+    for term, places, shares in zip(
+        *(postings.column(name).to_pylist() for name in ("term", "places", "shares"))
+    ):
+        if term >= 0:
+            of = known.item_of[known.starts[term] : known.starts[term + 1]] - first
+            of = of[(of >= 0) & (of < items)]
+            gains = known.weight[term] * np.frombuffer(shares, "<i4")
+            scores[of[:, None], np.frombuffer(places, "<i4")] += gains
+    return scores
 
 
 def _added(plan, least, owner: int):
@@ -276,53 +361,75 @@ def _added(plan, least, owner: int):
     def add(key, state: pa.Table, postings: pa.Table) -> pa.Table:
         known = plan.value
         bundle, bucket = (part.as_py() for part in key)
-        first = bundle * BUNDLE
-        items = min(BUNDLE, known.items - first)
-        scores = np.zeros((items, BUCKET), np.int64)
-        for cells, held in zip(state.column("cells"), state.column("scores")):
-            cells = np.frombuffer(cells.as_py(), "<i4")
-            scores.ravel()[cells] = np.frombuffer(held.as_py(), "<i8")
-        for term, places, shares in zip(
-            postings.column("term").to_pylist(),
-            postings.column("places").to_pylist(),
-            postings.column("shares").to_pylist(),
-        ):
-            of = known.item_of[known.starts[term] : known.starts[term + 1]] - first
-            of = of[(of >= 0) & (of < items)]
-            gains = known.weight[term] * np.frombuffer(shares, "<i4")
-            scores[of[:, None], np.frombuffer(places, "<i4")] += gains
-        reach = scores + known.to_come[owner, first : first + items, None]
-        open_ = (scores > 0) & (reach >= least.value[first : first + items, None])
+        scores = _gathered(known, bundle, state, postings)
+        of = slice(bundle * known.bundle, bundle * known.bundle + len(scores))
+        open_ = (scores > 0) & (scores + known.to_come[owner, of, None] >= least.value[of, None])
         cells = np.flatnonzero(open_.ravel()).astype("<i4")
-        found = [cells.tobytes()], [scores.ravel()[cells].tobytes()]
-        empty = not len(cells)
+        rows = 1 if len(cells) else 0
         return pa.table(
             {
-                "bundle": pa.array([] if empty else [bundle], pa.int32()),
-                "bucket": pa.array([] if empty else [bucket], pa.int64()),
-                "cells": pa.array([] if empty else found[0], pa.binary()),
-                "scores": pa.array([] if empty else found[1], pa.binary()),
+                "bundle": pa.array([bundle][:rows], pa.int32()),
+                "bucket": pa.array([bucket][:rows], pa.int64()),
+                "cells": pa.array([cells.tobytes()][:rows], pa.binary()),
+                "scores": pa.array([scores.ravel()[cells].tobytes()][:rows], pa.binary()),
             }
         )
 
     return add
 
 
-def _bounds(state: DataFrame, items: int, top: int) -> np.ndarray:
+def _selected(plan, least, top: int):
+    """A cogroup's function: the last postings added, and each item's best documents."""
+
+    def select(key, state: pa.Table, postings: pa.Table) -> pa.Table:
+        known = plan.value
+        bundle = key[0].as_py()
+        scores = _gathered(known, bundle, state, postings)
+        first = bundle * known.bundle
+        bounds = least.value[first : first + len(scores), None]
+        item, place = np.nonzero((scores > 0) & (scores >= bounds))
+        held = postings.filter(pc.equal(postings.column("term"), -1))
+        ids = pc.list_flatten(held.column("ids"))
+        at = np.zeros(known.bucket, np.int64)
+        places = [np.frombuffer(one, "<i4") for one in held.column("places").to_pylist()]
+        if places:
+            at[np.concatenate(places)] = np.arange(len(ids))
+        found = pa.table(
+            {
+                "number": pa.array((item + first).astype(np.int32)),
+                "id": ids.take(pa.array(at[place])),
+                "score": pa.array(scores[item, place]),
+            }
+        )
+        order = pc.sort_indices(
+            found,
+            sort_keys=[("number", "ascending"), ("score", "descending"), ("id", "ascending")],
+            null_placement="at_start",
+        )
+        found = found.take(order)
+        number = found.column("number").to_numpy()
+        rank = np.arange(len(number)) - np.searchsorted(number, number)
+        return found.filter(pa.array(rank < top))
+
+    return select
+
+
+def _bounds(state: DataFrame, plan, top: int) -> np.ndarray:
     """The least of each item's ``top`` best scores so far, 1 if it has fewer."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((items, top), np.int64)
+        known = plan.value
+        held = np.zeros((known.items, top), np.int64)
         for batch in slices(batches, 16):
             for bundle, cells, scores in zip(*(batch.column(n).to_pylist() for n in (0, 2, 3))):
                 cells, scores = np.frombuffer(cells, "<i4"), np.frombuffer(scores, "<i8")
-                of = cells // BUCKET
+                of = cells // known.bucket
                 starts = np.searchsorted(of, np.arange(of[-1] + 2))
                 for item in np.unique(of).tolist():
                     part = scores[starts[item] : starts[item + 1]]
                     if len(part) > top:
                         part = np.partition(part, -top)[-top:]
-                    at = bundle * BUNDLE + item
+                    at = bundle * known.bundle + item
                     held[at] = np.sort(np.concatenate([held[at], part]))[-top:]
         item, place = np.nonzero(held)
         yield pa.RecordBatch.from_arrays(
@@ -331,7 +438,7 @@ def _bounds(state: DataFrame, items: int, top: int) -> np.ndarray:
 
     scores = state.mapInArrow(best, "item int, score long")
     ranked = Window.partitionBy("item").orderBy(F.desc("score"))
-    bounds = np.ones(items, np.int64)
+    bounds = np.ones(plan.value.items, np.int64)
     for item, score in (
         scores.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") == top)
@@ -342,40 +449,6 @@ def _bounds(state: DataFrame, items: int, top: int) -> np.ndarray:
     return bounds
 
 
-def _selected(top: int):
-    """A cogroup's function: a bundle's best documents of each item, with their ids."""
-
-    def select(state: pa.Table, ids: pa.Table) -> pa.Table:
-        place = ids.column("place").to_numpy()
-        at = np.full(BUCKET, -1, np.int64)
-        at[place] = np.arange(len(place))
-        items, rows, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-        scores.append(np.zeros(0, np.int64))
-        for bundle, cells, held in zip(*(state.column(n).to_pylist() for n in (0, 2, 3))):
-            cells = np.frombuffer(cells, "<i4")
-            items.append(cells // BUCKET + bundle * BUNDLE)
-            rows.append(at[cells % BUCKET])
-            scores.append(np.frombuffer(held, "<i8"))
-        found = pa.table(
-            {
-                "number": pa.array(np.concatenate(items).astype(np.int32)),
-                "id": ids.column("id").combine_chunks().take(pa.array(np.concatenate(rows))),
-                "score": pa.array(np.concatenate(scores)),
-            }
-        )
-        order = pc.sort_indices(
-            found,
-            sort_keys=[("number", "ascending"), ("score", "descending"), ("id", "ascending")],
-            null_placement="at_start",
-        )
-        found = found.take(order)
-        number = found.column("number").to_numpy()
-        rank = np.arange(len(number)) - np.searchsorted(number, number)
-        return found.filter(pa.array(rank < top))
-
-    return select
-
-
 def _search(counts: DataFrame, entries: list, documents: int, length: int, top: int) -> DataFrame:
     """(number, id, score): a block's candidates, at least the ``top`` best of each item."""
     spark = counts.sparkSession
@@ -383,20 +456,11 @@ def _search(counts: DataFrame, entries: list, documents: int, length: int, top:
     plan = spark.sparkContext.broadcast(made)
     bounds = np.ones(made.items, np.int64)
     state = spark.createDataFrame([], STATE)
-    for owner in range(OWNERS):
+    for owner in range(OWNERS - 1):
         least = spark.sparkContext.broadcast(bounds)
         postings = _postings(counts, plan, owner, documents, length)
         state = written(_cogrouped(state, postings, _added(plan, least, owner), STATE), "bundles")
-        bounds = np.maximum(bounds, _bounds(state, made.items, top))
-    bundles = range(-(-made.items // BUNDLE))
-    ids = counts.select(
-        F.floor(F.col("row") / BUCKET).alias("bucket"),
-        (F.col("row") % BUCKET).cast("int").alias("place"),
-        "id",
-        F.explode(F.lit([*bundles]).cast("array<int>")).alias("bundle"),
-    )
-    # Only buckets that a bundle still holds something of.
-    ids = ids.join(state.select("bundle", "bucket").distinct(), ["bundle", "bucket"], "left_semi")
+        bounds = np.maximum(bounds, _bounds(state, plan, top))
     schema = T.StructType(
         [
             T.StructField("number", T.IntegerType()),
@@ -404,7 +468,9 @@ def _search(counts: DataFrame, entries: list, documents: int, length: int, top:
             T.StructField("score", T.LongType()),
         ]
     )
-    return _cogrouped(state, ids, _selected(top), schema)
+    least = spark.sparkContext.broadcast(bounds)
+    last = _postings(counts, plan, OWNERS - 1, documents, length)
+    return _cogrouped(state, last, _selected(plan, least, top), schema)
 
 
 def _known_terms(
