@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from plantfuse.llm import bpe, stages
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash_cover import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import shingles
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 EXACT = tiktoken.Encoding(
@@ -14,9 +14,25 @@ EXACT = tiktoken.Encoding(
 
 
 def kept_by_least_id(rows):
-    """(doc_id, text) rows in order of ids: the first of each component."""
-    least = brute_components([brute_fingerprint(text) for _, text in rows])
-    return [row for at, row in enumerate(rows) if least[at] == at]
+    """(doc_id, text) rows in order of ids: the first of each group of near copies.
+
+    Every pair of texts is compared by the words of its shingles.
+    """
+    of_rows = [shingles(text) for _, text in rows]
+    least = list(range(len(rows)))
+
+    def top(at):
+        while least[at] != at:
+            at = least[at]
+        return at
+
+    for at, mine in enumerate(of_rows):
+        for other in range(at):
+            shared, either = len(mine & of_rows[other]), len(mine | of_rows[other])
+            if shared >= 0.8 * either:
+                a, b = sorted((top(at), top(other)))
+                least[b] = a
+    return [row for at, row in enumerate(rows) if top(at) == at]
 
 
 def test_each_stage_against_brute_force(spark, sf_dir):
