@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantfuse.llm.shared import sized_slices, text_sizes, written
+from plantfuse.llm.shared import sized_slices, text_lengths, text_sizes, written
 from plantfuse.llm.word_ids import ID, word_ids
 
 #: Pairs, besides those of the same bytes, whose counts are sent to all tasks.
@@ -45,7 +45,7 @@ HEAVY = 1 << 19
 #: Pairs of a task that are summed there before they move.
 SUMMED = 1 << 18
 
-#: Bytes of texts, and tokens, that a task works on at once; more only of one text.
+#: Bytes of texts, and of packed ids, that a task works on at once; more only of one text.
 TOGETHER = 1 << 18
 
 #: A pair is A's id shifted by this, plus B's; a document of a slice stands above.
@@ -113,6 +113,8 @@ class Both:
             else piece.replace("▁", " ").encode()
             for number, piece in zip(numbers, map(pieces.id_to_piece, numbers))
         ]
+        # How ids are packed: two bytes do for most vocabularies.
+        self.kind = np.dtype("<u2" if max(len(a_tokens), len(b_tokens)) <= 1 << 16 else "<u4")
         self.a, self.b = Vocabulary(a_tokens, ",|"), Vocabulary(b_tokens, ",;")
         # Of several ids with the same bytes a whole piece goes before a single byte.
         by_bytes = {
@@ -146,6 +148,8 @@ class Links(NamedTuple):
 
     a: np.ndarray
     b: np.ndarray
+    a_counts: np.ndarray
+    b_counts: np.ndarray
     a_ends: np.ndarray
     b_ends: np.ndarray
     left: np.ndarray
@@ -157,19 +161,16 @@ class Links(NamedTuple):
         return self.a[self.left] << B_BITS | self.b[self.right]
 
 
-def _lengths(column: pa.ListArray) -> np.ndarray:
-    return column.value_lengths().to_numpy(zero_copy_only=False)
+def _flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """A column of packed ids as one array, and how many each row has."""
+    lengths = text_lengths(column) // kind.itemsize
+    packed = b"".join(column.to_pylist())
+    return np.frombuffer(packed, kind).astype(np.int64), lengths
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """A column of lists as one array, and the length of each list."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return flat, _lengths(column)
-
-
-def links(a: pa.ListArray, b: pa.ListArray, vocabularies: Both) -> Links:
+def links(a: pa.Array, b: pa.Array, vocabularies: Both) -> Links:
     """All links of a slice: between two neighbouring ends lies one token of each."""
-    (a_ids, a_counts), (b_ids, _) = _flat(a), _flat(b)
+    (a_ids, a_counts), (b_ids, b_counts) = (_flat(side, vocabularies.kind) for side in (a, b))
     a_ends = np.cumsum(vocabularies.a.sizes[a_ids])
     b_ends = np.cumsum(vocabularies.b.sizes[b_ids])
     ends = np.concatenate([a_ends, b_ends])
@@ -177,12 +178,10 @@ def links(a: pa.ListArray, b: pa.ListArray, vocabularies: Both) -> Links:
     ends = ends[np.flatnonzero(np.diff(ends, prepend=-1))]
     left, right = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     doc = np.repeat(np.arange(len(a_counts)), a_counts)[left]
-    return Links(a_ids, b_ids, a_ends, b_ends, left, right, doc)
+    return Links(a_ids, b_ids, a_counts, b_counts, a_ends, b_ends, left, right, doc)
 
 
-def texts_of_groups(
-    found: Links, common: np.ndarray, a_counts: np.ndarray, b_counts: np.ndarray, ids: Both
-) -> list[str]:
+def texts_of_groups(found: Links, common: np.ndarray, ids: Both) -> list[str]:
     """Each document's groups, as ``a1,a2|b1;a3|b2,b3``."""
     a_group = np.searchsorted(common, found.a_ends)
     b_group = np.searchsorted(common, found.b_ends)
@@ -197,38 +196,34 @@ def texts_of_groups(
     filled = rows != 0
     whole = rows[filled].tobytes().decode()
     sizes = np.concatenate([[0], np.cumsum(filled.sum(1))])
-    stops = sizes[np.cumsum(a_counts + b_counts)].tolist()
+    stops = sizes[np.cumsum(found.a_counts + found.b_counts)].tolist()
     return [whole[start : max(start, stop - 1)] for start, stop in zip([0, *stops], stops)]
 
 
 def encoded(
     docs: DataFrame, a_path: str, b_path: str, id_column: str, text_column: str
 ) -> tuple[DataFrame, object]:
-    """(row, id, a, b): the ids by both, written; and both files, sent to the tasks."""
+    """(row, id, a, b): the packed ids by both, written; and both files, sent to the tasks."""
     files = docs.sparkSession.sparkContext.broadcast(
         (Path(a_path).read_text("utf-8"), Path(b_path).read_bytes())
     )
-    ids = T.ArrayType(T.IntegerType())
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_column].dataType),
-            T.StructField("a", ids),
-            T.StructField("b", ids),
+            T.StructField("a", T.BinaryType()),
+            T.StructField("b", T.BinaryType()),
         ]
     )
 
-    def lists(parts: list[np.ndarray]) -> pa.ListArray:
-        offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-        return pa.ListArray.from_arrays(offsets, np.concatenate(parts).astype(np.int32))
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = both(*files.value)
         for batch in sized_slices(batches, text_sizes, TOGETHER):
             coded = vocabularies.encode([text or "" for text in batch.column(1).to_pylist()])
-            a, b = zip(*coded)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(a), lists(b)], names=schema.names
-            )
+            packed = [
+                pa.array([ids.astype(vocabularies.kind).tobytes() for ids in side], pa.binary())
+                for side in zip(*coded)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *packed], names=schema.names)
 
     coded = docs.select(id_column, text_column).mapInArrow(encode, schema)
     return written(
@@ -262,7 +257,7 @@ def pair_counts(coded: DataFrame, files) -> DataFrame:
             np.add.at(total, at, weights)
             return new, total
 
-        for batch in sized_slices(batches, lambda b: _lengths(b.column(0)), TOGETHER):
+        for batch in sized_slices(batches, lambda b: text_sizes(b, 0), TOGETHER):
             found = links(batch.column(0), batch.column(1), vocabularies)
             identity = same[found.a[found.left]] == found.b[found.right]
             regular = np.unique(found.doc[identity] << PAIR_BITS | found.a[found.left[identity]])
@@ -340,21 +335,26 @@ def aligned(
         + [T.StructField("count_sum", T.LongType())]
     )
     rest = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("pair", "times")]))
+    ids = T.ArrayType(T.IntegerType())
     kept = T.StructType(
-        [*coded.schema, T.StructField("groups", T.StringType()), *counts, T.StructField("rest", rest)]
+        [coded.schema["row"], coded.schema["id"], T.StructField("a", ids), T.StructField("b", ids)]
+        + [T.StructField("groups", T.StringType()), *counts, T.StructField("rest", rest)]
     )
 
+    def lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, ids.astype(np.int32))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = both(*files.value)
         (best_a, most), (known_pairs, known_documents) = known.value
         highest = np.zeros(len(vocabularies.same), np.int64)
         highest[best_a] = most
-        for batch in sized_slices(batches, lambda b: _lengths(b.column(2)), TOGETHER):
+        for batch in sized_slices(batches, lambda b: text_sizes(b, 2), TOGETHER):
             rows = batch.num_rows
-            a, b = batch.column(2), batch.column(3)
-            found = links(a, b, vocabularies)
+            found = links(batch.column(2), batch.column(3), vocabularies)
             common = found.a_ends[np.isin(found.a_ends, found.b_ends, assume_unique=True)]
-            group_doc = np.repeat(np.arange(rows), _lengths(a))[
+            group_doc = np.repeat(np.arange(rows), found.a_counts)[
                 np.searchsorted(found.a_ends, common)
             ]
             pairs = found.pairs
@@ -375,17 +375,11 @@ def aligned(
             starts = np.searchsorted(left_out >> PAIR_BITS, np.arange(rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
-                    pa.array(
-                        texts_of_groups(
-                            found,
-                            common,
-                            _lengths(a),
-                            _lengths(b),
-                            vocabularies,
-                        ),
-                        pa.string(),
-                    ),
+                    batch.column(0),
+                    batch.column(1),
+                    lists(found.a, found.a_counts),
+                    lists(found.b, found.b_counts),
+                    pa.array(texts_of_groups(found, common, vocabularies), pa.string()),
                     pa.array(np.bincount(group_doc, minlength=rows)),
                     pa.array(np.diff(ends)),
                     total(is_best),

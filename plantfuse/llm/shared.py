@@ -43,10 +43,14 @@ def sized_slices(
             start, before = stop, int(ends[stop - 1])
 
 
+def text_lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each text or binary of a column."""
+    return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+
+
 def text_sizes(batch: pa.RecordBatch, column: int = 1) -> np.ndarray:
-    """Bytes of the texts of a column."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0)
-    return sizes.to_numpy(zero_copy_only=False)
+    """Bytes of the texts of a column of a batch."""
+    return text_lengths(batch.column(column))
 
 
 def by_slice(
