@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantfuse.operators.key_filter import with_partner
 from plantfuse.session import shared_path
 from plantfuse.sources.catalogs import qualified
 
@@ -141,9 +142,10 @@ def rows_to_insert(
 
     A NULL in the key stops the job, as a primary key would. Both sides are
     reduced to one row per key before the join that leaves out the known ones.
+    Of the target only keys that may be incoming are shuffled.
     """
     checked = incoming.withColumns({k: _required(k) for k in key})
-    known = target.select(*key).distinct()
+    known = with_partner(target.select(*key), key, incoming, key).distinct()
     return first_per_key(checked, key, order).join(known, list(key), "left_anti")
 
 

@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantfuse.functions import exact_sum, flag, pass_rate, rounded_sum
-from plantfuse.operators import checks, combine, compare, generate, keys, load, rules, totals
+from plantfuse.operators import (
+    bands,
+    checks,
+    combine,
+    compare,
+    generate,
+    key_filter,
+    keys,
+    load,
+    rules,
+    totals,
+)
 from plantfuse.plans import load_job, questions, steps, summaries
 from plantfuse.plans.star_model import nation_sources, star_sources, star_table
 from plantfuse.session import removed_at_exit, shared_path
@@ -101,25 +112,55 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_source_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers in Parquet with their events, which a second source keeps as ORC."""
-    path = shared_path(spark, "events-orc")
-    load.overwrite_files(star_table(spark, sf_dir, "events"), path, "orc")
-    removed_at_exit(spark, path)
-    events = TableSource.orc(path, STAR_DDL["events"]).load(spark)
+    """Customers of a catalog's table with their events, which another source has as files.
+
+    The table is declared over the given files; neither side is copied.
+    """
+    table = fresh_table(spark, "customer_of_catalog")
+    load.create_table(
+        spark, table, STAR_DDL["customer"], location=f"{sf_dir}/customer.parquet"
+    )
     per_user = totals.totals_by_key(
         "c_custkey",
         totals.Fact(
-            events,
+            star_table(spark, sf_dir, "events"),
             "user_id",
             {"event_count": totals.one(), "total_value": F.col("value")},
         ),
     )
-    customers = star_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    customers = TableSource.table(table).load(spark).select("c_custkey", "c_name")
     return totals.with_totals(
         customers, "c_custkey", [per_user], zero=("event_count",)
     ).withColumn("total_value", F.round("total_value", 4))
 
 
+def join_by_key_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the urgent open orders of customers in debt, by a filter of these orders' keys.
+
+    The orders are a small part of all; few other lines reach the exact join.
+    """
+    in_debt = star_table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
+    orders = star_table(spark, sf_dir, "orders").where(
+        "o_orderstatus = 'O' AND o_orderpriority LIKE '1%'"
+    )
+    urgent = orders.join(in_debt, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(
+        "o_orderkey", "o_custkey"
+    )
+    lines = star_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_extendedprice", "l_quantity"
+    )
+    near = key_filter.with_partner(lines, ["l_orderkey"], urgent, ["o_orderkey"])
+    return (
+        near.join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_custkey")
+        .agg(
+            F.count("*").alias("line_count"),
+            rounded_sum(F.col("l_extendedprice"), 2).alias("price"),
+            rounded_sum(F.col("l_quantity"), 2).alias("quantity"),
+        )
+    )
+
+
 def inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events weighed by a typed inline table; types it lacks are a group without weight."""
     groups = values_frame(spark, EVENT_GROUPS, "event_type, event_group, weight")
@@ -645,6 +686,23 @@ def classify_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_table(spark, sf_dir, "events").select("event_id", graded.alias("band"))
 
 
+def bands_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by the part whose price is the next not above theirs, among parts of one type.
+
+    The bands are the different prices of each type of part.
+    """
+    part = star_table(spark, sf_dir, "part")
+    priced = part.groupBy(F.col("p_type").alias("kind"), F.col("p_retailprice").alias("bound"))
+    prices = priced.agg(F.min("p_partkey").alias("label"))
+    lines = star_table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice")
+    typed = lines.join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    # A hundredth of a line price, so that prices of lines and parts overlap.
+    found = bands.graded(
+        typed.withColumn("price", F.col("l_extendedprice") / 100), "p_type", "price", prices
+    )
+    return found.groupBy("p_type", "band").agg(F.count("*").alias("line_count"))
+
+
 def reorder_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_type")
     stock = star_table(spark, sf_dir, "part").select(
@@ -687,6 +745,7 @@ def _index(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
 QUERIES = {
     "scan_parquet": scan_parquet,
     "cross_source_join": cross_source_join,
+    "join_by_key_filter": join_by_key_filter,
     "inline_values": inline_values,
     "sink_parquet_overwrite": sink_parquet_overwrite,
     "sink_external_table": sink_external_table,
@@ -726,6 +785,7 @@ QUERIES = {
     "q_top_energy": q_top_energy,
     "q_filter_factory": q_filter_factory,
     "classify_bands": classify_bands,
+    "bands_by_table": bands_by_table,
     "reorder_alert": reorder_alert,
     "secured_view": secured_view,
     "generate_plans": generate_plans,
