@@ -237,22 +237,26 @@ WITH RECURSIVE messages AS (
     lower(trim(regexp_replace(string_agg(body, chr(10) ORDER BY pos), '[\s\p{Z}]+', ' ', 'g'), ' ')) AS passage
   FROM runs WHERE NOT introduces AND trim(body, ' ') <> '' GROUP BY conv_id, turn, role, run
 ), quoted AS (
-  SELECT *, list_filter(said, lambda x: length(x) = list_max(list_transform(said, lambda y: length(y))))[1] AS line
+  SELECT *, row_number() OVER () AS quote,
+    list_prepend(passage, list_transform(list_sort(list_transform(list_filter(said, lambda x: x <> ''),
+      lambda x, i: {'size': -length(x), 'at': i, 'line': x})), lambda x: x.line)) AS keys
   FROM passages WHERE level > 0
 ), own AS (
   SELECT conv_id, turn, passage AS said FROM passages WHERE level = 0
   UNION SELECT conv_id, turn, unnest(said) FROM passages WHERE level = 0
 ), here AS (SELECT said, conv_id, min(turn) AS turn FROM own GROUP BY ALL),
-anywhere AS (SELECT said, min((conv_id, turn)) AS first, min(conv_id) AS conv_id FROM own GROUP BY said),
-linked AS (
-  SELECT q.conv_id, q.turn, q.level, q.pos,
-    CASE WHEN a.turn < q.turn THEN a.turn WHEN b.turn < q.turn THEN b.turn END AS original,
-    coalesce(c.conv_id <> q.conv_id, false) OR coalesce(d.conv_id <> q.conv_id, false) AS elsewhere
-  FROM quoted q
-  LEFT JOIN here a ON a.said = q.passage AND a.conv_id = q.conv_id
-  LEFT JOIN here b ON b.said = q.line AND b.conv_id = q.conv_id
-  LEFT JOIN anywhere c ON c.said = q.passage
-  LEFT JOIN anywhere d ON d.said = q.line
+asked AS (
+  SELECT quote, conv_id, turn, generate_subscripts(keys, 1) AS rank, unnest(keys) AS key FROM quoted
+), before AS (
+  SELECT quote, arg_min(h.turn, rank) AS original
+  FROM asked a JOIN here h ON h.said = a.key AND h.conv_id = a.conv_id
+  WHERE h.turn < a.turn GROUP BY quote
+), others AS (
+  SELECT DISTINCT quote, true AS elsewhere
+  FROM asked a JOIN here h ON h.said = a.key AND h.conv_id <> a.conv_id
+), linked AS (
+  SELECT conv_id, turn, level, pos, original, coalesce(elsewhere, false) AS elsewhere
+  FROM quoted LEFT JOIN before USING (quote) LEFT JOIN others USING (quote)
 ), replies AS (
   SELECT conv_id, turn, count(*) FILTER (WHERE original IS NOT NULL OR elsewhere) AS n_linked,
     arg_min(original, (level, pos)) FILTER (WHERE original IS NOT NULL) AS reply_to

@@ -9,16 +9,19 @@ before a quote introduces it and is no text of the message.
 The original of a passage is the first message of the conversation that says it
 in its own words (level 0) before the quoting one does; failing that, the first
 message of another conversation. A message that says a passage only as a quote
-is no original. Passages are matched whole, then by their longest line. A message
-replies to the original of its least deeply quoted linked passage of its own
+is no original. Passages are matched whole, then by each of their lines, the
+longest first, so that a quote with changed lines is found by any that is not. A
+message replies to the original of its least deeply quoted linked passage of its own
 conversation, the first of these.
 
 Threads are followed by doubling, in rounds as many as the logarithm of their
 depth. In reply order a conversation's threads follow their first messages and
 each thread its turns, so that a reply comes after what it replies to; positions
 come from a range-partitioned table, never from one conversation in one task.
-Originals are summed to one row for each hash before they are joined: what is
-said in a third of all messages is no pair of messages.
+Originals are summed to one row for each hash and conversation, and to the two
+least conversations of each hash, before they are joined: what is said in a third
+of all messages is no pair of messages. The second conversation serves a quote
+that stands in the first.
 
 Only DataFrame functions run. NULL and empty texts are empty messages. A NULL
 conversation or turn is a value like others, before all others. Rows of the same
@@ -28,7 +31,7 @@ each row keeps its own text and quotes. Other columns play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantfuse.llm.shared import written
@@ -123,11 +126,13 @@ def parsed(messages: DataFrame, conversation: str, turn: str, role: str, text: s
     )
 
 
-def _longest_line(body: Column) -> Column:
-    """Of the normalised lines the longest, of equally long ones the first."""
-    lines = F.transform(F.split(body, "\n"), normalised)
-    ranked = F.transform(lines, lambda line, at: F.struct(F.length(line), -at, line.alias("line")))
-    return F.array_max(ranked)["line"]
+def _keys(body: Column) -> Column:
+    """The normalised passage, then its lines, the longest and of these the first first."""
+    lines = F.filter(F.transform(F.split(body, "\n"), normalised), lambda line: line != "")
+    ranked = F.transform(
+        lines, lambda line, at: F.struct((-F.length(line)).alias("size"), at.alias("at"), line.alias("line"))
+    )
+    return F.concat(F.array(normalised(body)), F.array_sort(ranked)["line"])
 
 
 def quoted_passages(
@@ -148,21 +153,19 @@ def quoted_passages(
 def _linked(messages: DataFrame) -> DataFrame:
     passages = messages.select("conv", "turn", F.posexplode("passages").alias("number", "passage"))
     quoted = passages.where("passage.level > 0").select(
+        F.monotonically_increasing_id().alias("quote"),
         "conv",
         "turn",
         "number",
         "passage.level",
         normalised(F.col("passage.body")).alias("passage"),
-        _longest_line(F.col("passage.body")).alias("line"),
-    )
-    quoted = written(
-        quoted.select(
-            "*", hashed(F.col("passage")).alias("hash"), hashed(F.col("line")).alias("line_hash")
-        ).drop("line"),
-        "quoted-passages",
+        F.transform(_keys(F.col("passage.body")), hashed).alias("keys"),
     )
+    # Written, so that a quote's number does not change.
+    quoted = written(quoted, "quoted-passages")
+    asked = quoted.select("quote", "conv", "turn", F.posexplode("keys").alias("rank", "hash"))
     # Only hashes that someone quotes can be originals' hashes of use.
-    wanted = quoted.select("hash").union(quoted.select("line_hash")).distinct()
+    wanted = asked.select("hash").distinct()
     own = passages.where("passage.level = 0").select(
         "conv",
         "turn",
@@ -182,41 +185,51 @@ def _linked(messages: DataFrame) -> DataFrame:
     here = written(
         own.groupBy("hash", "conv").agg(F.min(F.struct("turn")).alias("first")), "originals-here"
     )
-    anywhere = here.groupBy("hash").agg(F.min(F.struct("conv", "first")).alias("first")).checkpoint()
-    for key in ("hash", "line_hash"):
-        near = here.select(
-            F.col("hash").alias("joined_near"),
-            F.col("conv").alias("near_conv"),
-            F.col("first").alias(f"here_{key}"),
+    place = F.row_number().over(Window.partitionBy("hash").orderBy(F.struct("conv")))
+    least = here.withColumn("place", place).where("place <= 2")
+    anywhere = least.groupBy(F.col("hash").alias("said")).agg(
+        *[
+            F.max(F.when(F.col("place") == n, F.struct("conv", "first"))).alias(name)
+            for n, name in ((1, "one"), (2, "two"))
+        ]
+    )
+    said_here = here.select(
+        F.col("hash").alias("said"), F.col("conv").alias("said_conv"), F.col("first").alias("said_first")
+    )
+    same = (F.col("hash") == F.col("said")) & F.col("conv").eqNullSafe(F.col("said_conv"))
+    before = (
+        asked.join(said_here, same)
+        .where(F.col("said_first") < F.struct("turn"))
+        .groupBy(F.col("quote").alias("of_quote"))
+        .agg(F.min(F.struct("rank", "said_first")).alias("found"))
+        .select("of_quote", F.col("found.said_first.turn").alias("turn_here"))
+    )
+    one_is_own = F.col("one.conv").eqNullSafe(F.col("conv"))
+    elsewhere = (
+        asked.join(anywhere, F.col("hash") == F.col("said"))
+        .withColumn("far", F.when(one_is_own, F.col("two")).otherwise(F.col("one")))
+        .where(F.col("far").isNotNull())
+        .groupBy(F.col("quote").alias("far_quote"))
+        .agg(F.min(F.struct("rank", "far")).alias("found"))
+        .select(
+            "far_quote",
+            F.struct(
+                F.col("found.far.conv").alias("conv"), F.col("found.far.first.turn").alias("turn")
+            ).alias("far"),
         )
-        quoted = quoted.join(
-            near,
-            (quoted[key] == near["joined_near"]) & quoted["conv"].eqNullSafe(near["near_conv"]),
-            "left",
-        ).drop("joined_near", "near_conv")
-        far = anywhere.select(F.col("hash").alias("joined_far"), F.col("first").alias(f"far_{key}"))
-        quoted = quoted.join(far, quoted[key] == far["joined_far"], "left").drop("joined_far")
-
-    def before(first: str) -> Column:
-        """An earlier message of the same conversation, as (conv, turn)."""
-        found = F.struct("conv", F.col(f"{first}.turn").alias("turn"))
-        return F.when(F.col(first).isNotNull() & (F.col(first) < F.struct("turn")), found)
-
-    def elsewhere(first: str) -> Column:
-        conv = F.col(f"{first}.conv")
-        found = F.struct(conv.alias("conv"), F.col(f"{first}.first.turn").alias("turn"))
-        return F.when(F.col(first).isNotNull() & ~conv.eqNullSafe(F.col("conv")), found)
-
-    original = F.coalesce(
-        before("here_hash"), before("here_line_hash"), elsewhere("far_hash"), elsewhere("far_line_hash")
     )
+    quoted = quoted.join(before, F.col("quote") == F.col("of_quote"), "left").join(
+        elsewhere, F.col("quote") == F.col("far_quote"), "left"
+    )
+    here_found = F.struct("conv", F.col("turn_here").alias("turn"))
+    original = F.coalesce(F.when(F.col("of_quote").isNotNull(), here_found), F.col("far"))
     return quoted.withColumn("original", original).select(
         "conv",
         "turn",
         "number",
         "level",
         "passage",
-        F.hex("hash").alias("hash"),
+        F.hex(F.get("keys", F.lit(0))).alias("hash"),
         F.col("original").isNotNull().alias("linked"),
         F.col("original.conv").alias("original_conv"),
         F.col("original.turn").alias("original_turn"),

@@ -56,11 +56,11 @@ def brute(rows):
         for number, (level, lines) in enumerate(passages):
             if not level:
                 continue
-            keys = normal("\n".join(lines)), max(map(normal, lines), key=len)
+            of_lines = [line for line in map(normal, lines) if line]
+            keys = [normal("\n".join(lines)), *sorted(of_lines, key=len, reverse=True)]
             here = [min((t for c, t in said.get(key, []) if c == rank(conv)), default=None) for key in keys]
             here = [t for t in here if t is not None and t < rank(turn)]
-            far = [min(said[key]) for key in keys if key in said]
-            far = [c for c, _ in far if c != rank(conv)]
+            far = [c for key in keys for c, _ in said.get(key, []) if c != rank(conv)]
             links.setdefault((rank(conv), rank(turn)), []).append(
                 (level, number, here[0] if here else None, bool(here or far))
             )
@@ -164,3 +164,31 @@ def test_query_against_its_sql(spark, sf_dir, tmp_path, quoting):
     got = op1_quote_linking(spark, sf_dir).select(COLUMNS).collect()
     assert sorted(map(tuple, got), key=str) == sorted(wanted.fetchall(), key=str)
     assert not quoting or any(row.reply_to is not None for row in got)
+
+
+def linked(spark, rows):
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    return {
+        (row.conv, row.turn): (row.linked, row.original_conv, row.original_turn)
+        for row in quotes.quoted_passages(frame).collect()
+    }
+
+
+def test_a_passage_that_the_own_conversation_says_later_is_found_elsewhere(spark):
+    passage = "The same words in all of them."
+    rows = [(5, 1, "u", f"> {passage}"), (5, 2, "u", passage), (9, 4, "u", passage), (9, 5, "u", passage)]
+    assert linked(spark, rows) == {(5, 1): (True, 9, 4)}
+    # Nobody else says it: no message before it does.
+    assert linked(spark, rows[:2]) == {(5, 1): (False, None, None)}
+    assert linked(spark, [*rows, (2, 7, "u", passage)]) == {(5, 1): (True, 2, 7)}
+
+
+def test_any_line_that_is_not_changed_links_a_quote(spark):
+    said = "A long line that the quoting message has changed.\nA shorter line.\nShort."
+    quote = "> A long line that the quoting message changed.\n> A shorter line.\n> short."
+    rows = [(1, 1, "u", said), (1, 2, "u", quote), (3, 0, "u", "A shorter line.")]
+    assert linked(spark, rows) == {(1, 2): (True, 1, 1)}
+    assert linked(spark, rows[1:]) == {(1, 2): (True, 3, 0)}
+    # The longest line that somebody says decides, wherever a shorter one is said.
+    rows = [(1, 0, "u", "Short."), (1, 1, "u", "A shorter line."), (1, 2, "u", quote)]
+    assert linked(spark, rows) == {(1, 2): (True, 1, 1)}
