@@ -23,6 +23,7 @@ from plantfuse.operators import (
     key_filter,
     keys,
     load,
+    profile,
     rules,
     totals,
 )
@@ -445,6 +446,75 @@ def _stored_dictionary(spark: SparkSession, sf_dir: str, name: str) -> DataFrame
     return checks.data_dictionary(stored, name, ddl)
 
 
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of lines, kept by two loads and merged, beside exact counts.
+
+    A sketch is held to its error: 5 % of the different values, 2 % of the rows
+    below the median. Two loads merged must say what one profile of both says.
+    """
+    columns = ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+    lines = star_table(spark, sf_dir, "lineitem").select(columns)
+    kept = []
+    for load_number in range(2):
+        path = shared_path(spark, "line-profile")
+        batch = lines.where(F.col("l_orderkey") % 2 == load_number)
+        kept.append(load.overwrite_files(profile.column_profile(batch, columns), path))
+        removed_at_exit(spark, path)
+    whole = profile.merged(profile.column_profile(lines, columns))
+    at_once = profile.estimates(whole).select(
+        F.col("column_name").alias("of_column"), F.col("distinct_count").alias("at_once")
+    )
+    found = profile.estimates(profile.merged(*kept), [0.5]).join(
+        at_once, F.col("column_name") == F.col("of_column")
+    )
+    exact = reduce(
+        DataFrame.unionByName,
+        [
+            lines.groupBy(F.col(c).alias("v"))
+            .agg(F.count("*").alias("n"))
+            .agg(F.count("v").alias("exact_count"))
+            .withColumn("exact_column", F.lit(c))
+            for c in columns
+        ],
+    )
+    medians = found.where("quantiles IS NOT NULL").select(
+        F.col("column_name").alias("median_column"), F.get("quantiles", F.lit(0)).alias("median")
+    )
+    # Each number against its column's median: three rows, whatever the table.
+    numbers = lines.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
+                    for c in ("l_orderkey", "l_quantity", "l_extendedprice")
+                ]
+            )
+        )
+    )
+    ranks = (
+        numbers.join(F.broadcast(medians), F.col("c") == F.col("median_column"))
+        .groupBy("c")
+        .agg(
+            F.avg((F.col("v") < F.col("median")).cast("int")).alias("below"),
+            F.avg((F.col("v") <= F.col("median")).cast("int")).alias("up_to"),
+        )
+    )
+    return (
+        found.join(exact, F.col("column_name") == F.col("exact_column"))
+        .join(ranks, F.col("column_name") == F.col("c"), "left")
+        .select(
+            "column_name",
+            "row_count",
+            "null_count",
+            "exact_count",
+            (F.col("distinct_count") == F.col("at_once")).alias("merged_as_at_once"),
+            (F.abs(F.col("distinct_count") - F.col("exact_count")) <= 0.05 * F.col("exact_count"))
+            .alias("distinct_within"),
+            ((F.col("below") <= 0.52) & (F.col("up_to") >= 0.48)).alias("median_within"),
+        )
+    )
+
+
 def row_count_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables against the rows that are declared or that the keys given out lead to expect."""
     counts = checks.table_counts(
@@ -761,6 +831,7 @@ QUERIES = {
     "reload_checked": reload_checked,
     "constraint_check": constraint_check,
     "data_dictionary": data_dictionary,
+    "column_profile": column_profile,
     "row_count_reconcile": row_count_reconcile,
     "master_diff": master_diff,
     "copies_by_range": copies_by_range,
