@@ -19,6 +19,20 @@ def union_with_source(
     return reduce(DataFrame.unionByName, tagged)
 
 
+def with_file_source(
+    frame: DataFrame, file: str = "source_file", written: str = "source_time"
+) -> DataFrame:
+    """Rows of a scan of files with the file each one was read from, and when it was written.
+
+    Spark knows both of every file it reads; nothing is stored beside the rows.
+    """
+    return frame.select(
+        "*",
+        F.col("_metadata.file_path").alias(file),
+        F.col("_metadata.file_modification_time").alias(written),
+    )
+
+
 def copy_differences(
     left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # For each kind of sensor where warning begins, beyond what a
@@ -60,3 +60,33 @@ def secured_view(
     )
     shown.createOrReplaceTempView(name)
     return frame.sparkSession.table(name)
+
+
+def stored_secured_view(
+    spark: SparkSession,
+    view: str,
+    table: str,
+    grants: str,
+    visible: str,
+    masks: Mapping[str, str],
+    hidden: Sequence[str] = (),
+) -> None:
+    """A view kept in the catalog, whose rows and masks hang on who reads it.
+
+    ``grants`` is a table with ``user_name``, ``least`` and ``unmasked``. A
+    reader sees the rows whose ``visible`` expression is at least their least
+    one, and the columns in ``masks`` by those expressions unless they are
+    unmasked. Of several grants of a reader the widest counts; a reader without
+    one sees no row. Both are looked up when the view is read, in any session.
+    """
+    mine = f"FROM {grants} WHERE user_name = current_user()"
+    unmasked = f"coalesce((SELECT bool_or(unmasked) {mine}), false)"
+    columns = [
+        f"CASE WHEN {unmasked} THEN `{c}` ELSE {masks[c]} END AS `{c}`" if c in masks else f"`{c}`"
+        for c in spark.table(table).columns
+        if c not in hidden
+    ]
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {view} AS SELECT {', '.join(columns)} FROM {table}"
+        f" WHERE {visible} >= (SELECT min(least) {mine})"
+    )

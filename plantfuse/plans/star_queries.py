@@ -30,7 +30,7 @@ from plantfuse.operators import (
 from plantfuse.plans import load_job, questions, steps, summaries
 from plantfuse.plans.star_model import nation_sources, star_sources, star_table
 from plantfuse.session import removed_at_exit, shared_path
-from plantfuse.sources import TableDef, TableSource, values_frame
+from plantfuse.sources import TableDef, TableSource, catalogs, values_frame
 from plantfuse.sources.star import STAR_DDL
 
 # Rows expected of each table: a declared number, or what another table leads to
@@ -664,6 +664,27 @@ def union_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written in three batches, counted by the files that Spark reads them from."""
+    path = removed_at_exit(spark, shared_path(spark, "orders-by-batch"))
+    orders = star_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for status in ("F", "O", "P"):
+        orders.where(F.col("o_orderstatus") == status).write.mode("append").parquet(path)
+    stored = combine.with_file_source(spark.read.schema(orders.schema).parquet(path))
+    by_file = stored.groupBy("source_file", "source_time").agg(
+        F.count("*").alias("row_count"),
+        F.sum("o_orderkey").alias("key_sum"),
+        F.min("o_orderstatus").alias("batch"),
+        F.count_distinct("o_orderstatus").alias("batches"),
+    )
+    return by_file.groupBy("batch").agg(
+        F.sum("row_count").alias("row_count"),
+        F.sum("key_sum").alias("key_sum"),
+        F.sum(flag(F.col("batches") > 1)).alias("mixed_files"),
+        (F.min("source_time") > F.lit("2000-01-01").cast("timestamp")).alias("dated"),
+    )
+
+
 # Summary tables
 
 
@@ -793,6 +814,71 @@ def secured_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers behind a kept view, read by another session of the same user.
+
+    The user's grant shows balances from 0 on, without names.
+    """
+    table, grants, view = (
+        fresh_table(spark, name) for name in ("customer_kept", "customer_grants", "customer_view")
+    )
+    load.create_table(spark, table, STAR_DDL["customer"], location=f"{sf_dir}/customer.parquet")
+    load.create_table(spark, grants, "user_name STRING, least DOUBLE, unmasked BOOLEAN")
+    load.append_rows(
+        spark.range(1).select(
+            F.current_user().alias("user_name"),
+            F.lit(0.0).alias("least"),
+            F.lit(False).alias("unmasked"),
+        ),
+        grants,
+    )
+    rules.stored_secured_view(
+        spark,
+        view,
+        table,
+        grants,
+        visible="c_acctbal",
+        masks={"c_name": "concat('***', right(c_name, 3))"},
+        hidden=("c_acctbal",),
+    )
+    return spark.newSession().table(view)
+
+
+def table_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table from its making to its drop, as the catalog tells it.
+
+    Each step is a row with what the catalog says then: whether the table is
+    listed, its tier, and its rows.
+    """
+    nations = star_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    table = fresh_table(spark, "nation_life")
+    name = table.partition(".")[2]
+    told = []
+
+    def tell(step: str) -> None:
+        listed = catalogs.tables_like(spark, "plantfuse", name).count()
+        tier = rows = None
+        if listed:
+            found = catalogs.properties(spark, table).where("key = 'tier'").first()
+            tier = found.value if found else None
+            rows = spark.table(table).count()
+        told.append((step, listed, tier, rows))
+
+    tell("before")
+    load.create_versioned_table(
+        nations.where("n_nationkey < 10"), table, "parquet", {"tier": "bronze"}
+    )
+    tell("created")
+    load.append_rows(nations.where("n_nationkey >= 10"), table)
+    load.set_properties(spark, table, {"tier": "silver"})
+    tell("appended")
+    load.reload_table(nations.where("n_nationkey >= 20"), table)
+    tell("reloaded")
+    load.drop_table(spark, table)
+    tell("dropped")
+    return spark.createDataFrame(told, "step STRING, listed BIGINT, tier STRING, row_count BIGINT")
+
+
 # Generators, one row per row of a table
 
 
@@ -842,6 +928,7 @@ QUERIES = {
     "pass_rate": pass_rate_by_customer,
     "union_all_quality": union_all_quality,
     "union_provenance": union_provenance,
+    "file_provenance": file_provenance,
     "machine_health_summary": machine_health_summary,
     "health_ranked": health_ranked,
     "factory_operations_union": factory_operations_union,
@@ -859,6 +946,8 @@ QUERIES = {
     "bands_by_table": bands_by_table,
     "reorder_alert": reorder_alert,
     "secured_view": secured_view,
+    "stored_view": stored_view,
+    "table_life": table_life,
     "generate_plans": generate_plans,
     "generate_inventory": generate_inventory,
     "generate_inspections": generate_inspections,

@@ -62,3 +62,8 @@ def tables_like(spark: SparkSession, schema: str, pattern: str = "*") -> DataFra
 def schemas_like(spark: SparkSession, pattern: str = "*") -> DataFrame:
     quoted = pattern.replace("'", "\\'")
     return spark.sql(f"SHOW SCHEMAS LIKE '{quoted}'")
+
+
+def properties(spark: SparkSession, table: str) -> DataFrame:
+    """(key, value) of the properties set on a table."""
+    return spark.sql(f"SHOW TBLPROPERTIES {table}").select("key", "value")

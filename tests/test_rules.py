@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plantfuse.operators import generate, rules
+from plantfuse.operators import combine, generate, load, rules
+from plantfuse.session import shared_path
 from plantfuse.sources import values_frame
 
 
@@ -92,3 +93,56 @@ def test_days_far_ahead(spark, days):
     cycles, rest = divmod(days, 146_097)
     near = dt.date(2024, 1, 8) + dt.timedelta(rest)
     assert shown == f"{near.year + 400 * cycles}-{near:%m-%d}"
+
+
+def test_a_stored_view_asks_who_reads_it(spark):
+    load.create_schema(spark, "stored_views", shared_path(spark, "stored_views"))
+    rows = spark.createDataFrame(
+        [(1, "Ann Able", 5.0), (2, "Bob Baker", -1.0), (3, None, 9.0), (4, "Cy Cole", None)],
+        "id INT, name STRING, worth DOUBLE",
+    )
+    load.save_summary(rows, "stored_views.people")
+    grants = "stored_views.grants"
+    load.create_table(spark, grants, "user_name STRING, least DOUBLE, unmasked BOOLEAN")
+    rules.stored_secured_view(
+        spark,
+        "stored_views.seen",
+        "stored_views.people",
+        grants,
+        visible="worth",
+        masks={"name": "concat(left(name, 1), '***')"},
+        hidden=("worth",),
+    )
+
+    def seen():
+        found = spark.newSession().table("stored_views.seen")
+        assert found.columns == ["id", "name"]
+        return sorted(map(tuple, found.collect()))
+
+    def grant(user, least, unmasked):
+        row = spark.sql("SELECT current_user() AS user_name" if user is None else f"SELECT '{user}' AS user_name")
+        load.append_rows(
+            row.withColumns({"least": F.lit(float(least)), "unmasked": F.lit(unmasked)}), grants
+        )
+
+    assert seen() == []
+    grant("someone else", -100, True)
+    assert seen() == []
+    grant(None, 0, False)
+    assert seen() == [(1, "A***"), (3, None)]
+    grant(None, -5, True)
+    assert seen() == [(1, "Ann Able"), (2, "Bob Baker"), (3, None)]
+    load.drop_schema(spark, "stored_views")
+
+
+def test_rows_know_the_file_they_came_from(spark):
+    path = shared_path(spark, "batches")
+    for batch in range(3):
+        frame = spark.range(batch * 10, batch * 10 + 5).withColumn("batch", F.lit(batch))
+        frame.coalesce(1).write.mode("append").parquet(path)
+    found = combine.with_file_source(spark.read.parquet(path))
+    assert found.columns == ["id", "batch", "source_file", "source_time"]
+    by_file = found.groupBy("source_file").agg(F.collect_set("batch").alias("of"), F.count("*").alias("n"))
+    rows = by_file.collect()
+    assert len(rows) == 3 and all(len(row.of) == 1 and row.n == 5 for row in rows)
+    assert found.where("source_time IS NULL").count() == 0
