@@ -9,7 +9,8 @@ by further code points without visiting the earlier ones.
 A text's fingerprint is the hash of the whole text and the ``KEPT`` least mixed
 hashes of its spans of ``span_of(n)`` code points. The likeness of two
 texts is the share of the least hashes of both that both have, which
-estimates the Jaccard index of their multisets of spans, and is exact for short texts.
+estimates the Jaccard index of their multisets of spans: exactly for texts of up
+to ``KEPT`` spans, with a standard error of under 0.03 for longer ones.
 Both texts' hashes are taken at the span length of the lesser text, which the
 prefix arrays give too, so that texts on two sides of a change of ``span_of``
 are compared like any others.
@@ -34,7 +35,7 @@ from plantfuse.llm.shared import slices
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_812_433_253)
-KEPT = 32
+KEPT = 256
 #: Odd, so that mixing loses nothing: 2**64 divided by the golden ratio.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -138,3 +138,18 @@ def test_three_quarters_of_a_text_stay_like_it_across_a_switch(size):
     doc = Hashed(1, "".join(random.Random(size).choices("abcdefgh ", k=size)))
     row = prefix_hash.compared(doc, Hashed(2, None))
     assert row[5] > 0.4 and row[6] == 0.0
+
+
+def test_error_of_the_likeness_of_edited_texts():
+    rng = np.random.default_rng(8)
+    errors = []
+    for _ in range(150):
+        size = int(rng.integers(100, 8000))
+        codes = rng.integers(97, 123, size + size // 4)
+        one = "".join(map(chr, codes[:size]))
+        kept = size - size // int(rng.integers(3, 9))
+        other = one[:kept] + "".join(map(chr, codes[size : 2 * size - kept]))
+        spans = [Counter(text[n : n + 16] for n in range(len(text) - 15)) for text in (one, other)]
+        exact = (spans[0] & spans[1]).total() / (spans[0] | spans[1]).total()
+        errors.append(prefix_hash.likeness(Hashed(0, one).least, Hashed(0, other).least) - exact)
+    assert np.std(errors) < 0.03 and abs(np.mean(errors)) < 0.01
