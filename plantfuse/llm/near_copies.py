@@ -1,5 +1,9 @@
 """Near copies by the Jaccard index of their shingles, found by anchors of sampled SimHashes.
 
+Texts are linked if their sets of shingles have an index of the least or more, and
+texts linked in any way are copies of one another. Most links are found by samples
+and all others by prefixes; whole sets decide each.
+
 The SimHash of a whole text says little about an index of 0.8: a tenth of all
 its bits differ then. So each text is sampled ``SAMPLES`` times. A sample is the
 three shingles of least hash under one of as many orders, and its word is the
@@ -9,11 +13,18 @@ with a chance of about the cube of their index, 0.51 at 0.8, and one of five in
 within two bits meet at the anchors of the covering code, as fingerprints do.
 
 Texts whose words meet are a group. Each text of a group is compared with the
-group's text of least id and with the one before it in order of size, never with
-all, and the index decides. It is taken from the least ``SKETCH`` hashes of both
-texts together: exact for texts with no more different shingles, with a standard
-error of 0.018 at 0.8 for longer ones. Pairs that reach the least index are
-links, and texts linked in any way are copies of one another.
+group's text of least id and with the one before it in order of size. The index
+is first taken from the least ``SKETCH`` hashes of both texts together, with a
+standard error of 0.018 at 0.8, and pairs that seem to reach the least index are
+compared by all their hashes. These links join nearly all copies, but not all: a
+pair may be neither in order nor with the least id, may share no sample, or may
+seem too far apart.
+
+So the rest is found by an exact way (``set_join``): all pairs of texts that are
+not yet joined and whose prefixes leave room for the least index, however many
+texts a group has, are compared by all their hashes too. No link between texts of
+different words is lost. What is joined before is not compared again, so that a
+large group of copies is no square of pairs.
 
 Texts of the same words are one text from the start, however many there are. A
 group's texts are spread by order of size, so that a passage that very many
@@ -27,16 +38,16 @@ no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantfuse.llm import simhash_cover
+from plantfuse.llm import set_join, simhash_cover
 from plantfuse.llm.graph import components
 from plantfuse.llm.shared import sized_slices, text_sizes, written
 
@@ -46,7 +57,7 @@ SHINGLE, LEAST = 5, 0.8
 #: Samples of a text, and shingles of a sample.
 SAMPLES, SAMPLED = 5, 3
 
-#: Least hashes of a text by which the index is taken.
+#: Least hashes of a text by which the index of sampled pairs is first taken.
 SKETCH = 512
 
 #: Bytes of texts that a task works on at once.
@@ -99,6 +110,14 @@ def jaccard(left: np.ndarray, right: np.ndarray) -> float:
     return shared.sum() / len(union)
 
 
+def whole_index(left: np.ndarray, right: np.ndarray) -> float:
+    """The index of two sets from all their hashes, in order."""
+    if not len(left) or not len(right):
+        return float(len(left) == len(right))
+    shared = len(np.intersect1d(left, right, assume_unique=True))
+    return shared / (len(left) + len(right) - shared)
+
+
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, key, size, words): each row's text by its key, its shingles and samples, written."""
     schema = T.StructType(
@@ -178,49 +197,114 @@ def _candidates(texts: DataFrame) -> DataFrame:
     return written(with_first.union(with_next).distinct(), "candidate-pairs")
 
 
-def _sketches(
-    docs: DataFrame, texts: DataFrame, pairs: DataFrame, id_column: str, text_column: str
+def _hash_sets(
+    docs: DataFrame,
+    texts: DataFrame,
+    pairs: DataFrame,
+    id_column: str,
+    text_column: str,
+    most: int | None = None,
 ) -> DataFrame:
-    """(key, sketch): the least hashes of every text that is to be compared."""
+    """(key, hashes): all or the least hashes of every text that is to be compared."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = texts.join(wanted, "key", "left_semi").select(F.col("least").alias("of_id")).distinct()
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(batches, lambda b: text_sizes(b, 0), TOGETHER):
             found = [shingle_hashes(text) for text in batch.column(0).to_pylist()]
-            least = [hashes[:SKETCH].astype("<u8").tobytes() for _, hashes in found]
+            least = [hashes[:most].astype("<u8").tobytes() for _, hashes in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([key for key, _ in found], pa.binary()),
                     pa.array(least, pa.binary()),
                 ],
-                names=["key", "sketch"],
+                names=["key", "hashes"],
             )
 
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary"))
     chosen = chosen.join(ids, chosen["id"].eqNullSafe(ids["of_id"]), "left_semi").drop("id")
-    sketches = chosen.mapInArrow(sketched, "key binary, sketch binary")
-    return written(sketches.groupBy("key").agg(F.min("sketch").alias("sketch")), "sketches")
+    sets = chosen.mapInArrow(hashed, "key binary, hashes binary")
+    return written(sets.groupBy("key").agg(F.min("hashes").alias("hashes")), "hash-sets")
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(node, other): the pairs whose index is high enough."""
+def _links(
+    pairs: DataFrame,
+    sets: DataFrame,
+    index: Callable[[np.ndarray, np.ndarray], float],
+    least: float,
+) -> DataFrame:
+    """(a, b): the pairs whose index is high enough, written."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(batches, lambda b: text_sizes(b, 2), TOGETHER):
             left, right = (batch.column(n).to_pylist() for n in (2, 3))
             high = [
-                jaccard(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= least
+                index(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= least
                 for a, b in zip(left, right)
             ]
-            yield batch.select(["node", "other"]).filter(pa.array(high, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(high, pa.bool_()))
+
+    one = sets.select(F.col("key").alias("a"), F.col("hashes").alias("left"))
+    two = sets.select(F.col("key").alias("b"), F.col("hashes").alias("right"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+    return written(both.mapInArrow(compared, "a binary, b binary"), "copy-links")
+
+
+def _prefixes(docs: DataFrame, text_column: str, least: float) -> DataFrame:
+    """(key, size, prefix): the first elements of every text that has words, written."""
+    texts = docs.select(F.col(text_column).cast("binary"))
+
+    def of_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in sized_slices(batches, lambda b: text_sizes(b, 0), TOGETHER):
+            found = map(shingle_hashes, batch.column(0).to_pylist())
+            yield [(key, hashes) for key, hashes in found if len(hashes)]
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(set_join.BUCKETS, np.int64)
+        for found in of_slices(batches):
+            for _, hashes in found:
+                np.add.at(total, set_join.buckets(hashes), 1)
+        bucket = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket), pa.array(total[bucket])], names=["bucket", "count"]
+        )
+
+    counts = set_join.counted(texts.mapInArrow(numbers, "bucket long, count long"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in of_slices(batches):
+            parts = [set_join.prefix(hashes, counts, least) for _, hashes in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([key for key, _ in found], pa.binary()),
+                    pa.array([len(hashes) for _, hashes in found], pa.int64()),
+                    pa.array([part.astype("<u8").tobytes() for part in parts], pa.binary()),
+                ],
+                names=["key", "size", "prefix"],
+            )
+
+    found = texts.mapInArrow(first, "key binary, size long, prefix binary")
+    return found.groupBy("key").agg(F.first("size").alias("size"), F.min("prefix").alias("prefix"))
+
 
-    one = sketches.select(F.col("key").alias("a"), F.col("sketch").alias("left"))
-    two = sketches.select(F.col("key").alias("b"), F.col("sketch").alias("right"))
-    both = pairs.join(one, "a").join(two, "b")
-    return both.select(
-        F.col("a").alias("node"), F.col("b").alias("other"), "left", "right"
-    ).mapInArrow(compared, "node binary, other binary")
+def _number(key: str) -> Column:
+    """The first eight bytes of a key, as a number."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+
+
+def _rest(docs: DataFrame, of_text: DataFrame, text_column: str, least: float) -> DataFrame:
+    """(a, b): all pairs of keys of different roots that may reach the index, written."""
+    prefixes = _prefixes(docs, text_column, least).join(of_text.select("key", "root"), "key")
+    met = set_join.pairs(
+        prefixes.select(
+            _number("key").alias("node"), _number("root").alias("root"), "size", "prefix"
+        ),
+        least,
+    )
+    met = written(met.toDF("node", "other"), "met-prefixes")
+    one = of_text.select(_number("key").alias("node"), F.col("key").alias("a"))
+    two = of_text.select(_number("key").alias("other"), F.col("key").alias("b"))
+    return written(met.join(one, "node").join(two, "other").select("a", "b"), "rest-pairs")
 
 
 def near_copies(
@@ -232,13 +316,26 @@ def near_copies(
         F.min("id").alias("least"), F.first("size").alias("size"), F.first("words").alias("words")
     )
     texts = written(texts, "different-texts")
-    pairs = _candidates(texts)
-    found = _links(pairs, _sketches(docs, texts, pairs, id_column, text_column), least)
-    roots = components(written(found, "copy-links")).checkpoint()
-    of_text = texts.join(roots, texts["key"] == roots["node"], "left").select(
-        "key", "least", F.coalesce("root", "key").alias("root")
-    )
-    of_text = written(of_text, "text-roots")
+
+    def links(pairs: DataFrame, index: Callable, most: int | None = None) -> DataFrame:
+        sets = _hash_sets(docs, texts, pairs, id_column, text_column, most)
+        return _links(pairs, sets, index, least)
+
+    found = links(links(_candidates(texts), jaccard, SKETCH), whole_index)
+    of_text = _with_roots(texts.select("key", "least"), "key", found)
+    rest = links(_rest(docs, of_text, text_column, least), whole_index)
+    # A root is a key too, so that links of texts are links of their roots.
+    root = of_text.select("key", F.col("root").alias("of_root"))
+    joined = rest.join(root, rest["a"] == root["key"]).select("b", F.col("of_root").alias("left"))
+    joined = joined.join(root, joined["b"] == root["key"]).select("left", "of_root")
+    of_text = _with_roots(of_text.select("key", "least", F.col("root").alias("at")), "at", joined)
     firsts = of_text.groupBy("root").agg(F.min("least").alias("component")).checkpoint()
     named = of_text.join(firsts, "root").select("key", "component")
     return rows.join(named, "key").select("id", "component")
+
+
+def _with_roots(texts: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """(key, least, root): the texts with the root that a column reaches by links, written."""
+    roots = components(found).checkpoint()
+    named = texts.join(roots, texts[column] == roots["node"], "left")
+    return written(named.select("key", "least", F.coalesce("root", column).alias("root")), "text-roots")

@@ -116,3 +116,59 @@ def test_the_index_of_sketches():
     assert np.std(errors) < 0.025 and abs(np.mean(errors)) < 0.01
     few = np.arange(50, dtype=np.uint64)
     assert near_copies.jaccard(few[:40], few[10:]) == 30 / 50
+
+
+def least_ids(rows):
+    """The least id that each id reaches, from all pairs of texts."""
+    of_rows = [shingles(text) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def top(at):
+        while root[at] != at:
+            at = root[at]
+        return at
+
+    for at, mine in enumerate(of_rows):
+        for other in range(at):
+            shared = len(mine & of_rows[other])
+            if shared >= 0.8 * (len(mine) + len(of_rows[other]) - shared):
+                a, b = sorted((top(at), top(other)))
+                root[b] = a
+    return {number: rows[top(at)][0] for at, (number, _) in enumerate(rows)}
+
+
+def test_no_pair_of_a_large_group_is_left_out(spark):
+    # All share a passage, and copies are longer than many other texts of the group.
+    rng = np.random.default_rng(5)
+    passage = random_text(rng, 200)
+    rows = [(n, f"{passage} {random_text(rng, int(rng.integers(60, 140)))}") for n in range(200)]
+    rows += [
+        (1000 + n, f"{text} {random_text(rng, int(rng.integers(0.15 * 250, 0.24 * 260)))}")
+        for n, text in rows
+    ]
+    want = least_ids(rows)
+    assert sum(want[1000 + n] == n for n in range(200)) > 150
+    assert found(spark, rows) == want
+
+
+def test_all_links_of_texts_at_and_around_the_least_index(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for words, most in ((30, 3), (120, 6), (700, 30), (1500, 60)):
+        for _ in range(40):
+            text = random_text(rng, words)
+            copies = [text, *(edited(rng, text, int(rng.integers(1, most))) for _ in range(3))]
+            rows += [(len(rows) + n, copy) for n, copy in enumerate(copies)]
+    rows.append((len(rows), " ".join(f"e{n}" for n in range(12))))
+    rows.append((len(rows), " ".join(f"e{n}" for n in range(14))))  # 8 of 10 shingles
+    want = least_ids(rows)
+    assert want[len(rows) - 1] == len(rows) - 2
+    assert 300 < len(set(want.values())) < 500
+    assert found(spark, rows) == want
+
+
+def test_chains_through_texts_that_are_not_alike(spark):
+    words = [f"c{n}" for n in range(400)]
+    rows = [(n, " ".join(words[10 * n : 10 * n + 200])) for n in range(20)]
+    assert set(found(spark, rows).values()) == {0}
+    assert index(rows[0][1], rows[-1][1]) < 0.1
