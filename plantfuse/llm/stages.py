@@ -59,7 +59,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """Of each group of near duplicates the document of least id.
 
     Duplicates are documents whose shingles of five words have a Jaccard index
-    of 0.8 or more, found by the SimHashes of sampled shingles.
+    of 0.8 or more: found by the SimHashes of sampled shingles, and the rest of
+    them by prefixes of rare shingles.
     """
     found = near_copies.near_copies(docs)
     first = found.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
