@@ -49,7 +49,10 @@ from pyspark.sql import types as T
 
 from plantfuse.llm import set_join, simhash_cover
 from plantfuse.llm.graph import components
-from plantfuse.llm.shared import sized_slices, text_sizes, written
+from plantfuse.llm.shared import passing, sized_slices, text_sizes, written
+
+#: A written table, and what removes it.
+Passing = tuple[DataFrame, Callable[[], None]]
 
 #: Words of a shingle, and the least index of a link.
 SHINGLE, LEAST = 5, 0.8
@@ -164,24 +167,26 @@ def _before_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
+def _candidates(texts: DataFrame) -> Passing:
     """(a, b): pairs of keys to compare, the lesser first, written."""
     members = texts.select("key", "size", "least", F.explode("words").alias("word"))
-    words = written(members.select("word").distinct(), "sample-words")
-    roots = components(simhash_cover.links(words)).checkpoint()
+    words, drop_words = passing(members.select("word").distinct(), "sample-words")
+    roots = components(simhash_cover.links(words))
+    drop_words()
     grouped = members.join(roots, members["word"] == roots["node"], "left").select(
         "key", "size", "least", F.coalesce("root", "word").alias("group")
     )
-    grouped = written(grouped.distinct(), "sample-groups")
+    grouped, drop_grouped = passing(grouped.distinct(), "sample-groups")
     shared = (
         grouped.groupBy("group")
         .agg(F.count("*").alias("texts"), F.min(F.struct("least", "key")).alias("first"))
         .where("texts > 1")
         .select(F.col("group").alias("of_group"), "texts", F.col("first.key").alias("first"))
     )
-    inside = written(
+    inside, drop_inside = passing(
         grouped.join(shared, grouped["group"] == F.col("of_group")).drop("of_group"), "in-groups"
     )
+    drop_grouped()
     with_first = inside.where(F.col("key") != F.col("first")).select(
         F.least("key", "first").alias("a"), F.greatest("key", "first").alias("b")
     )
@@ -194,7 +199,9 @@ def _candidates(texts: DataFrame) -> DataFrame:
         .select("group", "key")
         .mapInArrow(_before_each, "a binary, b binary")
     )
-    return written(with_first.union(with_next).distinct(), "candidate-pairs")
+    pairs = passing(with_first.union(with_next).distinct(), "candidate-pairs")
+    drop_inside()
+    return pairs
 
 
 def _hash_sets(
@@ -204,7 +211,7 @@ def _hash_sets(
     id_column: str,
     text_column: str,
     most: int | None = None,
-) -> DataFrame:
+) -> Passing:
     """(key, hashes): all or the least hashes of every text that is to be compared."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     ids = texts.join(wanted, "key", "left_semi").select(F.col("least").alias("of_id")).distinct()
@@ -224,7 +231,7 @@ def _hash_sets(
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary"))
     chosen = chosen.join(ids, chosen["id"].eqNullSafe(ids["of_id"]), "left_semi").drop("id")
     sets = chosen.mapInArrow(hashed, "key binary, hashes binary")
-    return written(sets.groupBy("key").agg(F.min("hashes").alias("hashes")), "hash-sets")
+    return passing(sets.groupBy("key").agg(F.min("hashes").alias("hashes")), "hash-sets")
 
 
 def _links(
@@ -232,7 +239,7 @@ def _links(
     sets: DataFrame,
     index: Callable[[np.ndarray, np.ndarray], float],
     least: float,
-) -> DataFrame:
+) -> Passing:
     """(a, b): the pairs whose index is high enough, written."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +254,7 @@ def _links(
     one = sets.select(F.col("key").alias("a"), F.col("hashes").alias("left"))
     two = sets.select(F.col("key").alias("b"), F.col("hashes").alias("right"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return written(both.mapInArrow(compared, "a binary, b binary"), "copy-links")
+    return passing(both.mapInArrow(compared, "a binary, b binary"), "copy-links")
 
 
 def _prefixes(docs: DataFrame, text_column: str, least: float) -> DataFrame:
@@ -292,7 +299,7 @@ def _number(key: str) -> Column:
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
-def _rest(docs: DataFrame, of_text: DataFrame, text_column: str, least: float) -> DataFrame:
+def _rest(docs: DataFrame, of_text: DataFrame, text_column: str, least: float) -> Passing:
     """(a, b): all pairs of keys of different roots that may reach the index, written."""
     prefixes = _prefixes(docs, text_column, least).join(of_text.select("key", "root"), "key")
     met = set_join.pairs(
@@ -301,10 +308,12 @@ def _rest(docs: DataFrame, of_text: DataFrame, text_column: str, least: float) -
         ),
         least,
     )
-    met = written(met.toDF("node", "other"), "met-prefixes")
+    met, drop_met = passing(met.toDF("node", "other"), "met-prefixes")
     one = of_text.select(_number("key").alias("node"), F.col("key").alias("a"))
     two = of_text.select(_number("key").alias("other"), F.col("key").alias("b"))
-    return written(met.join(one, "node").join(two, "other").select("a", "b"), "rest-pairs")
+    pairs = passing(met.join(one, "node").join(two, "other").select("a", "b"), "rest-pairs")
+    drop_met()
+    return pairs
 
 
 def near_copies(
@@ -317,25 +326,31 @@ def near_copies(
     )
     texts = written(texts, "different-texts")
 
-    def links(pairs: DataFrame, index: Callable, most: int | None = None) -> DataFrame:
-        sets = _hash_sets(docs, texts, pairs, id_column, text_column, most)
-        return _links(pairs, sets, index, least)
+    def links(found: Passing, index: Callable, most: int | None = None) -> Passing:
+        pairs, drop_pairs = found
+        sets, drop_sets = _hash_sets(docs, texts, pairs, id_column, text_column, most)
+        high = _links(pairs, sets, index, least)
+        drop_pairs()
+        drop_sets()
+        return high
 
-    found = links(links(_candidates(texts), jaccard, SKETCH), whole_index)
+    found, drop_found = links(links(_candidates(texts), jaccard, SKETCH), whole_index)
     of_text = _with_roots(texts.select("key", "least"), "key", found)
-    rest = links(_rest(docs, of_text, text_column, least), whole_index)
+    drop_found()
+    rest, _ = links(_rest(docs, of_text, text_column, least), whole_index)
     # A root is a key too, so that links of texts are links of their roots.
     root = of_text.select("key", F.col("root").alias("of_root"))
     joined = rest.join(root, rest["a"] == root["key"]).select("b", F.col("of_root").alias("left"))
     joined = joined.join(root, joined["b"] == root["key"]).select("left", "of_root")
     of_text = _with_roots(of_text.select("key", "least", F.col("root").alias("at")), "at", joined)
-    firsts = of_text.groupBy("root").agg(F.min("least").alias("component")).checkpoint()
+    firsts = of_text.groupBy("root").agg(F.min("least").alias("component"))
+    firsts = written(firsts, "firsts")
     named = of_text.join(firsts, "root").select("key", "component")
     return rows.join(named, "key").select("id", "component")
 
 
 def _with_roots(texts: DataFrame, column: str, found: DataFrame) -> DataFrame:
     """(key, least, root): the texts with the root that a column reaches by links, written."""
-    roots = components(found).checkpoint()
+    roots = components(found)
     named = texts.join(roots, texts[column] == roots["node"], "left")
     return written(named.select("key", "least", F.coalesce("root", column).alias("root")), "text-roots")

@@ -228,7 +228,7 @@ def near_duplicates(
     marked = written(fingerprints(docs, id_column, text_column), "fingerprints")
     words = marked.groupBy("word").agg(F.min("id").alias("least"))
     words = written(words, "words")
-    roots = components(links(words.select("word"))).checkpoint()
+    roots = components(links(words.select("word")))
     in_root = words.join(roots.withColumnRenamed("node", "word"), "word", "left").select(
         "word", "least", F.coalesce("root", "word").alias("root")
     )

@@ -1,9 +1,11 @@
 """Near copies by sampled SimHashes, against the plain Jaccard index of shingles."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
-from plantfuse.llm import near_copies
+from plantfuse.llm import graph, near_copies
 
 
 def shingles(text):
@@ -172,3 +174,42 @@ def test_chains_through_texts_that_are_not_alike(spark):
     rows = [(n, " ".join(words[10 * n : 10 * n + 200])) for n in range(20)]
     assert set(found(spark, rows).values()) == {0}
     assert index(rows[0][1], rows[-1][1]) < 0.1
+
+
+def left_behind(spark):
+    """The tables in the shared folder, and the files of checkpoints."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    return set((shared / "plantfuse").glob("llm-*")), set(shared.glob("*/rdd-*/*"))
+
+
+def test_rounds_of_components_leave_only_their_result(spark):
+    chain = [(n + 1, n) for n in range(40)] + [(100 + n, 100) for n in range(1, 20)] + [(7, 7)]
+    links = spark.createDataFrame(chain, "a long, b long").repartition(7)
+    tables, files = left_behind(spark)
+    got = {node: root for node, root in graph.components(links).collect()}
+    assert got == {n: 0 for n in range(41)} | {100 + n: 100 for n in range(20)}
+    more, more_files = left_behind(spark)
+    assert more_files == files
+    assert {path.name.rsplit("-", 1)[0] for path in more - tables} <= {"llm-roots"}
+
+
+def test_tables_go_once_they_are_read(spark):
+    rng = np.random.default_rng(8)
+    texts = [random_text(rng, 200) for _ in range(30)]
+    rows = [(n, edited(rng, texts[n % 30], n // 30)) for n in range(90)]
+    tables, files = left_behind(spark)
+    assert found(spark, rows) == least_ids(rows)
+    more, more_files = left_behind(spark)
+    assert more_files == files
+    names = {path.name.rsplit("-", 1)[0] for path in more - tables}
+    gone = "sample-words sample-groups in-groups candidate-pairs hash-sets met-prefixes rest-pairs"
+    assert "llm-text-roots" in names or "llm-firsts" in names
+    assert not names & {f"llm-{name}" for name in [*gone.split(), "links", "least"]}
+
+
+def test_stars_are_known(spark):
+    def stars(*links):
+        return graph._are_stars(spark.createDataFrame(list(links), "node long, other long"))
+
+    assert stars((2, 1), (3, 1), (5, 4)) and stars()
+    assert not stars((2, 1), (3, 2)) and not stars((3, 1), (3, 2))
