@@ -21,8 +21,10 @@ pair may be neither in order nor with the least id, may share no sample, or may
 seem too far apart.
 
 So the rest is found by an exact way (``set_join``): all pairs of texts that are
-not yet joined and whose prefixes leave room for the least index, however many
-texts a group has, are compared by all their hashes too. No link between texts of
+not yet joined and whose prefixes and parities leave room for the least index,
+however many texts a group has, are compared by all their hashes too. A text's
+parities are ``PARITIES`` bits, each turned by every hash that falls to it: two
+texts whose parities differ in some bits differ in as many hashes at least. No link between texts of
 different words is lost. What is joined before is not compared again, so that a
 large group of copies is no square of pairs.
 
@@ -63,6 +65,9 @@ SAMPLES, SAMPLED = 5, 3
 #: Least hashes of a text by which the index of sampled pairs is first taken.
 SKETCH = 512
 
+#: Bits of a text's parities, in longs.
+PARITIES, LONG = 512, 64
+
 #: Bytes of texts that a task works on at once.
 TOGETHER = 1 << 20
 
@@ -104,6 +109,22 @@ def sample_words(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.array(words, np.uint64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of the bits, whether an odd number of hashes falls to it."""
+    bits = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def may_reach(least: float) -> Column:
+    """Whether the sizes and parities of two texts, one and two, leave room for the index."""
+    apart = sum(
+        F.bit_count(F.col("one.parities")[at].bitwiseXOR(F.col("two.parities")[at]))
+        for at in range(PARITIES // LONG)
+    )
+    both = F.col("one.size") + F.col("two.size")
+    return both - apart >= 2 * (F.lit(least / (1 + least)) * both - F.lit(set_join.SLACK))
+
+
 def jaccard(left: np.ndarray, right: np.ndarray) -> float:
     """The index from two texts' least hashes, in order."""
     if not len(left) or not len(right):
@@ -122,13 +143,14 @@ def whole_index(left: np.ndarray, right: np.ndarray) -> float:
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, key, size, words): each row's text by its key, its shingles and samples, written."""
+    """(id, key, size, words, parities): each row's text by its key and its shingles, written."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_column].dataType),
             T.StructField("key", T.BinaryType()),
             T.StructField("size", T.LongType()),
             T.StructField("words", T.ArrayType(T.LongType())),
+            T.StructField("parities", T.ArrayType(T.LongType())),
         ]
     )
 
@@ -137,12 +159,15 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             found = [shingle_hashes(text) for text in batch.column(1).to_pylist()]
             words = [sample_words(hashes) for _, hashes in found]
             offsets = np.cumsum([0, *map(len, words)], dtype=np.int32)
+            odd = np.concatenate([parities(hashes) for _, hashes in found])
+            odd_offsets = np.arange(len(found) + 1, dtype=np.int32) * (PARITIES // LONG)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([key for key, _ in found], pa.binary()),
                     pa.array([len(hashes) for _, hashes in found], pa.int64()),
                     pa.ListArray.from_arrays(offsets, np.concatenate(words).view(np.int64)),
+                    pa.ListArray.from_arrays(odd_offsets, odd),
                 ],
                 names=schema.names,
             )
@@ -299,7 +324,9 @@ def _number(key: str) -> Column:
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
-def _rest(docs: DataFrame, of_text: DataFrame, text_column: str, least: float) -> Passing:
+def _rest(
+    docs: DataFrame, texts: DataFrame, of_text: DataFrame, text_column: str, least: float
+) -> Passing:
     """(a, b): all pairs of keys of different roots that may reach the index, written."""
     prefixes = _prefixes(docs, text_column, least).join(of_text.select("key", "root"), "key")
     met = set_join.pairs(
@@ -309,9 +336,11 @@ def _rest(docs: DataFrame, of_text: DataFrame, text_column: str, least: float) -
         least,
     )
     met, drop_met = passing(met.toDF("node", "other"), "met-prefixes")
-    one = of_text.select(_number("key").alias("node"), F.col("key").alias("a"))
-    two = of_text.select(_number("key").alias("other"), F.col("key").alias("b"))
-    pairs = passing(met.join(one, "node").join(two, "other").select("a", "b"), "rest-pairs")
+    one = texts.select(_number("key").alias("node"), F.struct("key", "size", "parities").alias("one"))
+    two = texts.select(_number("key").alias("other"), F.struct("key", "size", "parities").alias("two"))
+    both = met.join(one, "node").join(two, "other").where(may_reach(least))
+    both = both.select(F.col("one.key").alias("a"), F.col("two.key").alias("b"))
+    pairs = passing(both, "rest-pairs")
     drop_met()
     return pairs
 
@@ -322,7 +351,8 @@ def near_copies(
     """(id, component): every row's id and the least id of its copies, itself included."""
     rows = _texts(docs, id_column, text_column)
     texts = rows.groupBy("key").agg(
-        F.min("id").alias("least"), F.first("size").alias("size"), F.first("words").alias("words")
+        F.min("id").alias("least"),
+        *(F.first(name).alias(name) for name in ("size", "words", "parities")),
     )
     texts = written(texts, "different-texts")
 
@@ -337,7 +367,7 @@ def near_copies(
     found, drop_found = links(links(_candidates(texts), jaccard, SKETCH), whole_index)
     of_text = _with_roots(texts.select("key", "least"), "key", found)
     drop_found()
-    rest, _ = links(_rest(docs, of_text, text_column, least), whole_index)
+    rest, _ = links(_rest(docs, texts, of_text, text_column, least), whole_index)
     # A root is a key too, so that links of texts are links of their roots.
     root = of_text.select("key", F.col("root").alias("of_root"))
     joined = rest.join(root, rest["a"] == root["key"]).select("b", F.col("of_root").alias("left"))

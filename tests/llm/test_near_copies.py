@@ -213,3 +213,26 @@ def test_stars_are_known(spark):
 
     assert stars((2, 1), (3, 1), (5, 4)) and stars()
     assert not stars((2, 1), (3, 2)) and not stars((3, 1), (3, 2))
+
+
+def test_parities_drop_no_link_and_most_other_pairs(spark):
+    rng = np.random.default_rng(10)
+    rows, indexes = [], []
+    for size in (1, 4, 9, 50, 300, 2000):
+        for share in (0.7, 0.8, 0.88, 0.9, 0.95, 1.0):
+            whole = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            fresh = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            kept = int(np.ceil(share * len(whole)))
+            other = np.unique(np.concatenate([whole[:kept], fresh[kept:]]))
+            sides = [
+                (len(one), near_copies.parities(one).tolist()) for one in (whole, other)
+            ]
+            indexes.append(near_copies.whole_index(whole, other))
+            rows.append((len(rows), *sides))
+    side = "struct<size: long, parities: array<long>>"
+    frame = spark.createDataFrame(rows, f"number int, one {side}, two {side}")
+    may = {row.number for row in frame.where(near_copies.may_reach(0.8)).collect()}
+    assert {number for number, index in enumerate(indexes) if index >= 0.8} <= may
+    # An index of 0.54 of up to 300 shingles is seen by the parities alone.
+    low = {n for n, (_, one, _) in enumerate(rows) if indexes[n] < 0.6 and 50 <= one[0] <= 300}
+    assert len(low) >= 2 and not low & may
