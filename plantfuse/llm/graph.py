@@ -19,11 +19,12 @@ def _are_stars(links: DataFrame) -> bool:
     return nodes.where("up > 0 and up + down > 1").count() == 0
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root): the least node that each linked node can reach.
 
     ``links`` has two columns of one ordered type; direction, repeats and links
     of a node to itself play no part. Nodes without links are not returned.
+    ``most`` is a number that there are no more links than, if one is known.
 
     Each round points every node's greater neighbours at its least neighbour
     and then every node and its lesser neighbours at the least of them, until
@@ -35,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     The links of each step are a table that is removed once the next is written.
     Unlike a checkpoint it is computed once, has no files of empty partitions, is
     read by as many tasks as it has bytes for, and has a size that Spark knows,
-    so that a small graph is broadcast and the rounds cost little.
+    so that a small graph is broadcast and the rounds cost little. No step makes
+    more links than there were, so that their number bounds the files of each.
     """
     a, b = (F.col(name) for name in links.columns)
     links, drop = passing(
@@ -43,25 +45,31 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest(a, b).alias("node"), F.least(a, b).alias("other"))
         .distinct(),
         "links",
+        most,
     )
+    number = links.count()
     while not _are_stars(links):
         for star in _large_star, _small_star:
-            links, drop = _stepped(star, links, drop)
+            links, drop = _stepped(star, links, drop, number)
     roots = links.select("node", F.col("other").alias("root")).union(
         links.select("other", "other").distinct()
     )
-    roots = written(roots, "roots")
+    roots = written(roots, "roots", 2 * number)
     drop()
     return roots
 
 
 def _stepped(
-    star: Callable[[DataFrame, DataFrame], DataFrame], links: DataFrame, drop: Callable[[], None]
+    star: Callable[[DataFrame, DataFrame], DataFrame],
+    links: DataFrame,
+    drop: Callable[[], None],
+    number: int,
 ) -> tuple[DataFrame, Callable[[], None]]:
     """The links after a star, in place of those before it."""
     both = links.union(links.select("other", "node")) if star is _large_star else links
-    least, drop_least = passing(both.groupBy("node").agg(F.min("other").alias("least")), "least")
-    after = passing(star(links, least), "links")
+    least = both.groupBy("node").agg(F.min("other").alias("least"))
+    least, drop_least = passing(least, "least", 2 * number)
+    after = passing(star(links, least), "links", number)
     drop()
     drop_least()
     return after

@@ -192,16 +192,17 @@ def _before_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _candidates(texts: DataFrame) -> Passing:
-    """(a, b): pairs of keys to compare, the lesser first, written."""
+def _candidates(texts: DataFrame, number: int) -> Passing:
+    """(a, b): pairs of keys to compare, the lesser first, written; of a number of texts."""
+    most = SAMPLES * number
     members = texts.select("key", "size", "least", F.explode("words").alias("word"))
-    words, drop_words = passing(members.select("word").distinct(), "sample-words")
+    words, drop_words = passing(members.select("word").distinct(), "sample-words", most)
     roots = components(simhash_cover.links(words))
     drop_words()
     grouped = members.join(roots, members["word"] == roots["node"], "left").select(
         "key", "size", "least", F.coalesce("root", "word").alias("group")
     )
-    grouped, drop_grouped = passing(grouped.distinct(), "sample-groups")
+    grouped, drop_grouped = passing(grouped.distinct(), "sample-groups", most)
     shared = (
         grouped.groupBy("group")
         .agg(F.count("*").alias("texts"), F.min(F.struct("least", "key")).alias("first"))
@@ -209,7 +210,9 @@ def _candidates(texts: DataFrame) -> Passing:
         .select(F.col("group").alias("of_group"), "texts", F.col("first.key").alias("first"))
     )
     inside, drop_inside = passing(
-        grouped.join(shared, grouped["group"] == F.col("of_group")).drop("of_group"), "in-groups"
+        grouped.join(shared, grouped["group"] == F.col("of_group")).drop("of_group"),
+        "in-groups",
+        most,
     )
     drop_grouped()
     with_first = inside.where(F.col("key") != F.col("first")).select(
@@ -224,7 +227,7 @@ def _candidates(texts: DataFrame) -> Passing:
         .select("group", "key")
         .mapInArrow(_before_each, "a binary, b binary")
     )
-    pairs = passing(with_first.union(with_next).distinct(), "candidate-pairs")
+    pairs = passing(with_first.union(with_next).distinct(), "candidate-pairs", 2 * most)
     drop_inside()
     return pairs
 
@@ -354,7 +357,8 @@ def near_copies(
         F.min("id").alias("least"),
         *(F.first(name).alias(name) for name in ("size", "words", "parities")),
     )
-    texts = written(texts, "different-texts")
+    texts = written(texts, "different-texts", rows.count())
+    number = texts.count()
 
     def links(found: Passing, index: Callable, most: int | None = None) -> Passing:
         pairs, drop_pairs = found
@@ -364,23 +368,30 @@ def near_copies(
         drop_sets()
         return high
 
-    found, drop_found = links(links(_candidates(texts), jaccard, SKETCH), whole_index)
-    of_text = _with_roots(texts.select("key", "least"), "key", found)
+    found, drop_found = links(links(_candidates(texts, number), jaccard, SKETCH), whole_index)
+    of_text = _with_roots(texts.select("key", "least"), "key", found, found.count(), number)
     drop_found()
     rest, _ = links(_rest(docs, texts, of_text, text_column, least), whole_index)
     # A root is a key too, so that links of texts are links of their roots.
     root = of_text.select("key", F.col("root").alias("of_root"))
     joined = rest.join(root, rest["a"] == root["key"]).select("b", F.col("of_root").alias("left"))
     joined = joined.join(root, joined["b"] == root["key"]).select("left", "of_root")
-    of_text = _with_roots(of_text.select("key", "least", F.col("root").alias("at")), "at", joined)
+    of_text = of_text.select("key", "least", F.col("root").alias("at"))
+    of_text = _with_roots(of_text, "at", joined, rest.count(), number)
     firsts = of_text.groupBy("root").agg(F.min("least").alias("component"))
-    firsts = written(firsts, "firsts")
+    firsts = written(firsts, "firsts", number)
     named = of_text.join(firsts, "root").select("key", "component")
     return rows.join(named, "key").select("id", "component")
 
 
-def _with_roots(texts: DataFrame, column: str, found: DataFrame) -> DataFrame:
-    """(key, least, root): the texts with the root that a column reaches by links, written."""
-    roots = components(found)
+def _with_roots(
+    texts: DataFrame, column: str, found: DataFrame, links: int, number: int
+) -> DataFrame:
+    """(key, least, root): the texts with the root that a column reaches by links, written.
+
+    There are no more links and texts than the two numbers.
+    """
+    roots = components(found, links)
     named = texts.join(roots, texts[column] == roots["node"], "left")
-    return written(named.select("key", "least", F.coalesce("root", column).alias("root")), "text-roots")
+    named = named.select("key", "least", F.coalesce("root", column).alias("root"))
+    return written(named, "text-roots", number)

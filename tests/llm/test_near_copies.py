@@ -207,6 +207,39 @@ def test_tables_go_once_they_are_read(spark):
     assert not names & {f"llm-{name}" for name in [*gone.split(), "links", "least"]}
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Sixty partitions after a shuffle, however little they hold."""
+    put = {
+        "spark.sql.shuffle.partitions": "60",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name) for name in put}
+    for name, value in put.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_small_tables_of_the_rounds_are_few_files(spark, many_partitions, monkeypatch):
+    files = {}
+
+    def counted(frame, label, most=None, passing=graph.passing):
+        table, drop = passing(frame, label, most)
+        rows = table.count()
+        assert most is None or rows <= most
+        files.setdefault(label, []).append(len(table.inputFiles()))
+        return table, drop
+
+    monkeypatch.setattr(graph, "passing", counted)
+    chain = [(n + 1, n) for n in range(400)] + [(1000 + n, 1000) for n in range(1, 200)]
+    links = spark.createDataFrame(chain, "a long, b long").repartition(7)
+    got = dict(graph.components(links, len(chain)).collect())
+    assert got == {n: 0 for n in range(401)} | {1000 + n: 1000 for n in range(200)}
+    assert len(files["least"]) > 3 and set(files["least"]) == set(files["links"]) == {1}
+
+
 def test_stars_are_known(spark):
     def stars(*links):
         return graph._are_stars(spark.createDataFrame(list(links), "node long, other long"))
