@@ -128,14 +128,27 @@ class Both:
         """The ids of A and B of each text; none where they do not join to its bytes."""
         a_ids = self.encoder.encode([f" {text}" for text in texts])
         b_ids = self.pieces.encode(list(texts), num_threads=1) if texts else []
+        both_ids = [(np.frombuffer(a, ID), np.array(b, ID)) for a, b in zip(a_ids, b_ids)]
+        wholes = [f" {text}".encode() for text in texts]
+        if all(texts) and all(self._fit(side, wholes) for side in zip((self.a, self.b), zip(*both_ids))):
+            return both_ids
         none = np.zeros(0, ID)
         coded = []
-        for text, a, b in zip(texts, a_ids, b_ids):
-            a, b, whole = np.frombuffer(a, ID), np.array(b, ID), f" {text}".encode()
+        for text, (a, b), whole in zip(texts, both_ids, wholes):
             fits = bool(text) and self.a.joined(a) == whole == self.b.joined(b)
             coded.append((a, b) if fits else (none, none))
         return coded
 
+    def _fit(self, side: tuple[Vocabulary, Sequence[np.ndarray]], wholes: list[bytes]) -> bool:
+        """Whether the tokens of each text join to its bytes: all have, and as many as they."""
+        vocabulary, ids = side
+        flat = np.concatenate(ids)
+        sizes = np.concatenate([[0], np.cumsum(vocabulary.sizes[flat])])
+        ends = sizes[np.cumsum([len(of_text) for of_text in ids])]
+        return np.array_equal(ends, np.cumsum([len(whole) for whole in wholes])) and (
+            vocabulary.joined(flat) == b"".join(wholes)
+        )
+
 
 @lru_cache(maxsize=2)
 def both(a_file: str, b_model: bytes) -> Both:
@@ -144,14 +157,17 @@ def both(a_file: str, b_model: bytes) -> Both:
 
 
 class Links(NamedTuple):
-    """Links in order of bytes over a slice of documents, with ids as 64-bit numbers."""
+    """Links in order of bytes over a slice of documents, with ids as 64-bit numbers.
+
+    A link ends where a token of A does, or one of B, or both.
+    """
 
     a: np.ndarray
     b: np.ndarray
     a_counts: np.ndarray
     b_counts: np.ndarray
-    a_ends: np.ndarray
-    b_ends: np.ndarray
+    a_here: np.ndarray
+    b_here: np.ndarray
     left: np.ndarray
     right: np.ndarray
     doc: np.ndarray
@@ -173,23 +189,27 @@ def links(a: pa.Array, b: pa.Array, vocabularies: Both) -> Links:
     (a_ids, a_counts), (b_ids, b_counts) = (_flat(side, vocabularies.kind) for side in (a, b))
     a_ends = np.cumsum(vocabularies.a.sizes[a_ids])
     b_ends = np.cumsum(vocabularies.b.sizes[b_ids])
-    ends = np.concatenate([a_ends, b_ends])
-    ends.sort(kind="stable")
-    ends = ends[np.flatnonzero(np.diff(ends, prepend=-1))]
-    left, right = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    # Both cover the same bytes, and each byte is marked if a token ends there.
+    a_at, b_at = (np.zeros(1 + max(a_ends[-1:], default=0), bool) for _ in range(2))
+    a_at[a_ends], b_at[b_ends] = True, True
+    ends = np.flatnonzero(a_at | b_at)
+    a_here, b_here = a_at[ends], b_at[ends]
+    left, right = np.cumsum(a_here) - a_here, np.cumsum(b_here) - b_here
     doc = np.repeat(np.arange(len(a_counts)), a_counts)[left]
-    return Links(a_ids, b_ids, a_counts, b_counts, a_ends, b_ends, left, right, doc)
+    return Links(a_ids, b_ids, a_counts, b_counts, a_here, b_here, left, right, doc)
 
 
-def texts_of_groups(found: Links, common: np.ndarray, ids: Both) -> list[str]:
+def texts_of_groups(found: Links, ids: Both) -> list[str]:
     """Each document's groups, as ``a1,a2|b1;a3|b2,b3``."""
-    a_group = np.searchsorted(common, found.a_ends)
-    b_group = np.searchsorted(common, found.b_ends)
+    common = found.a_here & found.b_here
+    group = np.cumsum(common) - common
+    a_group, b_group = group[found.a_here], group[found.b_here]
     # A token's place: after the tokens of its own kind and those of earlier
     # groups, for one of B also after the group's tokens of A.
-    a_place = np.arange(len(a_group)) + np.searchsorted(b_group, a_group)
-    b_place = np.arange(len(b_group)) + np.searchsorted(a_group, b_group, "right")
-    last_a, last_b = common[a_group] == found.a_ends, common[b_group] == found.b_ends
+    a_until, b_until = found.left[common] + 1, found.right[common] + 1
+    a_place = np.arange(len(a_group)) + np.concatenate([[0], b_until])[a_group]
+    b_place = np.arange(len(b_group)) + a_until[b_group]
+    last_a, last_b = common[found.a_here], common[found.b_here]
     rows = np.empty((len(a_place) + len(b_place), DIGITS), np.uint8)
     rows[a_place] = ids.a.digits[found.a + ids.a.count * last_a]
     rows[b_place] = ids.b.digits[found.b + ids.b.count * last_b]
@@ -350,18 +370,26 @@ def aligned(
         (best_a, most), (known_pairs, known_documents) = known.value
         highest = np.zeros(len(vocabularies.same), np.int64)
         highest[best_a] = most
+        # Pairs of the same bytes are looked up by A's id, only others searched for.
+        same = vocabularies.same
+        is_same = same[known_pairs >> B_BITS] == known_pairs & B_MASK
+        of_same = np.zeros(len(same), np.int64)
+        of_same[known_pairs[is_same] >> B_BITS] = known_documents[is_same]
+        other_pairs, other_documents = known_pairs[~is_same], known_documents[~is_same]
         for batch in sized_slices(batches, lambda b: text_sizes(b, 2), TOGETHER):
             rows = batch.num_rows
             found = links(batch.column(2), batch.column(3), vocabularies)
-            common = found.a_ends[np.isin(found.a_ends, found.b_ends, assume_unique=True)]
-            group_doc = np.repeat(np.arange(rows), found.a_counts)[
-                np.searchsorted(found.a_ends, common)
-            ]
-            pairs = found.pairs
-            at = np.minimum(np.searchsorted(known_pairs, pairs), max(len(known_pairs) - 1, 0))
-            there = known_pairs[at] == pairs if len(known_pairs) else np.zeros(len(pairs), bool)
-            documents = np.where(there, known_documents[at] if len(known_pairs) else 0, 0)
-            is_best = there & (documents == highest[found.a[found.left]])
+            group_doc = found.doc[found.a_here & found.b_here]
+            pairs, of_a = found.pairs, found.a[found.left]
+            there = same[of_a] == found.b[found.right]
+            documents = np.where(there, of_same[of_a], 0)
+            if len(other_pairs):
+                others = np.flatnonzero(~there)
+                wanted = pairs[others]
+                at = np.minimum(np.searchsorted(other_pairs, wanted), len(other_pairs) - 1)
+                hit = other_pairs[at] == wanted
+                there[others[hit]], documents[others[hit]] = True, other_documents[at[hit]]
+            is_best = there & (documents == highest[of_a])
 
             ends = np.searchsorted(found.doc, np.arange(rows + 1))
 
@@ -379,7 +407,7 @@ def aligned(
                     batch.column(1),
                     lists(found.a, found.a_counts),
                     lists(found.b, found.b_counts),
-                    pa.array(texts_of_groups(found, common, vocabularies), pa.string()),
+                    pa.array(texts_of_groups(found, vocabularies), pa.string()),
                     pa.array(np.bincount(group_doc, minlength=rows)),
                     pa.array(np.diff(ends)),
                     total(is_best),

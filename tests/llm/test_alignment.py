@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -120,6 +121,31 @@ def test_counts_are_those_of_a_brute_force(spark, heavy):
         assert got[number] == want, texts[number]
 
 
+def test_links_and_fits_search_for_no_offset(monkeypatch):
+    both = alignment.both(open(A_PATH, encoding="utf-8").read(), open(B_PATH, "rb").read())
+    texts = [text for text in ODD if text] * 3
+    apart = [both.encode([text])[0] for text in texts]
+    for odd in (texts, ["", *texts]):
+        coded = both.encode(odd)[len(odd) - len(texts) :]
+        for got, want in zip(coded, apart):
+            assert [side.tolist() for side in got] == [side.tolist() for side in want]
+
+    def searched(*_):
+        raise AssertionError("offsets are marked, not searched for")
+
+    packed = (
+        alignment.pa.array([ids.astype(both.kind).tobytes() for ids in side])
+        for side in zip(*apart)
+    )
+    monkeypatch.setattr(alignment.np, "searchsorted", searched)
+    found = alignment.links(*packed, both)
+    groups = alignment.texts_of_groups(found, both)
+    assert groups == [row[-1] for row in brute_force(texts)]
+    assert np.bincount(found.doc, minlength=len(texts)).tolist() == [
+        row[3] for row in brute_force(texts)
+    ]
+
+
 def test_one_id_of_b_has_the_bytes_of_one_of_a():
     both = alignment.both(
         open(A_PATH, encoding="utf-8").read(), open(B_PATH, "rb").read()
